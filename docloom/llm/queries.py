@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import chat, licenses, quality, sharding, urls
+from docloom.llm import bpe, chat, langid, licenses, quality, sharding, urls
 from docloom.llm.common import sha_hex, table
 
 SHARDS = 24
@@ -19,6 +19,20 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "license", F.size("notices").cast("long").alias("n_notices"), F.array_join("notices", ",").alias("notices"), "digest")
 
 
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its tokens, and the bytes that they decode to."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = bpe.encode_texts(docs, vocabulary_path(), offsets=None).drop("text")
+    done = bpe.decode_ids(ids, vocabulary_path())
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha_hex(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), sha_hex(F.col("decoded")).alias("decoded_sha256"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), SHARDS)
 
@@ -28,6 +42,11 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(pages, urls.listed_rules(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return quality.judge_quality(docs).drop("text", "source")
@@ -50,5 +69,13 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op3_sharding": op3_sharding, "op4_url_filter": op4_url_filter, "op6_quality_rules": op6_quality_rules, "op7_chat_format": op7_chat_format}
+QUERIES = {
+    "op1_license_scan": op1_license_scan,
+    "op2_byte_bpe": op2_byte_bpe,
+    "op3_sharding": op3_sharding,
+    "op4_url_filter": op4_url_filter,
+    "op5_language_id": op5_language_id,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_chat_format": op7_chat_format,
+}
 ORACLE_SQL: dict[str, str] = {}
