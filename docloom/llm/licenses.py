@@ -123,7 +123,7 @@ def scan_licenses(df: DataFrame, text: str = "text", texts: Sequence[tuple[str,
         longest = max(len(n) for _, n in notices)
         table = F.create_map(*[F.lit(x) for kv in sorted(by_digest.items()) for x in kv])
         # A line that becomes a notice by spelling alone is at most twice as long.
-        short = F.filter(F.transform(F.split(lines, "\n"), F.trim), lambda x: (F.length(x) > 0) & (F.length(x) <= 2 * longest) & x.rlike("licen[sc]e"))
+        short = F.filter(F.transform(F.split(lines, "\n"), lambda x: F.trim(x)), lambda x: (F.length(x) > 0) & (F.length(x) <= 2 * longest) & x.rlike("licen[sc]e"))
         named = F.transform(short, lambda x: F.element_at(table, sha_hex(one_spelling(x))))
         step = step.withColumn("notices", F.coalesce(F.array_sort(F.array_distinct(F.filter(named, lambda x: x.isNotNull()))), F.array().cast("array<string>")))
     else:

@@ -26,7 +26,7 @@ def repeat_words(words: Column, n: int = WINDOW) -> Column:
 
     def covered(starts: Column) -> Column:
         """Words below windows at these sorted starts."""
-        gaps = F.zip_with(F.slice(starts, 2, F.size(starts)), starts, lambda later, at: F.least(later - at, F.lit(n)))
+        gaps = F.zip_with(F.slice(starts, 2, F.size(starts)), starts, lambda later, at: F.when(later.isNotNull(), F.least(later - at, F.lit(n))))
         return F.aggregate(F.filter(gaps, lambda g: g.isNotNull()), F.lit(n), lambda a, g: a + g)
 
     def repeated(h: Column) -> Column:
