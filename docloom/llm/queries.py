@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, chat, langid, licenses, quality, sharding, urls
+from docloom.llm import bpe, chat, html_text, langid, licenses, quality, sharding, urls
 from docloom.llm.common import sha_hex, table
 
 SHARDS = 24
@@ -69,6 +69,11 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_text.extract(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_byte_bpe": op2_byte_bpe,
@@ -77,5 +82,6 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_quality_rules": op6_quality_rules,
     "op7_chat_format": op7_chat_format,
+    "op8_html_extraction": op8_html_extraction,
 }
 ORACLE_SQL: dict[str, str] = {}
