@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, chat, html_text, langid, licenses, quality, sharding, urls
+from docloom.llm import bpe, chat, html_text, langid, licenses, minhash, quality, sharding, urls
 from docloom.llm.common import sha_hex, table
 
 SHARDS = 24
@@ -74,6 +74,10 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_byte_bpe": op2_byte_bpe,
@@ -83,5 +87,6 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_chat_format": op7_chat_format,
     "op8_html_extraction": op8_html_extraction,
+    "op9_minhash_dedup": op9_minhash_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
