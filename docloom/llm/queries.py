@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, chat, html_text, langid, licenses, minhash, quality, sharding, urls
+from docloom.llm import bpe, chat, decontaminate, html_text, langid, licenses, minhash, quality, sharding, urls
 from docloom.llm.common import sha_hex, table
 
 SHARDS = 24
@@ -78,6 +78,13 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each place where a document holds a benchmark item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", "leak.start", "leak.end", "leak.edits")
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_byte_bpe": op2_byte_bpe,
@@ -88,5 +95,6 @@ QUERIES = {
     "op7_chat_format": op7_chat_format,
     "op8_html_extraction": op8_html_extraction,
     "op9_minhash_dedup": op9_minhash_dedup,
+    "op10_decontamination": op10_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {}
