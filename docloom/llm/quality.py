@@ -62,6 +62,12 @@ def line_table(text: Column) -> Column:
     return F.transform(rows_in(text), lambda x: let(normal_line(x), lambda y: F.struct(F.xxhash64(y).alias("line"), F.size(F.split(y, " ")).alias("n"))))
 
 
+def _document(key: Column, text: Column) -> Column:
+    """A 60-bit number of a document, by key and text."""
+    whole = F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit("|"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(whole.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def judge_quality(
     df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", *, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT,
     min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_removed: float = MAX_REMOVED,
@@ -80,7 +86,7 @@ def judge_quality(
     words, rows, t, k2, h2, t2, gone = fresh(base, "words", "rows", "text_hash", "k2", "h2", "t2", "gone")
     c = lambda name: F.col(f"`{name}`")
 
-    ids = base.select(c(key).alias("k"), c(host).alias("h"), F.xxhash64(c(text)).alias("t"), F.xxhash64(c(key), c(text)).alias("doc"), line_table(c(text)).alias("lines"))
+    ids = base.select(c(key).alias("k"), c(host).alias("h"), F.xxhash64(c(text)).alias("t"), _document(c(key), c(text)).alias("doc"), line_table(c(text)).alias("lines"))
     lines = ids.select("k", "h", "t", "doc", F.posexplode("lines").alias("at", "x")).select("k", "h", "t", "doc", "at", F.col("x.line").alias("line"), F.col("x.n").alias("n"))
     per_doc = ids.select("h", "doc", F.explode(F.array_distinct(F.col("lines.line"))).alias("line"))
     counts = per_doc.groupBy("h", "line").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("first")).where(F.col("docs") > min_docs)

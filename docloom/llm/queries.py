@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import bpe, chat, decontaminate, html_text, langid, licenses, minhash, quality, sharding, urls
 from docloom.llm.common import sha_hex, table
+from docloom.llm.oracles import ORACLE_SQL  # noqa: F401
 
 SHARDS = 24
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -97,4 +98,4 @@ QUERIES = {
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_decontamination": op10_decontamination,
 }
-ORACLE_SQL: dict[str, str] = {}
+
