@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -56,7 +56,11 @@ def fan_out(feed: DataFrame, sinks: dict[str, tuple[Column, Callable[[DataFrame,
 
 
 def desync(commits: DataFrame, namespace: str = "namespace") -> DataFrame:
-    """(namespace, commit, expected): commits (namespace, seq, commit, parent) whose parent is not the commit seen before. Stateful; works on a batch or a stream."""
+    """(namespace, commit, expected): commits (namespace, seq, commit, parent) whose parent is not the commit seen before: a window over a batch, kept state over a stream."""
+    own = commits.select(F.col(namespace).alias("namespace"), "seq", "commit", "parent")
+    if not commits.isStreaming:
+        before = F.lag("commit").over(Window.partitionBy("namespace").orderBy("seq"))
+        return own.withColumn("expected", before).where(F.col("expected").isNotNull() & ~F.col("parent").eqNullSafe(F.col("expected"))).select("namespace", "commit", "expected")
 
     def check(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
@@ -68,7 +72,6 @@ def desync(commits: DataFrame, namespace: str = "namespace") -> DataFrame:
         state.update((last,))
         yield pd.DataFrame(bad, columns=["namespace", "commit", "expected"])
 
-    own = commits.select(F.col(namespace).alias("namespace"), "seq", "commit", "parent")
     return own.groupBy("namespace").applyInPandasWithState(check, "namespace string, commit string, expected string", "last string", "append", GroupStateTimeout.NoTimeout)
 
 
