@@ -71,6 +71,7 @@ class Lowering:
     def __init__(self, spark: SparkSession, sources: Sequence[Source], frame: DataFrame | None, params: Sequence = (), prefix: str = "", scores: dict | None = None):
         self.spark, self.sources, self.frame, self.params, self.prefix = spark, list(sources), frame, list(params), prefix
         self.scores: dict = scores if scores is not None else {}
+        self.root: Column | None = None  # the document, where it is no column of the frame
         self.aliases: dict[str, Val] = {}
         self.grouped: dict | None = None  # expression -> Val, once a query is grouped
 
@@ -89,7 +90,7 @@ class Lowering:
             return self.typed_path(found[0], parts)
         docs = [s for s in sources if s.variant]
         if len(docs) == 1:
-            many = cells.walk(F.col(f"`{docs[0].variant}`"), parts)
+            many = cells.walk(self.root if self.root is not None else F.col(f"`{docs[0].variant}`"), parts)
             first = F.coalesce(F.get(F.transform(F.slice(many, 1, 1), cells.of_variant), F.lit(0)), cells.make(cells.NULL))
             return Val("cell", first, many=F.transform(cells.spread(many), cells.of_variant), element="cell", literal=many)
         raise SqlError(f"unknown column {path}")
@@ -396,7 +397,7 @@ class Lowering:
             raise SqlError(f"{name}: {x}") from x
 
     def attachment(self, name: str, args: tuple) -> Val:
-        """Over the column `_attachments` array<struct<name, mime, size, hash, content>> of the collection; a selector is a name or a place from 0."""
+        """Over the column `_attachments` array<struct<name, aid, mime, size, hash, content>> of the collection; a selector is a name or a place from 0."""
         source = next((s for s in self.sources if "_attachments" in s.columns), None)
         if source is None:
             raise SqlError(f"{name.upper()} needs a collection with attachments")
@@ -404,7 +405,7 @@ class Lowering:
         if name == "attachment_count":
             return Val("long", F.size(F.coalesce(all_, F.array().cast(self.frame.schema[source.columns["_attachments"]].dataType))).cast("bigint"))
         picked = self.value(args[0]).literal
-        one = F.get(all_, F.lit(picked)) if isinstance(picked, int) else F.get(F.filter(all_, lambda a: a["name"] == F.lit(picked)), F.lit(0))
+        one = F.get(all_, F.lit(picked)) if isinstance(picked, int) else F.get(F.filter(all_, lambda a: (a["aid"] == F.lit(picked)) | (a["name"] == F.lit(picked))), F.lit(0))
         part, kind = {"attachment_size": ("size", "long"), "attachment_mime": ("mime", "string"), "attachment": ("content", "bytes")}[name]
         return Val(kind, one[part])
 

@@ -7,17 +7,18 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.functions import cells, json_text
-from docloom.functions.identity import document_id
+from docloom.functions.identity import content_hash, derived_uuid, document_id
 from docloom.operators import constraints, merge, search
 from docloom.plans import syntax as S
 from docloom.plans.lower import Lowering, SelectPlan, Source, Val
 from docloom.plans.syntax import SqlError
 from docloom.sources.store import GENESIS, Commit, Store
+from docloom.streaming import feed
 
 SPACE = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
 
@@ -62,7 +63,8 @@ class Engine:
         spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
         self.collections: dict[str, Collection] = {}
         self.views: dict[str, S.Select] = {}
-        self.pending: dict[str, list[DataFrame]] | None = None
+        self.procedures: dict = {}
+        self.pending: dict[str, list[tuple[DataFrame, DataFrame | None]]] | None = None
 
     # ---- collections
 
@@ -78,29 +80,33 @@ class Engine:
             self.collections[name] = Collection(name, None, self.id_column, self.doc_column, Store(self.spark, f"{self.path}/{name}"))
         return self.collections[name]
 
-    def documents(self, c: Collection, at: S.At | None = None) -> DataFrame:
-        """The rows of a collection at a version: id, declared columns, document text."""
+    def documents(self, c: Collection, at: S.At | None = None, attachments: bool = True) -> DataFrame:
+        """The rows of a collection at a version: id, declared columns, attachments if there ever was one, document text."""
         if c.store is None:
             if at is not None:
                 raise SqlError(f"{c.name} has no versions")
             return c.frame
+        commit = c.pinned if at is None else None
         if at is None and c.pinned:
             snap = c.store.snapshot(c.pinned)
         elif at is None:
             snap = c.store.snapshot()
-            for ops in (self.pending or {}).get(c.name, []):
+            for ops, _ in (self.pending or {}).get(c.name, []):
                 rest = snap.join(ops.select("id"), "id", "left_anti")
                 snap = rest.unionByName(ops.where("op = 'write'").select("id", "body"))
         elif at.kind == "COMMIT":
-            snap = c.store.snapshot(at.value)
+            commit = c.store.resolve(at.value)
+            snap = c.store.snapshot(commit)
         elif at.kind == "VERSION":
-            snap = c.store.snapshot(f"tag:{at.value}")
+            commit = c.store.resolve(f"tag:{at.value}")
+            snap = c.store.snapshot(commit)
         else:
             try:
                 when = datetime.fromisoformat(at.value.replace("Z", "+00:00"))
             except ValueError as x:
                 raise SqlError(f"malformed time {at.value!r}") from x
-            snap = c.store.snapshot(at=when if when.tzinfo else when.replace(tzinfo=UTC))
+            commit = c.store.at_time(when if when.tzinfo else when.replace(tzinfo=UTC))
+            snap = c.store.snapshot(commit)
         v = F.try_parse_json("body")
         typed = []
         for f in c.schema.fields:
@@ -109,7 +115,16 @@ class Engine:
             ok = constraints.fits(first, f.type, dict(c.schema.enums).get(f.name, ()))
             value = F.try_to_timestamp(F.try_variant_get(first, "$", "string")) if f.type == "timestamp" else F.to_json(first) if kind == "variant" else F.try_variant_get(first, "$", kind)
             typed.append(F.when(ok, value).alias(f.name))
-        return snap.select(F.col("id").alias(c.id_column), *typed, F.col("body").alias(c.doc_column))
+        columns = [F.col("id").alias(c.id_column), *typed, F.col("body").alias(c.doc_column)]
+        if attachments and c.store.has_attachments():
+            own = c.store.attachments(commit)
+            for _, changes in (self.pending or {}).get(c.name, []):
+                if changes is not None:
+                    own = own.join(changes.select("id", "name"), ["id", "name"], "left_anti").unionByName(changes.where("op = 'put'").select("id", "aid", "name", "mime", F.octet_length("content").cast("bigint").alias("size"), F.sha2("content", 256).alias("hash"), "content"))
+            sets = own.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("name", "aid", "mime", "size", "hash", "content"))).alias("_attachments"))
+            snap = snap.join(sets, "id", "left")
+            columns.insert(-1, F.col("_attachments"))
+        return snap.select(*columns)
 
     def source(self, t: S.Table, at: S.At | None, params: Sequence, seen: tuple = ()) -> tuple[DataFrame, Source]:
         alias = t.alias or t.name.split(".")[-1]
@@ -301,10 +316,12 @@ class Engine:
             return []
         made = []
         for name, parts in work.items():
-            merged = None
-            for ops in parts:  # of several operations on a document the last counts
+            merged = files = None
+            for ops, changes in parts:  # of several operations on a document or an attachment the last counts
                 merged = ops if merged is None else merged.join(ops.select("id"), "id", "left_anti").unionByName(ops)
-            made.append(self.collection(name).store.commit(merged, "transaction"))
+                if changes is not None:
+                    files = changes if files is None else files.join(changes.select("id", "name"), ["id", "name"], "left_anti").unionByName(changes)
+            made.append(self.collection(name).store.commit(merged, "transaction", attachments=files))
         return made
 
     # ---- writes
@@ -333,14 +350,14 @@ class Engine:
             one = self.spark.range(1).select(document_id(self.namespace, F.lit(None).cast("string") if given is None else given.col).alias("id"), body.alias("body"), *[x.alias(f"v{i}") for i, (_, x) in enumerate(cells_of)])
             one = json_text.changed(one, [n for n, _ in cells_of], [])
             rows = one if rows is None else rows.unionAll(one)
-        return self.write(c, rows, s.on_conflict, s.returning, params)
+        return self.write(c, rows, s.on_conflict, s.returning, params, s.attachments)
 
     def put(self, name: str, docs: DataFrame, body: str = "body") -> Written:
         """JSON documents of a DataFrame; the id is each document's own `id`, or random."""
         given = F.get_json_object(F.col(body), "$.id")
         return self.write(self._writable(name), docs.select(document_id(self.namespace, given).alias("id"), F.col(body).alias("body")))
 
-    def write(self, c: Collection, rows: DataFrame, conflict: S.OnConflict | None = None, returning: tuple = (), params: Sequence = ()) -> Written:
+    def write(self, c: Collection, rows: DataFrame, conflict: S.OnConflict | None = None, returning: tuple = (), params: Sequence = (), attach: tuple = ()) -> Written:
         rows = self._fixed(rows)
         if conflict is not None:
             now = self._snapshot(c).select(F.col("id").alias("held"), F.col("body").alias("held_body"))
@@ -353,7 +370,37 @@ class Engine:
             else:
                 hit = joined.where("held IS NOT NULL").select(F.col("held").alias("id"), F.col("held_body").alias("body")).dropDuplicates(["id"])
                 rows = fresh.unionByName(self._changed(c, hit, conflict.change, conflict.where, params))
-        return self._finish(c, rows.select("id", F.lit("write").alias("op"), "body"), returning, params)
+        return self._finish(c, rows.select("id", F.lit("write").alias("op"), "body"), returning, params, self._attachment_changes(c, rows.select("id", "body"), attach, params))
+
+    def _attachment_changes(self, c: Collection, rows: DataFrame, changes: tuple, params: Sequence) -> DataFrame | None:
+        """(id, name, op, aid, mime, content) for the documents of rows (id, body). The id of an attachment is derived from its document and name."""
+        out = None
+        for a in changes:
+            df, source = self._as_source(c, rows)
+            low = Lowering(self.spark, [source], df, params, self.prefix)
+            key = F.col(f"`{c.id_column}`").alias("id")
+            given = low.value(a.name) if a.name is not None else None
+            if given is not None and given.kind != "string":
+                raise SqlError("an attachment is named by a text")
+            aid = lambda name: derived_uuid(self.namespace, F.concat(F.col("id"), F.lit("/"), name))
+            if a.action == "SET" and not a.by_id:
+                value = low.value(a.value)
+                if value.kind != "bytes":
+                    raise SqlError("an attachment takes bytes")
+                mime = F.lit("application/octet-stream") if a.mime is None else low.value(a.mime).col
+                part = self._fixed(df.select(key, (F.uuid() if given is None else given.col).alias("name"), mime.alias("mime"), value.col.alias("content"))).select("id", "name", F.lit("put").alias("op"), aid(F.col("name")).alias("aid"), "mime", "content")
+            else:
+                now = c.store.attachments().select(F.col("id").alias("i"), "aid", "name", "mime", "content")
+                picked = df.select(key, given.col.alias("wanted")).join(now, (F.col("id") == F.col("i")) & (F.col("aid" if a.by_id else "name") == F.col("wanted")))
+                gone = picked.select("id", "name", F.lit("drop").alias("op"), "aid", "mime", F.lit(None).cast("binary").alias("content"))
+                if a.action == "DROP":
+                    part = gone
+                elif a.action == "SET":
+                    part = picked.select("id", "name", F.lit("put").alias("op"), "aid", "mime" if a.mime is None else low.value(a.mime).col.alias("mime"), low.value(a.value).col.alias("content"))
+                else:
+                    part = gone.unionByName(picked.select("id", low.value(a.value).col.alias("name"), F.lit("put").alias("op"), "aid", "mime", "content"))
+            out = part if out is None else out.join(part.select("id", "name"), ["id", "name"], "left_anti").unionByName(part)
+        return out
 
     def _fixed(self, rows: DataFrame) -> DataFrame:
         """Evaluated once: random ids must not change when the rows are read again."""
@@ -370,8 +417,6 @@ class Engine:
 
     def _changed(self, c: Collection, rows: DataFrame, change: S.Change, where, params: Sequence) -> DataFrame:
         """rows (id, body) that satisfy `where`, changed. SET reads the document as it was; setting the document column replaces it."""
-        if change.attachments:
-            raise SqlError("attachments are changed by put_attachments and drop_attachments")
         df, source = self._as_source(c, rows)
         low = Lowering(self.spark, [source], df, params, self.prefix)
         if where is not None:
@@ -398,7 +443,8 @@ class Engine:
             changed = self._changed(c, picked.toDF("id", "body"), s.change, None, params)
         else:
             changed = self._changed(c, rows, s.change, s.where, params)
-        return self._finish(c, changed.select("id", F.lit("write").alias("op"), "body"), s.returning, params)
+        changed = changed.persist()
+        return self._finish(c, changed.select("id", F.lit("write").alias("op"), "body"), s.returning, params, self._attachment_changes(c, changed, s.change.attachments, params))
 
     def delete(self, s: S.Delete, params: Sequence = ()) -> Written:
         c = self._writable(s.table.name)
@@ -413,10 +459,10 @@ class Engine:
         return c
 
     def _snapshot(self, c: Collection) -> DataFrame:
-        df = self.documents(replace(c, schema=constraints.Schema()))
+        df = self.documents(replace(c, schema=constraints.Schema()), attachments=False)
         return df.toDF("id", "body")
 
-    def _finish(self, c: Collection, ops: DataFrame, returning: tuple = (), params: Sequence = ()) -> Written:
+    def _finish(self, c: Collection, ops: DataFrame, returning: tuple = (), params: Sequence = (), files: DataFrame | None = None) -> Written:
         """Checks the outcome, then commits, or keeps the operations for the open transaction."""
         ops = ops.persist()
         written = ops.where("op = 'write'")
@@ -435,9 +481,9 @@ class Engine:
             returned = SelectPlan(S.Select(returning, S.Table(c.name)), Lowering(self.spark, [source], df, params, self.prefix)).frame()
         commit = None
         if self.pending is not None:
-            self.pending.setdefault(c.name, []).append(ops)
+            self.pending.setdefault(c.name, []).append((ops, files))
         elif n:
-            commit = c.store.commit(ops, "write")
+            commit = c.store.commit(ops, "write", attachments=files)
         return Written(ops, n, commit, returned)
 
     # ---- versions
@@ -450,6 +496,7 @@ class Engine:
     def merge(self, name: str, branch: str, into: str = "main", policy: str = "strict", procedure=None) -> tuple[Commit | None, DataFrame]:
         """(merge commit, deferred conflicts). Documents that one side alone changed are taken; the rest go through the policy. Nothing is committed while a conflict is deferred."""
         store = self.collection(name).store
+        procedure = self.procedures.get(procedure, procedure) if isinstance(procedure, str) else procedure
         ours, theirs = store.resolve(f"branch:{into}"), store.resolve(f"branch:{branch}")
         root = store.common_ancestor(ours, theirs)
         base = store.snapshot(root).withColumnRenamed("body", "base") if root != GENESIS else self.spark.createDataFrame([], "id string, base string")
@@ -467,8 +514,36 @@ class Engine:
         return store.commit(clean.unionByName(kept), f"Merge {branch}", branch=into, parents=(ours, theirs)), deferred
 
     def procedure(self, name: str, source) -> None:
-        """Registers a Python callable by name, for use as a conflict procedure."""
-        self.procedures = getattr(self, "procedures", {}) | {name: source}
+        """Registers a Python callable by name; merge takes it as a conflict procedure."""
+        self.procedures[name] = source
+
+    def write_if(self, name: str, operations: DataFrame, expected: DataFrame) -> Written:
+        """Commits (id, op, body) only if every (id, hash) of `expected` holds: the SHA-256 of the document's text, or NULL for a document that must not be there."""
+        c = self._writable(name)
+        now = self._snapshot(c).select(F.col("id").alias("i"), content_hash(F.col("body")).alias("h"))
+        broken = expected.join(now, F.col("id") == F.col("i"), "left").where(~F.col("hash").eqNullSafe(F.col("h")))
+        if broken.limit(1).count():
+            raise ConstraintError("a precondition does not hold")
+        return self._finish(c, operations.select("id", "op", "body"))
+
+    def sweep(self, name: str, field_name: str, now: datetime) -> Written:
+        """Commits the deletes of documents whose timestamp field is not later than `now`."""
+        c = self._writable(name)
+        at = F.try_to_timestamp(F.get_json_object("body", "$." + field_name))
+        return self._finish(c, feed.sweep_expired(self._snapshot(c).withColumn("until", at), "until", F.lit(now)))
+
+    def predicate(self, text: str, body: str = "body") -> Column:
+        """A stand-alone filter over JSON text, as a column; anything that is not true is false."""
+        variant = F.try_parse_json(F.col(body))
+        source = Source("", {}, self.id_column, body, "__variant")
+        low = Lowering(self.spark, [source], None, (), self.prefix)
+        low.root = variant
+        return F.coalesce(low.test(S.parse_filter(text)), F.lit(False))
+
+    def subscribe(self, name: str, text: str | None = None, after: int = 0) -> DataFrame:
+        """The change feed of a collection as a stream, seen through a filter."""
+        ops = feed.change_feed(self.spark, self.collection(name).store.path, after)
+        return ops if text is None else feed.filtered(ops, self.predicate(text))
 
     def get(self, name: str, *ids: str) -> DataFrame:
         """Documents by id."""

@@ -181,3 +181,37 @@ def test_desync(spark, tmp_path):
     q = feed.desync(spark.readStream.schema(kinds).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("bad").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert q.awaitTermination(60)
     assert [tuple(r) for r in spark.table("bad").collect()] == [("n", "d", "b")]
+
+
+def test_attachments(engine):
+    engine.sql("INSERT INTO t (id, k) VALUES ('f', 7) WITH ATTACHMENT 'a.txt' = X'6869' MIME 'text/plain', ATTACHMENT FROM_BASE64('AAEC')")
+    got = "SELECT ATTACHMENT_COUNT() AS n, ATTACHMENT_SIZE('a.txt') AS s, ATTACHMENT_MIME('a.txt') AS m, ATTACHMENT('a.txt') AS c FROM t WHERE k = 7"
+    assert rows(engine, got) == [(2, 2, "text/plain", b"hi")]
+    engine.sql("UPDATE t SET ATTACHMENT 'a.txt' = X'68657921', RENAME ATTACHMENT 'nope' TO 'x' WHERE k = 7")
+    assert rows(engine, got)[0][1] == 4
+    engine.sql("UPDATE t RENAME ATTACHMENT 'a.txt' TO 'b.txt' WHERE k = 7")
+    assert rows(engine, got) == [(2, None, None, None)] and rows(engine, "SELECT ATTACHMENT('b.txt') FROM t WHERE k = 7") == [(b"hey!",)]
+    engine.sql("UPDATE t DROP ATTACHMENT 'b.txt' WHERE k = 7")
+    assert rows(engine, got)[0][0] == 1 and rows(engine, got + " AT COMMIT 'head~1'")[0][0] == 2
+    assert rows(engine, "SELECT ATTACHMENT_COUNT() FROM t WHERE k = 1") == [(0,)]
+
+
+def test_preconditions_and_sweep(spark, engine):
+    import hashlib
+
+    store = engine.collection("t").store
+    one = store.snapshot().where("body LIKE '%Ann%'").first()
+    new = ops(spark, (one["id"], "write", '{"k":1,"until":"2024-01-01T00:00:00Z"}'))
+    expect = lambda h: spark.createDataFrame([(one["id"], h)], "id string, hash string")
+    for bad in (None, "0" * 64):
+        with pytest.raises(ConstraintError):
+            engine.write_if("t", new, expect(bad))
+    engine.write_if("t", new, expect(hashlib.sha256(one["body"].encode()).hexdigest()))
+    assert engine.sweep("t", "until", datetime(2024, 2, 1)).rows == 1
+    assert rows(engine, "SELECT k FROM t") == [(2,)]
+
+
+def test_subscription(spark, engine, tmp_path):
+    q = engine.subscribe("t", "name = 'Ann' AND tags.first LIKE 'x%'").writeStream.format("memory").queryName("sub").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
+    assert sorted(r["op"] for r in spark.table("sub").collect()) == ["delete", "write"]
