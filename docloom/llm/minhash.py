@@ -12,6 +12,7 @@ import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -24,7 +25,9 @@ SHINGLE = 5
 SIMILARITY = (4, 5)  # 0.8 as a ratio of whole numbers
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
-SPAN = 1 << 21
+SPAN = 1 << 19
+#: Buckets of up to SMALL texts are compared as pairs, larger ones in tiles of about OUTSIDERS by MEMBERS texts.
+SMALL, OUTSIDERS, MEMBERS = 12, 128, 1024
 
 # Fixed values of the splitmix64 generator, and an odd base with its inverse for rolling sums.
 GOLDEN, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -62,7 +65,7 @@ def word_hashes(data: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     stops[:-1] &= ~inside[1:]
     stops[ends[sizes > 0] - 1] = inside[ends[sizes > 0] - 1]
     start, stop = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-    n = 1 << max(21, int(len(b)).bit_length())
+    n = 1 << max(18, int(len(b)).bit_length())
     power, inverse = _powers(n)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: len(b)])))
     own = (total[stop] - total[start]) * inverse[start]
@@ -165,11 +168,8 @@ def _band_rows(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "t long, keys array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts overlap by SIMILARITY or more."""
-    needed = pairs.select(F.col("a").alias("t")).union(pairs.select(F.col("b").alias("t"))).distinct()
-    # Copies of a text fold to one before they are moved.
-    bodies = texts.join(needed, "t", "left_semi").groupBy("t").agg(F.any_value("body").alias("body"))
     left = bodies.select(F.col("t").alias("a"), F.col("body").alias("x"))
     right = bodies.select(F.col("t").alias("b"), F.col("body").alias("y"))
     num, den = SIMILARITY
@@ -190,23 +190,68 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _tile_links(tile: pd.DataFrame) -> pd.DataFrame:
+    """Pairs (a, b) of components that a link between an outsider and a member of the tile joins, by an inverted index of the outsiders' shingles. Links that
+    join nothing new within the tile are left out, so a tile gives fewer pairs than it has components."""
+    num, den = SIMILARITY
+    out, own = tile[tile["out"]], tile[~tile["out"]]
+    found = []
+    above: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while above.get(c, c) != c:
+            above[c] = above.get(above[c], above[c])
+            c = above[c]
+        return c
+
+    if len(out) and len(own):
+        side = []
+        for part in (out, own):
+            data = [x.encode() for x in part["body"]]
+            side.append(shingles(b"".join(data), np.array([len(x) for x in data])))
+        (od, oh, oc), (md, mh, mc) = side
+        on, mn = np.bincount(od, oc, len(out)).astype(np.int64), np.bincount(md, mc, len(own)).astype(np.int64)
+        order = np.argsort(oh)
+        od, oh, oc = od[order], oh[order], oc[order]
+        lo, hi = np.searchsorted(oh, mh, "left"), np.searchsorted(oh, mh, "right")
+        work = np.cumsum(hi - lo)
+        firsts = np.searchsorted(md, np.arange(len(own) + 1))
+        i = 0
+        while i < len(own):
+            base = work[firsts[i] - 1] if firsts[i] else 0
+            j = max(i + 1, int(np.searchsorted(work[firsts[i + 1 :] - 1], base + SPAN, "right")) + i)
+            a, b = firsts[i], firsts[j]
+            times = (hi - lo)[a:b]
+            row = np.repeat(np.arange(a, b), times)
+            k = lo[row] + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+            shared = np.bincount((md[row] - i) * len(out) + od[k], np.minimum(mc[row], oc[k]), (j - i) * len(out)).astype(np.int64).reshape(j - i, len(out))
+            whole = mn[i:j, None] + on[None, :] - shared
+            m, o = np.nonzero((shared * den >= whole * num) & (whole > 0) & (own["c"].to_numpy()[i:j, None] != out["c"].to_numpy()[None, :]))
+            pairs = np.unique(np.stack((out["c"].to_numpy()[o], own["c"].to_numpy()[i:j][m])), axis=1)
+            for a_, b_ in pairs.T.tolist():
+                if (x := root(a_)) != (y := root(b_)):
+                    above[max(x, y)] = min(x, y)
+                    found.append((a_, b_))
+            i = j
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of all nodes of edges (a, b): the least node of each connected component, by alternating stars (Kiveris et al., 2014).
 
     Each round is two aggregations with map-side minima and a join on the node, written to the shared folder; the number of rounds grows with the
-    logarithm of the longest chain.
+    logarithm of the longest chain. It ends when the edges are stars: no node is below two others, or both above one and below another.
     """
     spark = edges.sparkSession
     now, path = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
     while True:
-        mark = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if mark == before or not mark[0]:
+        ends = now.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e"))
+        degrees = ends.groupBy("e.x").agg(F.sum("e.up").alias("up"), F.sum("e.down").alias("down"))
+        if degrees.where("up > 1 OR up = 1 AND down > 0").isEmpty():
             break
-        before = mark
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         step, new = written(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct())
@@ -218,29 +263,44 @@ def components(edges: DataFrame) -> DataFrame:
 def text_classes(texts: DataFrame) -> DataFrame:
     """texts (t, body), copies allowed -> (node, label) of the texts that are near duplicates of another, by connected components.
 
-    Candidates are texts that share a band. In each bucket all are compared with the least one; then, in buckets that still hold
-    several components, all members of different components are compared. So every pair of candidates ends in one component or has been compared,
-    with no limit on the size of a bucket, and members that are already joined are not compared with each other.
+    Candidates are texts that share a band. In each bucket all are compared with the least one. Then, in buckets that still hold several components, the
+    members outside the bucket's largest component are compared with all members of other components: in small buckets as pairs, in larger ones in
+    tiles of OUTSIDERS by MEMBERS texts that give verified links only. So every two candidates end in one component or have been compared, whatever the
+    size of a bucket, and members that are joined already are not compared with each other.
     """
     spark = texts.sparkSession
     rows, rows_path = written(_band_rows(texts).dropDuplicates(["t"]))
     bands = rows.select("t", F.explode("keys").alias("key"))
     buckets = bands.groupBy("key").agg(F.min("t").alias("a"), F.max("t").alias("z")).where("a < z").select("key", "a")
     members, members_path = written(bands.join(buckets, "key"))
+    # Only candidates' texts are kept, one of each; copies fold before they are moved on.
+    bodies, bodies_path = written(texts.join(members.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.any_value("body").alias("body")))
     stars, stars_path = written(members.where("t <> a").select("a", F.col("t").alias("b")).distinct())
-    edges, edges_path = written(_verified(stars, texts))
+    edges, edges_path = written(_verified(stars, bodies))
     found = components(edges)
 
-    label = F.coalesce("label", "t")
-    placed = members.join(found.withColumnRenamed("node", "t"), "t", "left").select("key", "t", "a", label.alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    own, own_path = written(placed.join(mixed, "key"))
-    x, y = own.select("key", F.col("t").alias("a"), F.col("c").alias("ca")), own.select("key", F.col("t").alias("b"), F.col("c").alias("cb"))
-    cross = x.join(y, "key").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    late, late_path = written(_verified(cross, texts))
-    if not late.isEmpty():
-        found = components(edges.union(late))
-    forget(spark, rows_path, members_path, stars_path, own_path)
+    placed = members.join(found.withColumnRenamed("node", "t"), "t", "left").select("key", "t", "a", F.coalesce("label", "t").alias("c"))
+    parts = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi AND n > 2").select("key", "n", "most")
+    main = parts.withColumnRenamed("n", "own").join(mixed, "key").where("own = most").groupBy("key").agg(F.min("c").alias("main"))
+    own, own_path = written(placed.join(mixed, "key").join(main, "key").select("key", "t", "c", (F.col("c") != F.col("main")).alias("out"), "n", (F.col("n") - F.col("most")).alias("k")))
+
+    x, y = (own.where(F.col("n") <= SMALL).select("key", F.col("t").alias(t), F.col("c").alias(f"c{t}")) for t in ("a", "b"))
+    cross = x.join(y, "key").where("ca < cb").select("a", "b", "ca", "cb").distinct()
+    cross, cross_path = written(cross.join(stars.union(stars.select("b", "a")), ["a", "b"], "left_anti"))
+    linked = _verified(cross.select("a", "b"), bodies).join(cross, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    large = own.where(F.col("n") > SMALL).join(bodies, "t")
+    across, down = F.ceil(F.col("k") / OUTSIDERS).cast("int"), F.ceil(F.col("n") / MEMBERS).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    outsiders = large.where("out").select("key", F.pmod(F.xxhash64("t"), across).cast("int").alias("i"), F.explode(upto(down)).alias("j"), "t", "c", "body", F.lit(True).alias("out"))
+    everyone = large.select("key", F.explode(upto(across)).alias("i"), F.pmod(F.xxhash64("t"), down).cast("int").alias("j"), "t", "c", "body", F.lit(False).alias("out"))
+    tiles = outsiders.unionByName(everyone).groupBy("key", "i", "j").applyInPandas(_tile_links, "a long, b long")
+    late, _ = written(linked.unionByName(tiles))
+    if not late.isEmpty():  # the components that were joined late get one label
+        joined = components(late)
+        again = found.join(joined.select(F.col("node").alias("label"), F.col("label").alias("l")), "label", "left").select("node", F.coalesce("l", "label").alias("label"))
+        found = again.unionByName(joined.join(found.select("node"), "node", "left_anti"))
+    forget(spark, rows_path, members_path, bodies_path, stars_path, edges_path, own_path, cross_path)
     return found
 
 
