@@ -37,7 +37,7 @@ ONE, RV, E, EL, LETTER, NUMBER, QUOTE, OTHER, SPACE, WHITE, NONE = range(11)
 # States: start of a slice, in letters, in numbers, in others, after a space, after other white space, after an opening apostrophe, after 'r or 'v, after 'l.
 START, IN_L, IN_N, IN_O, AT_S, AT_W, AT_Q, AT_R, AT_K = range(9)
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 BLOCK = 256
 #: Slices held by each of the two generations of a worker's cache.
 CACHE = 150_000
