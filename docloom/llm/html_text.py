@@ -30,10 +30,14 @@ NOISE = frozenset(
     cookie cookies copyright dialog disqus footer form gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination
     popup promo promoted promotion reader-comments related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets""".split()
 )
+NOISE_STARTS = ("advert", "adsby", "adslot", "adunit", "adbox", "cookie", "sidebar", "sponsor", "newsletter", "subscri", "breadcrumb", "commentlist", "commentform", "commentbox")
+# Words by which a class says what lies beside an element, or is of the article itself where it stands in one.
+BESIDE, OF_ARTICLE = frozenset("has with no without".split()), frozenset(["header", "masthead", "banner"])
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?。，、؟،]")
-WORDS = re.compile(r"[a-z]+", re.I)
+NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 NEAR = (1.0, 2.0, 1.0)
 #: A path is content if its fused ratio is at least this share of the page's mean, weighted by text; the second where <article> or <main> holds the text.
 SHARE, SHARE_INSIDE = 0.15, 0.03
@@ -48,13 +52,15 @@ def _noisy(name: str, attributes: str, inside_article: bool) -> tuple[bool, str]
         return False, name
     classes, bad = "", False
     for m in ATTRIBUTE.finditer(attributes):
-        key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if key == "hidden" and not m[2] or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+        key, value = m[1].lower(), (m[2] or "").strip("\"'")
+        if key == "hidden" and not m[2] or key == "aria-hidden" and value.lower() == "true" or key == "style" and HIDDEN.search(value):
             bad = True
         elif key in ("class", "id", "role"):
-            if name not in ("html", "body", "article", "main") and any(w in NOISE for w in re.split(r"[^a-z]+", value)):
+            words = [w.lower() for w in NAME_WORDS.findall(value)]
+            noise = [w for w in words if (w in NOISE or w.startswith(NOISE_STARTS)) and not (inside_article and w in OF_ARTICLE)]
+            if noise and name not in ("html", "body", "article", "main") and BESIDE.isdisjoint(words):
                 bad = True
-            classes += "." + value
+            classes += "." + value.lower()
     return bad, name + classes
 
 

@@ -86,7 +86,11 @@ def test_html():
     assert html_text.main_text(PAGE) == want
     assert html_text.main_text("<p>just &am text") == "just &am text"
     assert [html_text.main_text(x) for x in (None, "", "<html></html>", "<script>x")] == ["", "", "", ""]
-    assert html_text.main_text('<a href="x>' * 2000) == "" or True  # ends, whatever the markup
+    html_text.main_text('<a href="x>' * 2000)  # ends, whatever the markup
+    article = "<p>Some text of the article, which is long enough. It goes on, and on.</p>"
+    for noise in ('<div id="cookieBanner">We use, x.</div>', '<ins class="adsbygoogle">Buy, now.</ins>', '<ol class="comment-list"><li>Nice, one.</li></ol>', '<p hidden>Gone, too.</p>', '<div style="display: none">No, never.</div>', '<div role="navigation">Go, there.</div>', "<select><option>A, b.</select>"):
+        assert html_text.main_text(f"<body>{noise}<div class='content has-sidebar'>{article}</div>{noise}</body>") == re.sub("<.*?>", "", article)
+    assert html_text.main_text(f"<article><div class=article-header><h1>Head</h1></div>{article}</article>").startswith("Head Some text")
 
 
 def test_html_articles(spark, sf):
