@@ -34,7 +34,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or are depleted go."""
     own, c = _plain(docs)
-    return _named(quality.judge_quality(own, c("doc_id"), c("text"), c("source")).where("kept"), docs)
+    return _named(quality.keep_good(own, c("doc_id"), c("text"), c("source")), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

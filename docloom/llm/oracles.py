@@ -54,7 +54,7 @@ rows_ AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: rege
 win AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 7), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
 rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
 cov AS (SELECT doc_id, sum(n) AS n FROM (SELECT doc_id, least(8, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 8)) AS n FROM rep) GROUP BY doc_id),
-lines AS (SELECT d.doc_id, d.source, d.doc, regexp_replace(trim(regexp_replace(lower(x), '{WS}', ' ', 'g')), '[0-9]', '0', 'g') AS line FROM d JOIN (SELECT doc_id, unnest(rows_) AS x FROM rows_) r ON r.doc_id = d.doc_id),
+lines AS (SELECT d.doc_id, d.source, d.doc, regexp_replace(trim(regexp_replace(lower(x), '{WS}', ' ', 'g')), '[0-9]+', '0', 'g') AS line FROM d JOIN (SELECT doc_id, unnest(rows_) AS x FROM rows_) r ON r.doc_id = d.doc_id),
 often AS (SELECT source, line, count(DISTINCT doc) AS docs, min(doc) AS first FROM lines GROUP BY source, line HAVING count(DISTINCT doc) > {quality.MIN_DOCS}),
 hosts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 over_ AS (SELECT o.* FROM often o JOIN hosts h ON h.source IS NOT DISTINCT FROM o.source WHERE o.docs > h.n * {quality.MAX_SHARE}),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import WS, fresh, let
+from docloom.llm.common import WS, fresh, let, written
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -53,8 +53,8 @@ def rows_in(text: Column) -> Column:
 
 
 def normal_line(line: Column) -> Column:
-    """Lower case, white space single, digits all 0: what is hashed to find a line again."""
-    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(line), WS, " ")), "[0-9]", "0")
+    """Lower case, white space single, a number one 0: what is hashed to find a line again."""
+    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(line), WS, " ")), "[0-9]+", "0")
 
 
 def line_table(text: Column) -> Column:
@@ -68,6 +68,38 @@ def _document(key: Column, text: Column) -> Column:
     return F.conv(F.substring(F.md5(whole.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
+def removed_words(df: DataFrame, key: str, text: str, host: str, min_docs: int, max_share: float) -> DataFrame:
+    """(k, h, t, n, words): the words n of each document in lines that are removed from it, of all its words; documents that keep all lines are left out.
+
+    Hot lines are counted on the map side before the shuffle; only lines above the limit are joined back, and only their matches are grouped.
+    """
+    c = lambda name: F.col(f"`{name}`")
+    ids = df.select(c(key).alias("k"), c(host).alias("h"), F.xxhash64(c(text)).alias("t"), _document(c(key), c(text)).alias("doc"), line_table(c(text)).alias("lines"))
+    words = F.aggregate("lines", F.lit(0), lambda a, x: a + x["n"])
+    lines = ids.select("k", "h", "t", "doc", words.alias("words"), F.posexplode("lines").alias("at", "x")).select("k", "h", "t", "doc", "words", "at", F.col("x.line").alias("line"), F.col("x.n").alias("n"))
+    per_doc = ids.select("h", "doc", F.explode(F.array_distinct(F.col("lines.line"))).alias("line"))
+    counts = per_doc.groupBy("h", "line").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("first")).where(F.col("docs") > min_docs)
+    hosts = df.groupBy(c(host).alias("hh")).agg(F.count(F.lit(1)).alias("host_docs"))
+    over = counts.join(hosts, F.col("h").eqNullSafe(F.col("hh"))).where(F.col("docs") > F.col("host_docs") * max_share).select(F.col("h").alias("oh"), F.col("line").alias("ol"), "first")
+    hits = lines.join(over, (F.col("line") == F.col("ol")) & F.col("h").eqNullSafe(F.col("oh"))).where(F.col("doc") != F.col("first"))
+    once = hits.groupBy("k", "h", "t", "at").agg(F.max("n").alias("n"), F.max("words").alias("words"))  # rows alike count once
+    return once.groupBy("k", "h", "t").agg(F.sum("n").alias("n"), F.max("words").alias("words"))
+
+
+def keep_good(
+    df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", *, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT,
+    min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_removed: float = MAX_REMOVED,
+) -> DataFrame:
+    """The rows of df (all columns) that judge_quality would keep. Depleted documents are written to the shared folder first, so that Spark knows how few
+    they are and need not move the texts to drop them."""
+    c = lambda name: F.col(f"`{name}`")
+    (t,) = fresh(df, "text_hash")
+    depleted, _ = written(removed_words(df, key, text, host, min_docs, max_share).where(F.col("n") > F.col("words") * max_removed).select(*[F.col(x).alias(f"{x} of depleted") for x in "kht"]))
+    good = df.where(let(words_of(c(text)), lambda w: (F.size(w) >= min_words) & (repeat_words(w) * 100 <= F.size(w) * max_repeat_percent))).withColumn(t, F.xxhash64(c(text)))
+    same = c(key).eqNullSafe(F.col("`k of depleted`")) & c(host).eqNullSafe(F.col("`h of depleted`")) & (c(t) == F.col("`t of depleted`"))
+    return good.join(depleted, same, "left_anti").select(*[c(x) for x in df.columns])
+
+
 def judge_quality(
     df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", *, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT,
     min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_removed: float = MAX_REMOVED,
@@ -79,21 +111,13 @@ def judge_quality(
     lines; beyond the share max_removed of its words it is depleted and not kept.
     Null text: no words, so base_failed. Null host: a host of its own. Null key: a key like any other. Rows alike in key, host and text share one verdict and
     each counts as a document. Empty input: no rows. Columns of df with these names are replaced.
-    Hot lines are counted before the shuffle; only lines above the limit are joined back, by (host, line), and only their matches are grouped.
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept"]
     base = df.drop(*[c for c in df.columns if c.lower() in added])
     words, rows, t, k2, h2, t2, gone = fresh(base, "words", "rows", "text_hash", "k2", "h2", "t2", "gone")
     c = lambda name: F.col(f"`{name}`")
 
-    ids = base.select(c(key).alias("k"), c(host).alias("h"), F.xxhash64(c(text)).alias("t"), _document(c(key), c(text)).alias("doc"), line_table(c(text)).alias("lines"))
-    lines = ids.select("k", "h", "t", "doc", F.posexplode("lines").alias("at", "x")).select("k", "h", "t", "doc", "at", F.col("x.line").alias("line"), F.col("x.n").alias("n"))
-    per_doc = ids.select("h", "doc", F.explode(F.array_distinct(F.col("lines.line"))).alias("line"))
-    counts = per_doc.groupBy("h", "line").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("first")).where(F.col("docs") > min_docs)
-    hosts = base.groupBy(c(host).alias("hh")).agg(F.count(F.lit(1)).alias("host_docs"))
-    over = counts.join(hosts, F.col("h").eqNullSafe(F.col("hh"))).where(F.col("docs") > F.col("host_docs") * max_share).select(F.col("h").alias("oh"), F.col("line").alias("ol"), "first")
-    hits = lines.join(over, (F.col("line") == F.col("ol")) & F.col("h").eqNullSafe(F.col("oh"))).where(F.col("doc") != F.col("first"))
-    removed = hits.groupBy("k", "h", "t", "at").agg(F.max("n").alias("n")).groupBy("k", "h", "t").agg(F.sum("n").alias("n"))
+    removed = removed_words(base, key, text, host, min_docs, max_share)
     removed = removed.select(F.col("k").alias(k2), F.col("h").alias(h2), F.col("t").alias(t2), F.col("n").alias(gone))
 
     own = base.withColumn(words, words_of(c(text))).withColumn(rows, rows_in(c(text)))
