@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.identity import derived_uuid
+from docloom.functions.text_analysis import STOP_WORDS
 from docloom.operators import history, merge, search
 from docloom.session import SPACE, Engine
+from docloom.sources.store import shared_folder
 from docloom.streaming import feed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -175,7 +178,7 @@ def similarity_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WORDS = f"regexp_extract_all(lower(text), '[\\p{{L}}\\p{{Nd}}]+')"
-_STOP = "['" + "','".join(__import__("docloom.functions.text_analysis", fromlist=["STOP_WORDS"]).STOP_WORDS) + "']"
+_STOP = "['" + "','".join(STOP_WORDS) + "']"
 BM25_SQL = f"""
 WITH t AS (SELECT doc_id, list_filter({_WORDS}, lambda w: length(w) <= 64 AND NOT list_contains({_STOP}, w)) AS w FROM documents),
 s AS (SELECT count(*) FILTER (len(w) > 0) AS n, sum(len(w)) / count(*) FILTER (len(w) > 0) AS mean FROM t),
@@ -247,10 +250,7 @@ def three_way_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customer_store(spark: SparkSession, sf_dir: str) -> Engine:
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/docloom-stores"
-    e = Engine(spark, f"{base.rstrip('/')}/store-{uuid.uuid4().hex}")
+    e = Engine(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
     c = table(spark, sf_dir, "customer").where("c_custkey <= 200")
     docs = c.select(F.to_json(F.struct(F.lpad(F.col("c_custkey").cast("string"), 5, "0").alias("id"), F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("bal"), F.col("c_mktsegment").alias("seg"))).alias("body"))
     e.sql("CREATE TABLE customers (key BIGINT NOT NULL UNIQUE, bal DOUBLE, seg VARCHAR)")

@@ -2,6 +2,7 @@ import math
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from docloom.functions.text_analysis import stem, tokens, tokens_of
 from docloom.operators import search
@@ -17,7 +18,7 @@ def test_analysis(spark):
     text = "The Databases, über-cool: don't stop 42 " + "x" * 65
     want = ["databas", "über", "cool", "don", "t", "stop", "42"]
     assert tokens_of(text) == want
-    assert spark.createDataFrame([(text,)], "x string").select(tokens(__import__("pyspark.sql.functions", fromlist=["col"]).col("x"))).first()[0] == want
+    assert spark.createDataFrame([(text,)], "x string").select(tokens(F.col("x"))).first()[0] == want
 
 
 CORPUS = [("1", "Deploy databases", "how to deploy a database fast", ["ops", "db"]), ("2", "Cooking", "bread and butter", ["food"]), ("3", "Fast food", "a database of bread", ["food", "db"]), ("4", "", "", [])]
