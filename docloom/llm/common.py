@@ -54,6 +54,15 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+#: Rows of a written table up to which it is sent to all executors; each is a few numbers, so some tens of MB.
+BROADCAST_ROWS = 500_000
+
+
+def sent_if_small(df: DataFrame) -> DataFrame:
+    """A written table with a broadcast hint if it has BROADCAST_ROWS rows or fewer; else Spark joins it by a shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def forget(spark: SparkSession, *paths: str) -> None:
     """Deletes folders that written() made, when nothing that is still to run reads them."""
     for path in paths:

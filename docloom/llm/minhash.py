@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.bpe import _chunks
-from docloom.llm.common import forget, fresh, written
+from docloom.llm.common import forget, fresh, sent_if_small, written
 
 SHINGLE = 5
 SIMILARITY = (4, 5)  # 0.8 as a ratio of whole numbers
@@ -187,7 +187,8 @@ def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
                 i = j
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def _tile_links(tile: pd.DataFrame) -> pd.DataFrame:
@@ -274,7 +275,8 @@ def text_classes(texts: DataFrame) -> DataFrame:
     buckets = bands.groupBy("key").agg(F.min("t").alias("a"), F.max("t").alias("z")).where("a < z").select("key", "a")
     members, members_path = written(bands.join(buckets, "key"))
     # Only candidates' texts are kept, one of each; copies fold before they are moved on.
-    bodies, bodies_path = written(texts.join(members.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.any_value("body").alias("body")))
+    wanted, wanted_path = written(members.select("t").distinct())
+    bodies, bodies_path = written(texts.join(sent_if_small(wanted), "t", "left_semi").groupBy("t").agg(F.any_value("body").alias("body")))
     stars, stars_path = written(members.where("t <> a").select("a", F.col("t").alias("b")).distinct())
     edges, edges_path = written(_verified(stars, bodies))
     found = components(edges)
@@ -300,7 +302,7 @@ def text_classes(texts: DataFrame) -> DataFrame:
         joined = components(late)
         again = found.join(joined.select(F.col("node").alias("label"), F.col("label").alias("l")), "label", "left").select("node", F.coalesce("l", "label").alias("label"))
         found = again.unionByName(joined.join(found.select("node"), "node", "left_anti"))
-    forget(spark, rows_path, members_path, bodies_path, stars_path, edges_path, own_path, cross_path)
+    forget(spark, rows_path, members_path, wanted_path, bodies_path, stars_path, edges_path, own_path, cross_path)
     return found
 
 
@@ -335,7 +337,7 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     # Rows that go, and rows that stay once though they repeat: both few beside those that stay.
     marked = slim.join(first, "c").select("k", "t", "n", F.struct("k", "t").eqNullSafe(F.col("first")).alias("stays")).where("NOT stays OR n > 1")
     marks, _ = written(marked.select(F.col("k").alias(k2), F.col("t").alias(t2), F.col("stays").alias(n)))
-    joined = base.join(marks, (c(t) == c(t2)) & c(key).eqNullSafe(c(k2)), "left").where(c(n).isNull() | c(n))
+    joined = base.join(sent_if_small(marks), (c(t) == c(t2)) & c(key).eqNullSafe(c(k2)), "left").where(c(n).isNull() | c(n))
     plain = joined.where(c(n).isNull())
     once = joined.where(c(n).isNotNull()).dropDuplicates([key, t])
     return plain.union(once).select(*[c(x) for x in df.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import WS, fresh, let, written
+from docloom.llm.common import WS, fresh, let, sent_if_small, written
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -97,7 +97,7 @@ def keep_good(
     depleted, _ = written(removed_words(df, key, text, host, min_docs, max_share).where(F.col("n") > F.col("words") * max_removed).select(*[F.col(x).alias(f"{x} of depleted") for x in "kht"]))
     good = df.where(let(words_of(c(text)), lambda w: (F.size(w) >= min_words) & (repeat_words(w) * 100 <= F.size(w) * max_repeat_percent))).withColumn(t, F.xxhash64(c(text)))
     same = c(key).eqNullSafe(F.col("`k of depleted`")) & c(host).eqNullSafe(F.col("`h of depleted`")) & (c(t) == F.col("`t of depleted`"))
-    return good.join(depleted, same, "left_anti").select(*[c(x) for x in df.columns])
+    return good.join(sent_if_small(depleted), same, "left_anti").select(*[c(x) for x in df.columns])
 
 
 def judge_quality(
