@@ -52,7 +52,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokenization(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, and whether the ids decode to the text again."""
     own = docs.select("doc_id", "lang", "source", "text")
-    done = bpe.decode_ids(bpe.encode_texts(own, vocabulary_path(), offsets=None), vocabulary_path())
+    done = bpe.encode_texts(own, vocabulary_path(), offsets=None, decoded="decoded")
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return done.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 

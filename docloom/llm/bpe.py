@@ -22,6 +22,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from docloom.llm.common import small_batches
+
 # Letters and numbers of Unicode 16 that an older unicodedata does not know, as the common BPE libraries class them.
 LETTERS_16 = [
     (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
@@ -289,16 +291,25 @@ def _chunks(column: pa.Array) -> Iterator[tuple[np.ndarray, bytes, np.ndarray]]:
         i = stop
 
 
-def encode_texts(df: DataFrame, path: str, text: str = "text", ids: str = "ids", offsets: str | None = "offsets") -> DataFrame:
+def _decoded(vocabulary: Vocabulary, flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes that each row's ids decode to."""
+    byte_ends = np.concatenate(([0], np.cumsum(vocabulary.sizes[flat])))[ends]
+    pieces = [vocabulary.decode(flat[k : k + CHUNK_BYTES]) for k in range(0, len(flat), CHUNK_BYTES)]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(byte_ends.astype(np.int64)), pa.py_buffer(b"".join(pieces))]).cast(pa.binary())
+
+
+def encode_texts(df: DataFrame, path: str, text: str = "text", ids: str = "ids", offsets: str | None = "offsets", decoded: str | None = None) -> DataFrame:
     """The rows of df with `ids` array<int> and `offsets` array<long>, the first byte of each token in the text's UTF-8 form (None: left out).
 
+    decoded: a column for the bytes that the ids decode to again, as decode_ids gives them but in the same pass and the same Python workers.
+
     path: a file of base64 byte strings with ranks. Every text is encoded whole, as many slices as it has; special tokens have no meaning.
     Null and empty texts: empty arrays. Columns of df with these names are replaced. Rows map one to one; nothing is shuffled.
     """
     name, shipped = _ship(df, path)
-    keep = [c for c in df.columns if c.lower() not in (ids.lower(), (offsets or ids).lower())]
+    keep = [c for c in df.columns if c.lower() not in (ids.lower(), (offsets or ids).lower(), (decoded or ids).lower())]
     base = df.select(*[f"`{c}`" for c in keep])
-    schema = T.StructType([*base.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)] + ([T.StructField(offsets, T.ArrayType(T.LongType(), False), False)] if offsets else []))
+    schema = T.StructType([*base.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)] + ([T.StructField(offsets, T.ArrayType(T.LongType(), False), False)] if offsets else []) + ([T.StructField(decoded, T.BinaryType(), False)] if decoded else []))
     at = keep.index(next(c for c in keep if c.lower() == text.lower()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,9 +329,11 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", ids: str = "ids",
                 begin = np.cumsum(size) - size
                 heads = np.repeat(begin[np.minimum(ends[:-1], max(len(flat) - 1, 0))] if len(flat) else np.zeros(batch.num_rows, np.int64), counts)
                 columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(begin - heads)))
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, ids, *([offsets] if offsets else [])])
+            if decoded:
+                columns.append(_decoded(vocabulary, flat, ends))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return base.mapInArrow(run, schema)
+    return small_batches(base).mapInArrow(run, schema)
 
 
 def decode_ids(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -338,9 +351,6 @@ def decode_ids(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decod
             sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             flat = column.flatten().to_numpy(zero_copy_only=False)
             ends = np.concatenate(([0], np.cumsum(sizes)))
-            byte_ends = np.concatenate(([0], np.cumsum(vocabulary.sizes[flat])))[ends]
-            pieces = [vocabulary.decode(flat[k : k + CHUNK_BYTES]) for k in range(0, len(flat), CHUNK_BYTES)]
-            out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(byte_ends.astype(np.int64)), pa.py_buffer(b"".join(pieces))])
-            yield pa.RecordBatch.from_arrays([*batch.columns, out.cast(pa.binary())], names=[*batch.schema.names, decoded])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _decoded(vocabulary, flat, ends)], names=[*batch.schema.names, decoded])
 
-    return base.mapInArrow(run, schema)
+    return small_batches(base).mapInArrow(run, schema)

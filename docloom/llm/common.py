@@ -54,6 +54,19 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+#: Rows of an Arrow batch at most where whole texts go through Python, so that a worker holds some MB of them at once.
+BATCH_ROWS = 1500
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches bounded by BATCH_ROWS; a lower bound that is set already stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(name, "10000"))
+    if not 0 < now <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 #: Rows of a written table up to which it is sent to all executors; each is a few numbers, so some tens of MB.
 BROADCAST_ROWS = 500_000
 

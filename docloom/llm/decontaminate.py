@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm.bpe import LETTER, NUMBER, _chunks, code_point_classes
+from docloom.llm.common import small_batches
 
 Q = 10
 RATE = 0.08
@@ -214,7 +215,7 @@ def _pass(df: DataFrame, items: Items, text: str, leaks: str) -> DataFrame:
                     lists[rows[doc]].append({"item_id": own.ids[item], "start": start, "end": end, "edits": edits})
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, kind)], names=[*batch.schema.names, leaks])
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", leaks: str = "leaks") -> DataFrame:

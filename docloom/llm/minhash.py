@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.bpe import _chunks
-from docloom.llm.common import forget, fresh, sent_if_small, written
+from docloom.llm.common import forget, fresh, sent_if_small, small_batches, written
 
 SHINGLE = 5
 SIMILARITY = (4, 5)  # 0.8 as a ratio of whole numbers
@@ -165,7 +165,7 @@ def _band_rows(texts: DataFrame) -> DataFrame:
                 ends = np.arange(len(keys) + 1, dtype=np.int32) * BANDS
                 yield pa.RecordBatch.from_arrays([pa.array(ids[rows[full]]), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))], names=["t", "keys"])
 
-    return texts.mapInArrow(run, "t long, keys array<long>")
+    return small_batches(texts).mapInArrow(run, "t long, keys array<long>")
 
 
 def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["a", "b"])
 
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return both.mapInArrow(run, "a long, b long")
+    return small_batches(both).mapInArrow(run, "a long, b long")
 
 
 def _tile_links(tile: pd.DataFrame) -> pd.DataFrame:

@@ -29,8 +29,7 @@ def vocabulary_path() -> str:
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its tokens, and the bytes that they decode to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode_texts(docs, vocabulary_path(), offsets=None).drop("text")
-    done = bpe.decode_ids(ids, vocabulary_path())
+    done = bpe.encode_texts(docs, vocabulary_path(), offsets=None, decoded="decoded")
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha_hex(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), sha_hex(F.col("decoded")).alias("decoded_sha256"))
 
 

@@ -55,6 +55,8 @@ def test_bpe_frames(spark):
     for r, t in zip(rows, texts):
         assert r["ids"] == LIBRARY.encode_ordinary(t or "") and r["decoded"] == (t or "").encode()
         assert [r["decoded"][a:b] for a, b in zip(r["offsets"], [*r["offsets"][1:], len(r["decoded"])])] == [VOCABULARY.words[i] for i in r["ids"]]
+    both = bpe.encode_texts(df, PATH, offsets=None, decoded="out").orderBy("doc_id").collect()
+    assert [(r["ids"], r["out"]) for r in both] == [(r["ids"], r["decoded"]) for r in rows]
     assert bpe.encode_texts(df.limit(0), PATH).count() == 0
 
 
