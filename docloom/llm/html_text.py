@@ -1,7 +1,7 @@
 """Main text of web pages by tag-path ratios.
 
-Each text node belongs to its root-to-leaf tag path (names with their classes). For each path the text and punctuation per node are
-aggregated, lowered by the share of link text, smoothed over the neighbouring nodes of the page, fused, and thresholded; the nodes of the
+Each text node belongs to the root-to-leaf tag path (names with their classes) of its nearest block element, so links and other inline elements
+are judged with the text around them. For each path the text and punctuation per block are aggregated, lowered by the share of link text, smoothed over the neighbouring nodes of the page, fused, and thresholded; the nodes of the
 paths above the threshold are the content. Paths that say themselves that they are no article (nav, footer, class="ad" and so on) count as 0.
 """
 
@@ -67,15 +67,15 @@ def _noisy(name: str, attributes: str, inside_article: bool) -> tuple[bool, str]
 
 
 def text_nodes(page: str) -> list[tuple[str, str, bool, int]]:
-    """(path, text, in a link, block number) of the text nodes that no noisy element holds, in page order."""
+    """(path of the nearest block element, text, in a link, block number) of the text nodes that no noisy element holds, in page order."""
     out: list[tuple[str, str, bool, int]] = []
-    stack: list[tuple[str, str, bool]] = []  # name, path, noisy
+    stack: list[tuple[str, str, bool, str]] = []  # name, path, noisy, path of the nearest block
     block, at, end = 0, 0, len(page)
     articles = links = 0
 
     def pop_to(depth: int) -> None:
         nonlocal articles, links
-        for name, _, _ in stack[depth:]:
+        for name, *_ in stack[depth:]:
             articles -= name in ("article", "main")
             links -= name == "a"
         del stack[depth:]
@@ -83,7 +83,7 @@ def text_nodes(page: str) -> list[tuple[str, str, bool, int]]:
     def take(text: str) -> None:
         if not stack or not stack[-1][2]:
             if text and not text.isspace():
-                out.append((stack[-1][1] if stack else "", html.unescape(text) if "&" in text else text, links > 0, block))
+                out.append((stack[-1][3] if stack else "", html.unescape(text) if "&" in text else text, links > 0, block))
             elif text and out and out[-1][3] == block:
                 out.append((out[-1][0], " ", False, block))
 
@@ -124,8 +124,9 @@ def text_nodes(page: str) -> list[tuple[str, str, bool, int]]:
         if name in VOID or attributes.endswith("/") and name not in RAW:
             continue
         bad, label = _noisy(name, attributes, articles > 0)
-        above = stack[-1] if stack else ("", "", False)
-        stack.append((name, f"{above[1]}/{label}", above[2] or bad))
+        above = stack[-1] if stack else ("", "", False, "")
+        path = f"{above[1]}/{label}"
+        stack.append((name, path, above[2] or bad, above[3] if name in INLINE else path))
         articles += name in ("article", "main")
         links += name == "a"
         if name in RAW:
@@ -145,19 +146,21 @@ def _smooth(values: list[float]) -> list[float]:
 def content_paths(nodes: list[tuple[str, str, bool, int]], share: float = SHARE) -> set[str]:
     """The paths whose fused ratio is above the threshold; a heading path has the ratio of the text behind it if that is larger."""
     stats: dict[str, list[float]] = {}
-    for path, text, link, _ in nodes:
+    full: list[tuple[str, int]] = []  # the texts of a block under one path are one node
+    for path, text, link, block in nodes:
         s = stats.setdefault(path, [0, 0, 0, 0])
         n = len(text.strip())
         s[0] += n
         s[1] += len(PUNCTUATION.findall(text))
-        s[2] += n > 0
         s[3] += n * link
+        if n and (not full or full[-1] != (path, block)):
+            full.append((path, block))
+            s[2] += 1
     if not stats:
         return set()
     ratio = {p: t / max(c, 1) * (1 - a / max(t, 1)) for p, (t, _, c, a) in stats.items()}
     marks = {p: s[1] / max(s[2], 1) for p, s in stats.items()}
-    full = [n for n in nodes if n[1] != " "]
-    length, punctuation = _smooth([ratio[p] for p, _, _, _ in full]), _smooth([marks[p] for p, _, _, _ in full])
+    length, punctuation = _smooth([ratio[p] for p, _ in full]), _smooth([marks[p] for p, _ in full])
     own = [x * (1 + y) * (stats[n[0]][3] < 0.9 * stats[n[0]][0]) for n, x, y in zip(full, length, punctuation)]
     for i in range(len(full) - 2, -1, -1):
         if HEADING.search(full[i][0]):

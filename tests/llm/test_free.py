@@ -103,6 +103,15 @@ def test_html_articles(spark, sf):
         assert r["text"] == " ".join(__import__("html").unescape(words).split())
 
 
+def test_html_links_in_text():
+    p = "<p>See <a href=x>the report</a> for more, and <b><a href=y>its notes</a></b>; both are long. Rea<a href=z>d</a> on.</p>"
+    items = "<ul class=points><li>First point, with <a href=x>a source</a> of its own.</li><li>Second point, <a href=y>another</a>.</li><li><a href=z>Third</a>, and last.</li></ul>"
+    links = "<ul class=more><li><a href=1>Other page</a></li><li><a href=2>One more page</a></li></ul>"
+    want = "Head See the report for more, and its notes; both are long. Read on. First point, with a source of its own. Second point, another. Third, and last."
+    for body in (f"<article><h1><a href=h>Head</a></h1>{p}{items}{links}</article>", f"<div id=text><h1><a href=h>Head</a></h1>{p}{items}</div>{links}"):
+        assert html_text.main_text(f"<body>{body}</body>") == want
+
+
 # ---- near duplicates
 
 
