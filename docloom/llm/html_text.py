@@ -1,8 +1,10 @@
 """Main text of web pages by tag-path ratios.
 
 Each text node belongs to the root-to-leaf tag path (names with their classes) of its nearest block element, so links and other inline elements
-are judged with the text around them. For each path the text and punctuation per block are aggregated, lowered by the share of link text, smoothed over the neighbouring nodes of the page, fused, and thresholded; the nodes of the
-paths above the threshold are the content. Paths that say themselves that they are no article (nav, footer, class="ad" and so on) count as 0.
+are judged with the text around them. Within <article> or <main> every path is content that is no list of links. Elsewhere the text and
+punctuation per block are aggregated for each path, lowered by the share of link text, smoothed over the neighbouring nodes of the page, taken
+by their logarithms, fused, and thresholded; the nodes of the paths above the threshold are the content. A list or table counts with all its text.
+Paths that say themselves that they are no article (nav, footer, class="ad" and so on) count as 0.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterable, Iterator
+from math import log1p
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,8 +44,12 @@ PUNCTUATION = re.compile(r"[.,;:!?。，、؟،]")
 NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 NEAR = (1.0, 2.0, 1.0)
-#: A path is content if its fused ratio is at least this share of the page's mean, weighted by text; the second where <article> or <main> holds the text.
-SHARE, SHARE_INSIDE = 0.15, 0.03
+#: Outside <article> and <main>, a path is content if its fused logarithms are at least this share of the page's mean, weighted by text.
+SHARE = 0.15
+#: A path is a list of links if they hold this share of its text, separators left out.
+LINKS = 0.9
+#: Lists and tables: the innermost that holds a path.
+GROUP = re.compile(r".*/(?:table|ul|ol|dl)(?=[./]|\Z)[^/]*", re.S)
 HEADING = re.compile(r"/h[1-6][^/]*(?:/[^/]+)?\Z")
 
 
@@ -143,25 +150,43 @@ def _smooth(values: list[float]) -> list[float]:
     return out
 
 
-def content_paths(nodes: list[tuple[str, str, bool, int]], share: float = SHARE) -> set[str]:
-    """The paths whose fused ratio is above the threshold; a heading path has the ratio of the text behind it if that is larger."""
+def content_paths(nodes: list[tuple[str, str, bool, int]], inside: bool = False) -> set[str]:
+    """The paths of the content; inside: <article> or <main> holds the nodes. A heading path has the value of the text behind it if that is larger."""
     stats: dict[str, list[float]] = {}
+    group: dict[str, str] = {}
+    held: dict[str, list[float]] = {}
     full: list[tuple[str, int]] = []  # the texts of a block under one path are one node
+    last = ""
     for path, text, link, block in nodes:
-        s = stats.setdefault(path, [0, 0, 0, 0])
-        n = len(text.strip())
+        if path not in stats:
+            stats[path] = [0, 0, 0, 0, 0]
+            group[path] = m[0] if (m := GROUP.match(path)) else ""
+        s, n, g = stats[path], len(text.strip()), group[path]
+        if not n:
+            continue
         s[0] += n
         s[1] += len(PUNCTUATION.findall(text))
-        s[3] += n * link
-        if n and (not full or full[-1] != (path, block)):
+        if any(map(str.isalnum, text)):
+            s[3] += n * link
+            s[4] += n
+        if not full or full[-1] != (path, block):
             full.append((path, block))
             s[2] += 1
-    if not stats:
+        h = held.setdefault(g, [0, 0])
+        h[0] += n
+        h[1] += g != last
+        last = g
+    if not full:
         return set()
-    ratio = {p: t / max(c, 1) * (1 - a / max(t, 1)) for p, (t, _, c, a) in stats.items()}
-    marks = {p: s[1] / max(s[2], 1) for p, s in stats.items()}
-    length, punctuation = _smooth([ratio[p] for p, _ in full]), _smooth([marks[p] for p, _ in full])
-    own = [x * (1 + y) * (stats[n[0]][3] < 0.9 * stats[n[0]][0]) for n, x, y in zip(full, length, punctuation)]
+    linked = {p: 0 < a and a >= LINKS * t for p, (_, _, _, a, t) in stats.items()}
+    if inside:
+        own = [float(not linked[p]) for p, _ in full]
+    else:
+        size = {p: held[g][0] / held[g][1] if (g := group[p]) else s[0] / max(s[2], 1) for p, s in stats.items()}
+        ratio = {p: size[p] * (1 - s[3] / max(s[4], 1)) for p, s in stats.items()}
+        marks = {p: s[1] / max(s[2], 1) for p, s in stats.items()}
+        length, punctuation = _smooth([ratio[p] for p, _ in full]), _smooth([marks[p] for p, _ in full])
+        own = [(log1p(x) + log1p(y)) * (not linked[n[0]]) for n, x, y in zip(full, length, punctuation)]
     for i in range(len(full) - 2, -1, -1):
         if HEADING.search(full[i][0]):
             own[i] = max(own[i], own[i + 1])
@@ -169,19 +194,22 @@ def content_paths(nodes: list[tuple[str, str, bool, int]], share: float = SHARE)
     for n, v in zip(full, own):
         fused.setdefault(n[0], []).append(v)
     score = {p: sum(v) / len(v) for p, v in fused.items()}
+    if inside:
+        return {p for p, v in score.items() if v > 0}
     mean = sum(score[p] * stats[p][0] for p in score) / max(sum(stats[p][0] for p in score), 1)
-    return {p for p, v in score.items() if v >= share * mean and v > 0}
+    return {p for p, v in score.items() if v >= SHARE * mean and v > 0}
 
 
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks in page order, white space in them single, joined by one space."""
     if not page:
         return ""
-    nodes, share = text_nodes(page), SHARE
+    nodes = text_nodes(page)
     inside = [n for n in nodes if re.search(r"/(?:article|main)(?=[./]|\Z)", n[0])]
     if sum(len(n[1]) for n in inside) * 4 >= sum(len(n[1]) for n in nodes if not n[2]):
-        nodes, share = inside, SHARE_INSIDE
-    keep = content_paths(nodes, share)
+        nodes, keep = inside, content_paths(inside, True)
+    else:
+        keep = content_paths(nodes)
     parts, last = [], None
     for i, (path, text, _, block) in enumerate(nodes):
         if path in keep or text == " ":

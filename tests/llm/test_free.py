@@ -112,6 +112,18 @@ def test_html_links_in_text():
         assert html_text.main_text(f"<body>{body}</body>") == want
 
 
+@pytest.mark.parametrize("outer", ["article", "main", "div"])
+def test_html_short_blocks_beside_long_paragraphs(outer):
+    paragraph = "<p>" + "A long sentence with a mark, of a hundred characters or so, that goes on for as long as it can do. " * 10 + "</p>"
+    table = lambda cell: "<table>" + "".join("<tr>" + "".join(f"<td>{cell(10 * r + c)}</td>" for c in range(10)) + "</tr>" for r in range(20)) + "</table>"
+    short = table(lambda i: f"c{i:04d}") + table(lambda i: i % 10) + "<ul>" + "".join(f"<li>Item {i} of a list, sixty characters long or so, no more</li>" for i in range(30)) + "</ul>"
+    short += "<figure><img src=x><figcaption>A view</figcaption></figure><blockquote>To be or not</blockquote><ol><li>1</li><li>2</li></ol>"
+    links = "<ul class=more><li><a href=1>Other page</a></li><li><a href=2>One more</a></li></ul><div class=path><a href=1>Top</a> | <a href=2>Part</a> | <a href=3>Here</a></div>"
+    for body in (paragraph * 10 + short + paragraph * 10, short + paragraph * 20):
+        got = html_text.main_text(f"<body>{links}<{outer}>{body}{links}</{outer}></body>")
+        assert got == " ".join(re.sub("<.*?>", " ", body).split())
+
+
 # ---- near duplicates
 
 
