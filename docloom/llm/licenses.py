@@ -74,11 +74,24 @@ NOTICES = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 ]
 
-COPYRIGHT_LINE = r"(?md)^[^\p{L}\p{N}\n]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
+# Titles that files of these licenses begin with; a text under its title has a digest of its own.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License"],
+    "Zlib": ["zlib License", "The zlib/libpng License"],
+    "BSL-1.0": ["Boost Software License", "Boost Software License - Version 1.0", "Boost Software License - Version 1.0 - August 17th, 2003"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "The 2-Clause BSD License"],
+    "Unlicense": ["Unlicense", "The Unlicense"],
+}
+
+#: Lines of a license, not of its holder, may begin with "copyright" where a text is wrapped: it is followed by one of these words, and the line has no year, (c) or ©.
+COPYRIGHT_PROSE = "notices?|holders?|owners?|laws?|interests?|licen[sc]es?|licensors?|statements?|disclaimers?|protections?|rights?|and|or|in|is|to"
+COPYRIGHT_LINE = rf"(?md)^[^\p{{L}}\p{{N}}\n]*(?:copyright\b(?![^\p{{L}}\p{{N}}\n]*(?:{COPYRIGHT_PROSE})\b(?![^\n]*(?:\b(?:19|20)\d\d\b|\(c\)|©)))|\(c\)|©|all rights reserved)[^\n]*$"
 
 
 def canonical_lines(text: Column) -> Column:
-    """Lower case, copyright lines emptied, each run of other characters than letters, digits and \\n one space. Spellings are left."""
+    """Lower case, copyright lines (of a year or a holder) emptied, each run of other characters than letters, digits and \\n one space. Spellings are left."""
     plain = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
     return F.regexp_replace(plain, r"[^\p{L}\p{N}\n]+", " ")
 
@@ -97,6 +110,18 @@ def canonical(text: Column) -> Column:
     return one_spelling(squeezed(canonical_lines(text)))
 
 
+def titled() -> list[tuple[str, str]]:
+    """(license, text under a title of it)."""
+    return [(name, f"{title}\n\n{TEXTS[name]}") for name, titles in TITLES.items() for title in titles]
+
+
+def first_words(spark: SparkSession, notices: Sequence[tuple[str, str]]) -> list[str]:
+    """The words that a line may begin with, in any spelling, if it is one of the notices."""
+    rows = spark.createDataFrame(list(notices), "license string, text string").select(F.substring_index(canonical(F.col("text")), " ", 1).alias("w"))
+    first = {r["w"] for r in rows.collect()}  # as many as notices in the program
+    return sorted(first | {old for old, new in SPELLINGS.items() if new.split(" ")[0] in first})
+
+
 def known_digests(spark: SparkSession, known: Sequence[tuple[str, str]]) -> DataFrame:
     """(digest, license) of (license, text) pairs; of texts with one digest, the first license by name."""
     rows = spark.createDataFrame(list(known), "license string, text string")
@@ -112,7 +137,7 @@ def scan_licenses(df: DataFrame, text: str = "text", texts: Sequence[tuple[str,
     `texts` and `notices` are lists in the program; their digests are what is broadcast or put into the plan.
     """
     spark = df.sparkSession
-    texts = list(TEXTS.items()) + NOTICES if texts is None else list(texts)
+    texts = list(TEXTS.items()) + NOTICES + titled() if texts is None else list(texts)
     notices = NOTICES if notices is None else list(notices)
     base = df.drop(*[c for c in df.columns if c.lower() in ("license", "notices", "digest")])
     lines, known_d, known_l = fresh(base, "lines", "known_digest", "known_license")
@@ -123,7 +148,7 @@ def scan_licenses(df: DataFrame, text: str = "text", texts: Sequence[tuple[str,
         longest = max(len(n) for _, n in notices)
         table = F.create_map(*[F.lit(x) for kv in sorted(by_digest.items()) for x in kv])
         # A line that becomes a notice by spelling alone is at most twice as long.
-        short = F.filter(F.transform(F.split(lines, "\n"), lambda x: F.trim(x)), lambda x: (F.length(x) > 0) & (F.length(x) <= 2 * longest) & x.rlike("licen[sc]e"))
+        short = F.filter(F.transform(F.split(lines, "\n"), lambda x: F.trim(x)), lambda x: (F.length(x) > 0) & (F.length(x) <= 2 * longest) & F.substring_index(x, " ", 1).isin(first_words(spark, notices)))
         named = F.transform(short, lambda x: F.element_at(table, sha_hex(one_spelling(x))))
         step = step.withColumn("notices", F.coalesce(F.array_sort(F.array_distinct(F.filter(named, lambda x: x.isNotNull()))), F.array().cast("array<string>")))
     else:

@@ -27,6 +27,22 @@ def test_licenses(spark):
     assert licenses.scan_licenses(frame(spark, [], "doc_id long, text string")).count() == 0
 
 
+def test_license_notices_of_any_words(spark):
+    notices = [("CC0-1.0", "CC0 1.0 Universal"), ("PD", "Released into the public domain."), ("X", "Version 2 of the terms"), ("Y", "Non-commercial use only")]
+    rows = [(1, "Text.\n  CC0 1.0 universal \nmore"), (2, "released into the public domain!"), (3, "ver. 2 of the terms\nNoncommercial use only"), (4, "Released into the wild.")]
+    got = {r["doc_id"]: r["notices"] for r in licenses.scan_licenses(frame(spark, rows, "doc_id long, text string"), notices=notices).collect()}
+    assert got == {1: ["CC0-1.0"], 2: ["PD"], 3: ["X", "Y"], 4: []}
+
+
+def test_licenses_wrapped_and_titled(spark):
+    isc = licenses.TEXTS["ISC"].replace("provided that the above copyright", "provided that the above\ncopyright")
+    bsd = licenses.TEXTS["BSD-2-Clause"].replace("BY THE COPYRIGHT HOLDERS", "BY THE\nCOPYRIGHT HOLDERS")
+    own = ["Copyright (c) 2020 Ann", "Copyright 2019-2021 by Ann and others", "Copyright Ann Example", "  * Copyright: Notice Works, 2020", "© Ann", "Copyright holders: Ann, 2020"]
+    rows = [(i, f"{c}\n\n{isc}") for i, c in enumerate(own)] + [(10, bsd), (11, "MIT License\n\nCopyright (c) 2020 Ann\n\n" + licenses.TEXTS["MIT"]), (12, "The Unlicense\n" + licenses.TEXTS["Unlicense"]), (13, "A License\n" + licenses.TEXTS["MIT"])]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan_licenses(frame(spark, rows, "doc_id long, text string")).collect()}
+    assert got == dict.fromkeys(range(len(own)), "ISC") | {10: "BSD-2-Clause", 11: "MIT", 12: "Unlicense", 13: None}
+
+
 def jump(key, n):
     b, j = -1, 0
     while j < n:
