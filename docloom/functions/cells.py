@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 NULL, BOOL, LONG, DOUBLE, STRING, JSON = range(6)
 TYPE = "struct<t:int,l:bigint,d:double,s:string>"
-#: Arrays of arrays are unwrapped to this depth when a path meets them.
+#: Rounds in which arrays of arrays are unwrapped one by one; values that hold more go through a loop.
 DEPTH = 3
+#: Spark's JSON parser takes no deeper nesting.
+DEEPEST = 1000
 EXACT = float(1 << 53)
 
 
@@ -63,10 +65,21 @@ def is_array(v: Column) -> Column:
 
 
 def spread(many: Column, depth: int = DEPTH) -> Column:
-    """VARIANT candidates with arrays replaced by their elements."""
-    for _ in range(depth):
-        many = F.flatten(F.transform(many, lambda v: F.when(is_array(v), F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array(v))))
-    return many
+    """VARIANT candidates with arrays replaced by their elements, until none is an array."""
+
+    def once(vs: Column) -> Column:
+        return F.flatten(F.transform(vs, lambda v: F.when(is_array(v), F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array(v))))
+
+    def rest(vs: Column) -> Column:
+        # No value is nested deeper than it has brackets.
+        brackets = F.aggregate(F.transform(F.filter(vs, is_array), lambda v: F.length(F.regexp_replace(F.to_json(v), r"[^\[]+", ""))), F.lit(0), lambda a, b: F.greatest(a, b))
+        rounds = F.sequence(F.lit(1), F.least(brackets, F.lit(DEEPEST)))
+        return F.aggregate(rounds, vs, lambda left, _: F.when(F.exists(left, is_array), once(left)).otherwise(left))
+
+    def step(vs: Column, left: int) -> Column:
+        return F.when(F.exists(vs, is_array), let(once(vs), lambda w: step(w, left - 1)) if left else rest(vs)).otherwise(vs)
+
+    return let(many, lambda vs: step(vs, depth))
 
 
 def walk(root: Column, segments: list[str]) -> Column:

@@ -167,3 +167,16 @@ def test_random_predicates(spark):
 
 def ids_of(e, w):
     return sorted(r[0] for r in e.sql(f"SELECT _id FROM t WHERE {w}").collect())
+
+
+def test_arrays_in_arrays_of_any_depth(spark):
+    def deep(value, n):
+        return value if n == 0 else [deep(value, n - 1), n]
+
+    e = Engine(spark)
+    rows = [(n, json.dumps({"a": deep({"b": n}, n), "c": deep("x", n)})) for n in (0, 1, 3, 4, 7, 60)] + [(99, json.dumps({"a": [[[[[], [[{"b": [[[[5]]]]}]]]]], {"b": 4}]})), (100, '{"a": [[[[[[]]]]]]}')]
+    e.register("deep", spark.createDataFrame(rows, "_id long, _doc string"), "_id", "_doc")
+    found = lambda where: sorted(r[0] for r in e.sql(f"SELECT _id FROM deep WHERE {where}").collect())
+    assert [found(f"a.b = {n}") for n in (0, 1, 3, 4, 7, 60, 5)] == [[0], [1], [3], [4, 99], [7], [60], [99]]
+    assert found("c = 'x'") == [0, 1, 3, 4, 7, 60] and found("a = 60") == [60] and found("a = 7") == [7, 60]
+    assert {r[0]: json.loads(r[1]) for r in e.sql("SELECT _id, ALL_VALUES(a.b) FROM deep WHERE _id > 50").collect()} == {60: [60], 99: [5, 4], 100: []}
