@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,13 +49,28 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/docloom-{uuid.uuid4().hex}"
 
 
+_scratch: list[list[str]] = []
+
+
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """df cut off from its lineage: written as Parquet to the shared folder and read again; and the folder."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
+    if _scratch:
+        _scratch[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at its end the folders that written() makes in it, but for those taken out of the list that it gives."""
+    _scratch.append([])
+    try:
+        yield _scratch[-1]
+    finally:
+        forget(spark, *_scratch.pop())
+
+
 #: Rows of an Arrow batch at most where whole texts go through Python, so that a worker holds some MB of them at once.
 BATCH_ROWS = 1500
 
@@ -69,6 +86,8 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 #: Rows of a written table up to which it is sent to all executors; each is a few numbers, so some tens of MB.
 BROADCAST_ROWS = 500_000
+#: Bytes up to which a measured table of wider rows is sent.
+BROADCAST_BYTES = 32 << 20
 
 
 def sent_if_small(df: DataFrame) -> DataFrame:

@@ -18,12 +18,14 @@ from docloom.llm.common import small_batches
 BITS = 16
 DIM = 16
 ORDERS = (2, 3, 4)
-#: Bounds of the training sample: documents a language, bytes of a document, and languages (the most frequent).
+#: Bounds of the training sample: documents a language, documents in all (each language has the same share of them), and characters and subwords of an example.
 DOCS_A_LANGUAGE = 400
-MAX_TRAIN_BYTES = 100_000
-MAX_LANGUAGES = 200
+DOCS_IN_ALL = 20_000
+MAX_TRAIN_CHARS = 100_000
+MAX_TRAIN_SUBWORDS = 2000
 EPOCHS = 6
-#: Accepted predictions must be right this often on the calibration examples; a score below the lowest such threshold (FLOOR at least) is rejected.
+#: Accepted predictions must be right this often, as a share of how often the better scored half is, on the calibration examples (so labels that are wrong
+#: everywhere alike do not count); a score below the lowest such threshold, or below FLOOR, is rejected.
 PRECISION = 0.99
 FLOOR = 0.4
 UNDETERMINED = "und"
@@ -76,10 +78,12 @@ def subwords(data: bytes, sizes: np.ndarray) -> tuple[list[np.ndarray], np.ndarr
 
 @dataclass
 class Model:
-    """languages, and the logits of each bucket (embedding times softmax weights), the bias, 1 / temperature and the rejection threshold."""
+    """languages, a vector of each bucket, what turns mean vectors into logits (None: they are, which is faster for few languages), the bias, 1 / temperature
+    and the rejection threshold. Its size is 2**BITS x DIM numbers at most, and DIM a language."""
 
     languages: list[str]
-    logits: np.ndarray
+    vectors: np.ndarray
+    weights: np.ndarray | None
     bias: np.ndarray
     sharpness: float
     threshold: float
@@ -87,12 +91,13 @@ class Model:
     def scores(self, data: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(probability of each language, number of subwords) of each text."""
         buckets, at = subwords(data, sizes)
-        total = np.zeros((len(at), len(self.languages)))
+        total = np.zeros((len(at), self.vectors.shape[1]))
         count = np.zeros(len(at), np.int64)
         for b in buckets:
-            total += np.add.reduceat(self.logits[b], at, axis=0, dtype=np.float64)
+            total += np.add.reduceat(self.vectors[b], at, axis=0, dtype=np.float64)
             count += np.add.reduceat((b >> BITS) == 0, at, dtype=np.int64)
-        return _softmax((total / np.maximum(count, 1)[:, None] + self.bias) * self.sharpness), count
+        mean = total / np.maximum(count, 1)[:, None]
+        return _softmax(((mean if self.weights is None else mean @ self.weights) + self.bias) * self.sharpness), count
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -114,7 +119,8 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model | None:
     rng = np.random.default_rng(seed)
     languages = sorted({lang for lang, _ in rows})
     fit: list[tuple[np.ndarray, int]] = []
-    check: list[tuple[np.ndarray, int, bool]] = []
+    check: list[tuple[np.ndarray, int]] = []
+    number = {lang: i for i, lang in enumerate(languages)}
     for k, (lang, text) in enumerate(rows):
         for j, x in enumerate(_examples(text, rng)):
             data = x.encode()
@@ -124,9 +130,9 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model | None:
             b = b[b < 1 << BITS]
             if len(b):
                 if k % 5 == 4:
-                    check.append((b, languages.index(lang), j == 0))
+                    check.append((b, number[lang]))
                 else:
-                    fit.append((b if len(b) <= 2000 else rng.choice(b, 2000, replace=False), languages.index(lang)))
+                    fit.append((b if len(b) <= MAX_TRAIN_SUBWORDS else rng.choice(b, MAX_TRAIN_SUBWORDS, replace=False), number[lang]))
     if not fit:
         return None
     dim, n = DIM, len(languages)
@@ -146,16 +152,19 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model | None:
             weights -= rate * np.outer(v, p)
             bias -= rate * 0.1 * p
             np.subtract.at(embedding, b, (rate * back).astype(np.float32) * np.float32(4 / max(4, len(b)) * 4))
-    logits = np.zeros(((1 << BITS) + 1, n), np.float32)
-    logits[:-1] = embedding @ weights
-    sharpness, threshold = _calibrate(logits, bias, check or [(b, y, True) for b, y in fit])
-    return Model(languages, logits, bias.astype(np.float64), sharpness, threshold)
-
-
-def _calibrate(logits: np.ndarray, bias: np.ndarray, check: list[tuple[np.ndarray, int, bool]]) -> tuple[float, float]:
-    """The sharpness (1 / temperature) of least log loss, and the lowest threshold above which PRECISION of the predictions are right."""
-    x = np.array([logits[b].mean(axis=0, dtype=np.float64) + bias for b, _, _ in check])
-    y = np.array([k for _, k, _ in check])
+    vectors = np.zeros(((1 << BITS) + 1, min(n, dim)), np.float32)
+    vectors[:-1] = embedding @ weights if n <= dim else embedding
+    head = None if n <= dim else weights.astype(np.float64)
+    model = Model(languages, vectors, head, bias.astype(np.float64), 1.0, 0.0)
+    model.sharpness, model.threshold = _calibrate(model, check or fit)
+    return model
+
+
+def _calibrate(model: Model, check: list[tuple[np.ndarray, int]]) -> tuple[float, float]:
+    """The sharpness (1 / temperature) of least log loss, and the lowest threshold above which predictions are right as often as PRECISION asks."""
+    mean = np.array([model.vectors[b].mean(axis=0, dtype=np.float64) for b, _ in check])
+    x = (mean if model.weights is None else mean @ model.weights) + model.bias
+    y = np.array([k for _, k in check])
     grid = np.geomspace(0.05, 20, 60)
     losses = [-np.log(np.maximum(_softmax(x * g)[np.arange(len(y)), y], 1e-12)).mean() for g in grid]
     sharpness = float(grid[int(np.argmin(losses))])
@@ -163,9 +172,8 @@ def _calibrate(logits: np.ndarray, bias: np.ndarray, check: list[tuple[np.ndarra
     score, right = p.max(axis=1), p.argmax(axis=1) == y
     order = np.argsort(-score, kind="stable")
     precision = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
-    good = np.flatnonzero(precision >= PRECISION)
-    threshold = score[order][good[-1]] if len(good) else 1.0
-    return sharpness, float(max(FLOOR, min(threshold, 0.9)))
+    good = np.flatnonzero(precision >= PRECISION * precision[(len(order) - 1) // 2])
+    return sharpness, float(max(FLOOR, score[order][good[-1]]))
 
 
 def held_out(key: Column) -> Column:
@@ -173,22 +181,25 @@ def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def sample_labelled(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", docs: int = DOCS_A_LANGUAGE) -> list[tuple[str, str]]:
-    """(language, text) of at most `docs` rows of each of the MAX_LANGUAGES most frequent languages, no text over MAX_TRAIN_BYTES, none held out.
+def sample_labelled(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", docs: int = DOCS_A_LANGUAGE, in_all: int = DOCS_IN_ALL) -> list[tuple[str, str]]:
+    """(language, text) of at most `docs` rows of each language, and of in_all / languages of them, none held out; of each text its first MAX_TRAIN_CHARS characters.
 
-    Rows are picked by a hash of key and text; equal rows count once.
+    Every language is learnt, the rarest too, unless there are more than in_all. Rows are picked by a hash of key and text; equal rows count once.
     """
     c = lambda name: F.col(f"`{name}`")
-    rows = df.where(c(lang).isNotNull() & c(text).isNotNull() & ~held_out(c(key)) & (F.octet_length(c(text)) <= MAX_TRAIN_BYTES)).select(c(lang).alias("lang"), c(text).alias("text"), F.xxhash64(c(key), c(text)).alias("h"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
+    rows = df.where(c(lang).isNotNull() & c(text).isNotNull() & ~held_out(c(key))).select(c(lang).alias("lang"), F.substring(c(text), 1, MAX_TRAIN_CHARS).alias("text"), F.xxhash64(c(key), c(text)).alias("h"))
+    counts = rows.groupBy("lang").count()
+    languages, most = counts.agg(F.count(F.lit(1)), F.max("count")).first()
+    if not languages:
         return []
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2 * docs / r["count"]))])
-    drawn = rows.where(F.pmod(F.col("h"), F.lit(1_000_003)) < F.element_at(share, F.col("lang")) * 1_000_003)
+    docs = max(1, min(docs, in_all // languages))
+    # Some more than the share of a language that is wanted is drawn before rows are ordered, so no task orders a whole language.
+    shares = counts.select(F.col("lang").alias("of"), F.least(F.lit(1.0), F.lit(2.0 * docs + 20) / F.col("count")).alias("share"))
+    drawn = rows.join(F.broadcast(shares) if languages <= in_all else shares, F.col("lang") == F.col("of")).where(F.pmod(F.col("h"), F.lit(1_000_003)) < F.col("share") * 1_000_003)
     once = drawn.groupBy("lang", "h").agg(F.any_value("text").alias("text"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    picked = once.withColumn("place", place).where(F.col("place") <= docs).orderBy("lang", "h")
-    return [(r["lang"], r["text"]) for r in picked.collect()]
+    picked = once.withColumn("place", place).where(F.col("place") <= docs).orderBy("h", "lang").limit(in_all)
+    return sorted((r["lang"], r["text"]) for r in picked.collect())
 
 
 def identify(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", docs: int = DOCS_A_LANGUAGE) -> DataFrame:
@@ -197,13 +208,13 @@ def identify(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     The model learns from a bounded sample of labelled rows (see sample_labelled) and predicts every whole text; nothing but the text enters a
     prediction. lang_pred: a learned language, or `und` with score 0 if the text is null or holds no letter (or no row is labelled). score: the
     calibrated probability. rejected: no letters, or a score below the calibrated threshold; without a model, only texts without letters.
-    Repeated rows and ties are predicted alike. Rows map one to one; nothing but the sample is moved.
+    Repeated rows and ties are predicted alike, very long texts as a whole. An empty table: no rows. Rows map one to one; nothing but the sample is moved.
     """
     spark = df.sparkSession
     keep = [x for x in df.columns if x.lower() not in ("lang_pred", "score", "rejected")]
     base = df.select(*[f"`{x}`" for x in keep])
     model = train(sample_labelled(df, key, text, lang, docs))
-    shared = spark.sparkContext.broadcast(model)  # 2**BITS x languages floats
+    shared = spark.sparkContext.broadcast(model)  # 2**BITS x DIM floats at most
     schema = T.StructType([*base.schema.fields, T.StructField("lang_pred", T.StringType(), False), T.StructField("score", T.DoubleType(), False), T.StructField("rejected", T.BooleanType(), False)])
     at = keep.index(next(x for x in keep if x.lower() == text.lower()))
 

@@ -49,15 +49,13 @@ SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.verdict, 'allow') AS verdic
 """
 
 OP6 = f"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, ('0x' || substr(md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), '|', coalesce(text, ''))), 1, 15))::BIGINT AS doc, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS doc, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 rows_ AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS rows_ FROM d),
 win AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 7), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
 rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
 cov AS (SELECT doc_id, sum(n) AS n FROM (SELECT doc_id, least(8, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 8)) AS n FROM rep) GROUP BY doc_id),
-lines AS (SELECT d.doc_id, d.source, d.doc, regexp_replace(trim(regexp_replace(lower(x), '{WS}', ' ', 'g')), '[0-9]+', '0', 'g') AS line FROM d JOIN (SELECT doc_id, unnest(rows_) AS x FROM rows_) r ON r.doc_id = d.doc_id),
-often AS (SELECT source, line, count(DISTINCT doc) AS docs, min(doc) AS first FROM lines GROUP BY source, line HAVING count(DISTINCT doc) > {quality.MIN_DOCS}),
-hosts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
-over_ AS (SELECT o.* FROM often o JOIN hosts h ON h.source IS NOT DISTINCT FROM o.source WHERE o.docs > h.n * {quality.MAX_SHARE}),
+lines AS (SELECT d.doc_id, d.source, d.doc, trim(regexp_replace(lower(x), '{WS}', ' ', 'g')) AS line FROM d JOIN (SELECT doc_id, unnest(rows_) AS x FROM rows_) r ON r.doc_id = d.doc_id),
+over_ AS (SELECT source, line, min(doc) AS first FROM lines GROUP BY source, line HAVING count(DISTINCT doc) > {quality.MAX_DOCS}),
 gone AS (SELECT l.doc_id, sum(len(string_split(l.line, ' '))) AS n FROM lines l JOIN over_ o ON o.line = l.line AND o.source IS NOT DISTINCT FROM l.source AND o.first <> l.doc GROUP BY l.doc_id),
 c AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
   len(r.rows_) - len(list_distinct(r.rows_)) AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS removed_words

@@ -49,7 +49,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return quality.judge_quality(docs).drop("text", "source")
+    return quality.judge_quality(docs).drop("text", "source", "cleaned")
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

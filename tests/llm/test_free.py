@@ -66,6 +66,60 @@ def test_language_id(spark, sf):
     assert sum(r["lang_pred"] == r["lang"] for r in got) >= 0.95 * len(got) and sum(r["rejected"] for r in got) <= 0.03 * len(got)
 
 
+def languages_by_force(spark, docs):
+    """{doc_id: (lang_pred, score, rejected)}, subword by subword, with the model that the sample gives."""
+    import unicodedata
+
+    model = langid.train(langid.sample_labelled(docs))
+    low = lambda c: c.lower() if len(c.lower()) == 1 else c
+    out = {}
+    for r in docs.collect():
+        words = "".join(low(c) if unicodedata.category(c)[0] == "L" else " " for c in r["text"] or "").split()
+        total, n = np.zeros(len(model.languages)), 0
+        for w in words:
+            s = [0, *map(ord, w), 0]
+            for k in langid.ORDERS:
+                for i in range(len(s) - k + 1):
+                    h = (s[i] * 0x9E3779B1 + 17) & 0xFFFFFFFF
+                    for x in s[i + 1 : i + k]:
+                        h = ((h ^ x) * 0x85EBCA6B) & 0xFFFFFFFF
+                        h ^= h >> 13
+                    total += model.vectors[((h * 0xC2B2AE35 + k) & 0xFFFFFFFF) >> (32 - langid.BITS)]
+                    n += 1
+        if not n:
+            out[r["doc_id"]] = ("und", 0.0, True)
+            continue
+        e = np.exp((total / n + model.bias) * model.sharpness)
+        p = (e / e.sum()).tolist()
+        out[r["doc_id"]] = (model.languages[p.index(max(p))], max(p), max(p) < model.threshold)
+    return out
+
+
+def test_language_id_by_force(spark, sf):
+    from docloom.llm.queries import op5_language_id
+
+    want = languages_by_force(spark, spark.read.parquet(f"{sf}/documents.parquet"))
+    got = {r["doc_id"]: r for r in op5_language_id(spark, sf).collect()}
+    assert got.keys() == want.keys() and {r["lang_pred"] for r in got.values()} >= {"en", "de", "fr", "es"}
+    assert all((r["lang_pred"], r["rejected"]) == (want[d][0], want[d][2]) and abs(r["score"] - want[d][1]) < 1e-5 and r["held_out"] == (__import__("zlib").crc32(str(d).encode()) % 4 == 2) for d, r in got.items())
+
+
+def test_many_languages_and_wrong_labels(spark):
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for k in range(30):  # more languages than dimensions; each its own words
+        words = ["".join(rng.choice(letters[k % 13 :: 2] + letters[k // 2]) for _ in range(rng.randint(3, 7))) for _ in range(40)]
+        rows += [(100 * k + i, " ".join(rng.choice(words) for _ in range(60)), f"l{k}" if rng.random() > 0.05 else "l0") for i in range(12 if k else 40)]
+    rows.append((9002, "zzq " * 40_000, "rare"))  # the rarest language, by one text above MAX_TRAIN_CHARS
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(df).collect()
+    assert {lang for lang, _ in langid.sample_labelled(df)} == {r[2] for r in rows}
+    assert [len({lang for lang, _ in langid.sample_labelled(df, docs=5, in_all=31)}), len(langid.sample_labelled(df, in_all=31))] == [31, 31]
+    assert sum(r["lang_pred"] == f"l{r['doc_id'] // 100}" for r in got if r["doc_id"] < 9000) > 0.9 * len(got)
+    assert sum(r["rejected"] for r in got) < 0.2 * len(got)  # one label in twenty is wrong, yet most are told
+
+
 def test_language_id_edges(spark):
     rows = [(1, None, "en"), (2, "", "en"), (3, "123 ...", "en"), (4, "the cat", None), (None, "the dog and the cat", "en"), (6, "der Hund und die Katze", "de"), (6, "der Hund und die Katze", "de")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")

@@ -38,20 +38,30 @@ def test_others_run_whole(name, spark, sf):
     assert n == rows or name.startswith("op10_") and 0 < n
 
 
-def test_pipeline(spark, sf):
-    from test_free import LIBRARY, classes_by_force, edits_in, normal
-    from test_native import counts
+def test_pipeline(spark, sf, tmp_path):
+    from test_free import LIBRARY, classes_by_force, edits_in, languages_by_force, normal
+    from test_native import boilerplate, counts
 
-    from docloom.llm import decontaminate, langid, quality
+    from docloom.llm import decontaminate, quality
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    kept = langid.identify(docs).where("NOT rejected").drop("lang_pred", "score", "rejected")
-    depleted = {r["k"] for r in quality.removed_words(kept, "doc_id", "text", "source", quality.MIN_DOCS, quality.MAX_SHARE).collect() if r["n"] > r["words"] * quality.MAX_REMOVED}
+    texts = [r["text"] for r in docs.where("length(text) > 400").orderBy("doc_id").limit(16).collect()]
+    line = "The same line of a site, Over  and over, in all its pages and then some more of it"
+    own = [(9000 + i, f"{line}\n{t[100 : 130 if i % 4 == 0 else 400]} {i} {i + 1} the and of to in\n{line.upper()}", "en", "src0", 0) for i, t in enumerate(texts)]
+    docs.unionByName(spark.createDataFrame(own, docs.schema)).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, sf = spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)
+    whole = [(r["doc_id"], r["text"], r["source"], r["lang"]) for r in docs.collect()]
+    told = languages_by_force(spark, docs)
+    rest = [x for x in whole if not told[x[0]][2]]
+    lines = boilerplate([(t, h) for _, t, h, _ in rest], 10)
     rows = []
-    for r in kept.collect():
-        n, _, _, _, repeats = counts(r["text"])
-        if n >= 20 and 100 * repeats <= 30 * n and r["doc_id"] not in depleted:
-            rows.append((r["doc_id"], r["text"]))
+    for d, t, h, _ in rest:
+        n, _, _, _, repeats = counts(t)
+        cleaned, lost = lines[t, h]
+        if n >= 20 and 100 * repeats <= 30 * n and lost <= 0.7 * n:
+            rows.append((d, cleaned))
+    assert len({lost for _, lost in lines.values()}) > 1 and len(rest) - len(rows) > 3
     least = classes_by_force(rows)
     rows = [(d, t) for d, t in rows if least[d] == d]
     items = decontaminate.Items.of([tuple(x) for x in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()])
@@ -61,7 +71,7 @@ def test_pipeline(spark, sf):
         patterns = ["".join(map(chr, p)) for p in items.text]
         # A shared fifth of the item is certain where it is met within its edits, so others need not be aligned.
         near = [k for k, p in enumerate(patterns) if any(p[i : i + len(p) // 12] in n for i in range(0, len(p) - len(p) // 12, max(1, len(p) // 12)))]
-        if not any(edits_in(patterns[k], n) <= items.edits[k] for k in near[:3]):
+        if not any(edits_in(patterns[k], n) <= items.edits[k] for k in near):
             clean[d] = LIBRARY.encode_ordinary(t)
     got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, sf).collect()}
     assert {d: r["ids"] for d, r in got.items()} == clean and all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in got.values())

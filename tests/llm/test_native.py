@@ -110,21 +110,48 @@ def test_quality_counts(spark):
     assert [r["base_failed"] for r in got] == [c[0] < 20 or 100 * c[4] > 30 * c[0] for c in map(counts, texts)]
 
 
-def test_boilerplate(spark):
-    name = lambda n: "".join(chr(97 + int(d)) for d in str(n))  # noqa: E731  no digits: numbers count as alike
-    body = lambda i: " ".join(f"w{name(i)}x{name(j)}" for j in range(30))
-    rows = [(i, f"Cookie NOTICE  {i} all rights and terms apply here today\n" + (body(i) if i % 2 else "few words"), "en", "h", 0) for i in range(40)]
-    rows += [(100 + i, body(100 + i) + "\nCookie notice 1 all rights and terms apply here today", "en", None, 0) for i in range(3)] + [(7, rows[7][1], "en", "h", 0)]
-    df = frame(spark, rows).withColumn("words", F.lit(1))
-    judged_ = quality.judge_quality(df, min_words=5)
-    got = {r["doc_id"]: (r["removed_words"], r["kept"]) for r in judged_.collect()}
-    whole = [i for i in range(40) if got[i][0] == 0]
-    assert len(whole) == 1  # digits count as alike; one document keeps the line
-    # "few words" is in half of the documents, so it is boilerplate too.
-    assert all(got[i][1] == bool(i % 2) and got[i][0] in ((10,) if i % 2 else (2, 10, 12)) for i in range(40) if i not in whole) and got[100] == (0, True)
-    assert judged_.where("doc_id = 7").count() == 2
-    kept = quality.keep_good(df, min_words=5)
-    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in judged_.where("kept").collect())
+def boilerplate(rows, limit):
+    """(lines kept, words lost) of each (text, host), by brute force."""
+    normal = lambda x: " ".join(re.findall(r"[^\x20\x09-\x0D]+", x.lower()))
+    first = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:15], 16)
+    holders = {}
+    for t, h in rows:
+        for x in (t or "").split("\n"):
+            if normal(x):
+                holders.setdefault((h, normal(x)), set()).add(t)
+    out = {}
+    for t, h in rows:
+        keep, lost = [], 0
+        for x in (t or "").split("\n"):
+            who = holders.get((h, normal(x)), ())
+            if len(who) > limit and t != min(who, key=first):
+                lost += len(normal(x).split(" "))
+            else:
+                keep.append(x)
+        out[t, h] = (None if t is None else "\n".join(keep), lost)
+    return out
+
+
+def test_boilerplate(spark, monkeypatch):
+    body = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    rows = [(i, f"Cookie  NOTICE: all rights and terms apply {i % 2} here today\n" + (body(i) if i % 2 else "few words") + "\n\n" * (i % 3), "en", "h", 0) for i in range(40)]
+    rows += [(100 + i, body(100 + i) + "\ncookie notice: all rights and terms apply 1 here today", "en", None, 0) for i in range(3)]
+    rows += [(200, "one text in many copies\n" + body(200), "en", "c", 0)] * 15 + [(201 + i, "one text in many copies\n" + body(200), "en", "c", 0) for i in range(15)] + [(300, "one text in many copies\n" + body(300), "en", "c", 0)]
+    rows += [(400, None, None, "h", 0), (401, "", None, "h", 0), (402, ("Cookie notice: all rights and terms apply 1 here today\n" + body(402) + "\n") * 3000, "en", "h", 0)]
+    df = frame(spark, rows).withColumn("words", F.lit(1)).withColumn("H", F.lit(2))
+    want = boilerplate([(r[1], r[3]) for r in rows], 10)
+    assert any(lost for _, lost in want.values()) and not want[rows[-4][1], "c"][1]
+    for broadcast, heavy in ((500_000, 100_000), (-1, 10), (-1, 100_000)):  # by a broadcast, and split into heavy lines and the rest
+        monkeypatch.setattr(quality, "BROADCAST_ROWS", broadcast)
+        monkeypatch.setattr(quality, "HEAVY", heavy)
+        monkeypatch.setattr(quality, "BROADCAST_BYTES", broadcast)
+        judged_ = quality.judge_quality(df, min_words=5).collect()
+        assert len(judged_) == len(rows)
+        assert all((r["cleaned"], r["removed_words"]) == want[r["text"], r["source"]] for r in judged_)
+        assert all(r["kept"] == (r["n_words"] >= 5 and not r["base_failed"] and r["removed_words"] <= 0.7 * r["n_words"]) for r in judged_)
+        kept = quality.keep_good(df, min_words=5)
+        assert kept.columns == df.columns
+        assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter((r["doc_id"], r["cleaned"]) for r in judged_ if r["kept"])
     assert quality.judge_quality(frame(spark, [])).count() == 0 and quality.keep_good(frame(spark, [])).count() == 0
 
 
