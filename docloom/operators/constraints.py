@@ -50,9 +50,9 @@ def fits(v: Column, kind: str, members: Sequence[str] = ()) -> Column:
     return F.when(v.isNull(), F.lit(True)).otherwise(cells.let(c, one))
 
 
-def violations(docs: DataFrame, schema: Schema, key: str = "id", body: str = "body") -> DataFrame:
-    """(key, field, problem) of documents (JSON text) that break the schema: a wrong type, or a required field that is missing or null."""
-    v = F.try_parse_json(F.col(body))
+def problems(body: Column, schema: Schema) -> Column:
+    """array<struct<field, problem>> of a document (JSON text): what breaks the schema, a wrong type, or a required field that is missing or null."""
+    v = F.try_parse_json(body)
     enums = dict(schema.enums)
     checks = [F.when(~v.isNotNull() | ~F.schema_of_variant(v).startswith("OBJECT"), F.struct(F.lit("").alias("field"), F.lit("not a JSON object").alias("problem")))]
     for f in schema.fields:
@@ -63,7 +63,17 @@ def violations(docs: DataFrame, schema: Schema, key: str = "id", body: str = "bo
         if f.required:
             absent = first.isNull() | F.is_variant_null(first)
             checks.append(F.when(absent, F.struct(F.lit(f.name).alias("field"), F.lit("required").alias("problem"))))
-    return docs.select(key, F.explode(F.array_compact(F.array(*checks))).alias("x")).select(key, "x.field", "x.problem")
+    return F.array_compact(F.array(*checks))
+
+
+def problem(body: Column, schema: Schema) -> Column:
+    """The first of problems(); NULL for a document that keeps to the schema."""
+    return F.get(problems(body, schema), F.lit(0))
+
+
+def violations(docs: DataFrame, schema: Schema, key: str = "id", body: str = "body") -> DataFrame:
+    """(key, field, problem) of documents that break the schema."""
+    return docs.select(key, F.explode(problems(F.col(body), schema)).alias("x")).select(key, "x.field", "x.problem")
 
 
 def claim(body: Column, columns: Sequence[str]) -> Column:

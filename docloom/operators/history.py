@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def snapshot(log: DataFrame, seq: int | None = None, *, order: str = "seq", key: str = "id", op: str = "op") -> DataFrame:
-    """The live documents at a position: the newest operation of each id up to `seq`, deletes dropped. Aggregates on the map side to (id, newest) first."""
+def snapshot(log: DataFrame, seq: int | None = None, *, order: str = "seq", key: str = "id", op: str = "op", keep_deletes: bool = False) -> DataFrame:
+    """The live documents at a position: the newest operation of each id up to `seq`, deletes dropped unless asked for. Aggregates on the map side to (id, newest) first."""
     upto = log if seq is None else log.where(F.col(order) <= seq)
     newest = upto.groupBy(F.col(key).alias("__k")).agg(F.max(order).alias("__n"))
-    return upto.join(newest, (F.col(key) == F.col("__k")) & (F.col(order) == F.col("__n"))).drop("__k", "__n").where(F.col(op) != "delete").drop(op)
+    last = upto.join(newest, (F.col(key) == F.col("__k")) & (F.col(order) == F.col("__n"))).drop("__k", "__n")
+    return last if keep_deletes else last.where(F.col(op) != "delete").drop(op)
 
 
 def snapshot_at(log: DataFrame, when: Column, *, time: str = "ts", order: str = "seq", key: str = "id", op: str = "op") -> DataFrame:

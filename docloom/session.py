@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import astuple, dataclass, field, replace
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +18,8 @@ from docloom.operators import constraints, merge, search
 from docloom.plans import syntax as S
 from docloom.plans.lower import Lowering, SelectPlan, Source, Val
 from docloom.plans.syntax import SqlError
-from docloom.sources.store import GENESIS, Commit, Store
+from docloom.sources.log import Log, decide
+from docloom.sources.store import GENESIS, Commit, ConflictError, Staged, Store
 from docloom.streaming import feed
 
 SPACE = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
@@ -44,6 +46,27 @@ class Collection:
     indexes: dict[str, S.CreateIndex] = field(default_factory=dict)
     pinned: str | None = None
 
+    def definition(self) -> dict:
+        """The schema and the indexes, as they are kept with the data."""
+        s = self.schema
+        return {"schema": {"fields": [astuple(f) for f in s.fields], "unique": s.unique, "version": s.version, "enums": s.enums}, "indexes": [astuple(i) for i in self.indexes.values()]}
+
+    def defined(self, kept: dict) -> None:
+        if kept:
+            fixed = lambda x: tuple(map(fixed, x)) if isinstance(x, list) else x
+            s = kept["schema"]
+            self.schema = constraints.Schema(tuple(S.ColumnDef(*f) for f in s["fields"]), fixed(s["unique"]), s["version"], fixed(s["enums"]))
+            self.indexes = {i[0]: S.CreateIndex(*fixed(i)) for i in kept["indexes"]}
+
+
+@dataclass
+class Pending:
+    """What an open transaction has staged for a collection, and the head it began from."""
+
+    head: str | None
+    parts: list[Staged] = field(default_factory=list)
+    exclusive: bool = False
+
 
 @dataclass
 class Written:
@@ -64,7 +87,10 @@ class Engine:
         self.collections: dict[str, Collection] = {}
         self.views: dict[str, S.Select] = {}
         self.procedures: dict = {}
-        self.pending: dict[str, list[tuple[DataFrame, DataFrame | None]]] | None = None
+        self.pending: dict[str, Pending] | None = None
+        if path is not None:
+            for _, entry in Log(spark, f"{path}/_views").entries(0):
+                self._view(entry["name"], entry["text"])
 
     # ---- collections
 
@@ -77,9 +103,16 @@ class Engine:
         if name not in self.collections:
             if self.path is None:
                 raise SqlError(f"unknown table {name}")
-            self.collections[name] = Collection(name, None, self.id_column, self.doc_column, Store(self.spark, f"{self.path}/{name}"))
+            c = Collection(name, None, self.id_column, self.doc_column, Store(self.spark, f"{self.path}/{name}"))
+            c.defined(c.store.catalog)
+            self.collections[name] = c
         return self.collections[name]
 
+    def _staged(self, c: Collection) -> list[tuple[DataFrame, DataFrame | None]]:
+        """(operations, changes of attachments) that the open transaction has staged for a collection."""
+        own = (self.pending or {}).get(c.name)
+        return [(c.store.staged(s.path), c.store.staged_attachments(s.path) if s.attachments else None) for s in own.parts] if own else []
+
     def documents(self, c: Collection, at: S.At | None = None, attachments: bool = True) -> DataFrame:
         """The rows of a collection at a version: id, declared columns, attachments if there ever was one, document text."""
         if c.store is None:
@@ -91,7 +124,7 @@ class Engine:
             snap = c.store.snapshot(c.pinned)
         elif at is None:
             snap = c.store.snapshot()
-            for ops, _ in (self.pending or {}).get(c.name, []):
+            for ops, _ in self._staged(c):
                 rest = snap.join(ops.select("id"), "id", "left_anti")
                 snap = rest.unionByName(ops.where("op = 'write'").select("id", "body"))
         elif at.kind == "COMMIT":
@@ -116,11 +149,11 @@ class Engine:
             value = F.try_to_timestamp(F.try_variant_get(first, "$", "string")) if f.type == "timestamp" else F.to_json(first) if kind == "variant" else F.try_variant_get(first, "$", kind)
             typed.append(F.when(ok, value).alias(f.name))
         columns = [F.col("id").alias(c.id_column), *typed, F.col("body").alias(c.doc_column)]
-        if attachments and c.store.has_attachments():
+        if attachments and (c.store.has_attachments() or any(changes is not None for _, changes in self._staged(c))):
             own = c.store.attachments(commit)
-            for _, changes in (self.pending or {}).get(c.name, []):
+            for _, changes in self._staged(c):
                 if changes is not None:
-                    own = own.join(changes.select("id", "name"), ["id", "name"], "left_anti").unionByName(changes.where("op = 'put'").select("id", "aid", "name", "mime", F.octet_length("content").cast("bigint").alias("size"), F.sha2("content", 256).alias("hash"), "content"))
+                    own = own.join(changes.select("id", "name"), ["id", "name"], "left_anti").unionByName(changes.where("op = 'put'").select("id", "aid", "name", "mime", "size", "hash", "content"))
             sets = own.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("name", "aid", "mime", "size", "hash", "content"))).alias("_attachments"))
             snap = snap.join(sets, "id", "left")
             columns.insert(-1, F.col("_attachments"))
@@ -192,7 +225,7 @@ class Engine:
             return self.update(s, params)
         if isinstance(s, S.Delete):
             return self.delete(s, params)
-        return self.define(s)
+        return self.define(s, text)
 
     @staticmethod
     def typed(df: DataFrame) -> DataFrame:
@@ -274,36 +307,59 @@ class Engine:
 
     # ---- definitions
 
-    def define(self, s) -> None:
+    def define(self, s, text: str = "") -> None:
+        """Definitions of a collection are kept in its log, views in one of the engine; both are there for the next session."""
         if isinstance(s, S.CreateTable):
             unique = tuple((c.name,) for c in s.columns if c.unique) + s.unique
-            self.collection(s.name).schema = constraints.Schema(s.columns, unique)
+            self._redefine(self.collection(s.name), schema=constraints.Schema(s.columns, unique))
         elif isinstance(s, S.AddColumn):
             c = self.collection(s.table)
-            c.schema = constraints.migrate(c.schema, [("add_field", s.column.name, s.column)])
+            self._redefine(c, schema=constraints.migrate(c.schema, [("add_field", s.column.name, s.column)]))
         elif isinstance(s, S.DropTable):
-            self.collection(s.name).schema = constraints.Schema()  # the lens goes, the documents stay
+            self._redefine(self.collection(s.name), schema=constraints.Schema())  # the lens goes, the documents stay
         elif isinstance(s, S.CreateIndex):
             c = self.collection(s.table)
             if s.name in c.indexes:
                 raise SqlError(f"index {s.name} is there already")
-            c.indexes[s.name] = s
-            if s.unique:
-                c.schema = replace(c.schema, unique=(*c.schema.unique, tuple(f for f, _ in s.fields)))
+            schema = replace(c.schema, unique=(*c.schema.unique, tuple(f for f, _ in s.fields))) if s.unique else c.schema
+            self._redefine(c, schema=schema, indexes=c.indexes | {s.name: s})
         elif isinstance(s, S.DropIndex):
-            if self.collection(s.table).indexes.pop(s.name, None) is None:
+            c = self.collection(s.table)
+            if s.name not in c.indexes:
                 raise SqlError(f"no index {s.name}")
+            self._redefine(c, indexes={k: v for k, v in c.indexes.items() if k != s.name})
         elif isinstance(s, S.CreateView):
             if s.select.table is not None and s.select.table.name in self.views:
                 raise SqlError("a view of a view is not supported")
             self.views[s.name] = s.select
+            self._keep_view(s.name, text)
         elif isinstance(s, S.DropView):
             if self.views.pop(s.name, None) is None:
                 raise SqlError(f"no view {s.name}")
+            self._keep_view(s.name, None)
         elif isinstance(s, S.Transaction):
             self.transaction(s.action)
 
+    def _redefine(self, c: Collection, **changes) -> None:
+        for name, value in changes.items():
+            setattr(c, name, value)
+        if c.store is not None:
+            c.store.define(lambda _: c.definition())
+
+    def _view(self, name: str, text: str | None) -> None:
+        if text is None:
+            self.views.pop(name, None)
+        else:
+            self.views[name] = S.parse(text).select
+
+    def _keep_view(self, name: str, text: str | None) -> None:
+        if self.path is not None:
+            log = Log(self.spark, f"{self.path}/_views")
+            while not log.append(len(log.entries(0)) + 1, {"name": name, "text": text}):
+                pass
+
     def transaction(self, action: str) -> list[Commit]:
+        """Commits of several collections become visible together: each log names the transaction, and a file that is made once says what became of it."""
         if action == "BEGIN":
             if self.pending is not None:
                 raise SqlError("a transaction is open already")
@@ -312,18 +368,46 @@ class Engine:
         if self.pending is None:
             raise SqlError("no transaction is open")
         work, self.pending = self.pending, None
+        stores = {name: self.collection(name).store for name in work}
         if action == "ROLLBACK":
+            for name, p in work.items():
+                for s in p.parts:
+                    stores[name].discard(s)
             return []
-        made = []
-        for name, parts in work.items():
-            merged = files = None
-            for ops, changes in parts:  # of several operations on a document or an attachment the last counts
-                merged = ops if merged is None else merged.join(ops.select("id"), "id", "left_anti").unionByName(ops)
-                if changes is not None:
-                    files = changes if files is None else files.join(changes.select("id", "name"), ["id", "name"], "left_anti").unionByName(changes)
-            made.append(self.collection(name).store.commit(merged, "transaction", attachments=files))
+        mark = f"../_transactions/{uuid.uuid4().hex}" if len(work) > 1 else None
+        made, whole = [], {}
+        try:
+            for name, p in work.items():
+                whole[name] = self._merged(stores[name], p.parts)
+                made.append(stores[name].commit(None, "transaction", staged=whole[name], expected=p.head, exclusive=p.exclusive, txn=mark))
+        except ConflictError:
+            if mark is not None:
+                decide(stores[name].files, f"{self.path}/_transactions/{mark[17:]}", "aborted")
+            raise
+        if mark is not None and decide(stores[name].files, f"{self.path}/_transactions/{mark[17:]}", "committed") != "committed":
+            raise ConflictError("another writer ended the transaction")
+        for name, store in stores.items():
+            store.refresh()
+            store.discard(whole[name])
         return made
 
+    @staticmethod
+    def _merged(store: Store, parts: list[Staged]) -> Staged:
+        """One staged set: of several operations on a document or an attachment the last counts."""
+        if len(parts) == 1:
+            return parts[0]
+        merged = files = None
+        for s in parts:
+            ops = store.staged(s.path)
+            merged = ops if merged is None else merged.join(ops.select("id"), "id", "left_anti").unionByName(ops)
+            if s.attachments:
+                changes = store.staged_attachments(s.path).drop("seq", "size", "hash")
+                files = changes if files is None else files.join(changes.select("id", "name"), ["id", "name"], "left_anti").unionByName(changes)
+        out = store.stage(merged, files, distinct=True)
+        for s in parts:
+            store.discard(s)
+        return out
+
     # ---- writes
 
     def _row_json(self, low: Lowering, v: Val):
@@ -350,7 +434,8 @@ class Engine:
             one = self.spark.range(1).select(document_id(self.namespace, F.lit(None).cast("string") if given is None else given.col).alias("id"), body.alias("body"), *[x.alias(f"v{i}") for i, (_, x) in enumerate(cells_of)])
             one = json_text.changed(one, [n for n, _ in cells_of], [])
             rows = one if rows is None else rows.unionAll(one)
-        return self.write(c, rows, s.on_conflict, s.returning, params, s.attachments)
+        # The rows of a statement, evaluated once: random ids must not change when they are read again.
+        return self.write(c, self.spark.createDataFrame(rows.collect(), rows.schema), s.on_conflict, s.returning, params, s.attachments)
 
     def put(self, name: str, docs: DataFrame, body: str = "body") -> Written:
         """JSON documents of a DataFrame; the id is each document's own `id`, or random."""
@@ -358,7 +443,8 @@ class Engine:
         return self.write(self._writable(name), docs.select(document_id(self.namespace, given).alias("id"), F.col(body).alias("body")))
 
     def write(self, c: Collection, rows: DataFrame, conflict: S.OnConflict | None = None, returning: tuple = (), params: Sequence = (), attach: tuple = ()) -> Written:
-        rows = self._fixed(rows)
+        """rows (id, body) as new documents. They are evaluated once, when they are staged; with conflict or attach they must not change between reads."""
+        head = self._head(c)
         if conflict is not None:
             now = self._snapshot(c).select(F.col("id").alias("held"), F.col("body").alias("held_body"))
             at = lambda col: constraints.claim(col, conflict.columns)
@@ -370,7 +456,7 @@ class Engine:
             else:
                 hit = joined.where("held IS NOT NULL").select(F.col("held").alias("id"), F.col("held_body").alias("body")).dropDuplicates(["id"])
                 rows = fresh.unionByName(self._changed(c, hit, conflict.change, conflict.where, params))
-        return self._finish(c, rows.select("id", F.lit("write").alias("op"), "body"), returning, params, self._attachment_changes(c, rows.select("id", "body"), attach, params))
+        return self._finish(c, rows.select("id", F.lit("write").alias("op"), "body"), head, returning, params, self._attachment_changes(c, rows.select("id", "body"), attach, params), exclusive=conflict is not None)
 
     def _attachment_changes(self, c: Collection, rows: DataFrame, changes: tuple, params: Sequence) -> DataFrame | None:
         """(id, name, op, aid, mime, content) for the documents of rows (id, body). The id of an attachment is derived from its document and name."""
@@ -388,7 +474,8 @@ class Engine:
                 if value.kind != "bytes":
                     raise SqlError("an attachment takes bytes")
                 mime = F.lit("application/octet-stream") if a.mime is None else low.value(a.mime).col
-                part = self._fixed(df.select(key, (F.uuid() if given is None else given.col).alias("name"), mime.alias("mime"), value.col.alias("content"))).select("id", "name", F.lit("put").alias("op"), aid(F.col("name")).alias("aid"), "mime", "content")
+                part = df.select(key, (F.uuid() if given is None else given.col).alias("name"), mime.alias("mime"), value.col.alias("content"))
+                part = (self._kept(c, part) if given is None else part).select("id", "name", F.lit("put").alias("op"), aid(F.col("name")).alias("aid"), "mime", "content")
             else:
                 now = c.store.attachments().select(F.col("id").alias("i"), "aid", "name", "mime", "content")
                 picked = df.select(key, given.col.alias("wanted")).join(now, (F.col("id") == F.col("i")) & (F.col("aid" if a.by_id else "name") == F.col("wanted")))
@@ -402,14 +489,19 @@ class Engine:
             out = part if out is None else out.join(part.select("id", "name"), ["id", "name"], "left_anti").unionByName(part)
         return out
 
-    def _fixed(self, rows: DataFrame) -> DataFrame:
-        """Evaluated once: random ids must not change when the rows are read again."""
-        return self.spark.createDataFrame(rows.collect(), rows.schema) if rows.sparkSession and self._constant(rows) else rows.checkpoint() if self.spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else rows.persist()
-
     @staticmethod
-    def _constant(rows: DataFrame) -> bool:
-        """Rows written out in a statement (no scan below)."""
-        return "Relation" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    def _kept(c: Collection, rows: DataFrame) -> DataFrame:
+        """Rows written to the shared folder and read again: made-up names must not change, and Python must not run twice."""
+        at = f"{c.store.path}/staging/{uuid.uuid4().hex}"
+        rows.write.parquet(at)
+        return rows.sparkSession.read.schema(rows.schema).parquet(at)
+
+    def _head(self, c: Collection) -> str | None:
+        """The head that a statement works from: the newest one, or that of the open transaction."""
+        if self.pending is None:
+            c.store.refresh()
+            return c.store.head()
+        return self.pending.setdefault(c.name, Pending(c.store.head())).head
 
     def _as_source(self, c: Collection, rows: DataFrame) -> tuple[DataFrame, Source]:
         df = rows.select(F.col("id").alias(c.id_column), F.col("body").alias(c.doc_column), F.try_parse_json("body").alias("__variant"))
@@ -435,6 +527,7 @@ class Engine:
     def update(self, s: S.Update, params: Sequence = ()) -> Written:
         """ORDER BY and LIMIT pick which matching documents are claimed."""
         c = self._writable(s.table.name)
+        head = self._head(c)
         rows = self._snapshot(c)
         if s.order or s.limit is not None:
             df, source = self._as_source(c, rows)
@@ -443,14 +536,15 @@ class Engine:
             changed = self._changed(c, picked.toDF("id", "body"), s.change, None, params)
         else:
             changed = self._changed(c, rows, s.change, s.where, params)
-        changed = changed.persist()
-        return self._finish(c, changed.select("id", F.lit("write").alias("op"), "body"), s.returning, params, self._attachment_changes(c, changed, s.change.attachments, params))
+        paths = {p for p, _ in s.change.sets} | set(s.change.removes)
+        return self._finish(c, changed.select("id", F.lit("write").alias("op"), "body"), head, s.returning, params, self._attachment_changes(c, changed, s.change.attachments, params), distinct=True, paths=paths, exclusive=s.limit is not None)
 
     def delete(self, s: S.Delete, params: Sequence = ()) -> Written:
         c = self._writable(s.table.name)
+        head = self._head(c)
         df, source = self._as_source(c, self._snapshot(c))
         gone = df if s.where is None else df.where(Lowering(self.spark, [source], df, params, self.prefix).test(s.where))
-        return self._finish(c, gone.select(F.col(f"`{c.id_column}`").alias("id"), F.lit("delete").alias("op"), F.lit(None).cast("string").alias("body")))
+        return self._finish(c, gone.select(F.col(f"`{c.id_column}`").alias("id"), F.lit("delete").alias("op"), F.lit(None).cast("string").alias("body")), head, distinct=True, paths=set())
 
     def _writable(self, name: str) -> Collection:
         c = self.collection(name)
@@ -462,29 +556,63 @@ class Engine:
         df = self.documents(replace(c, schema=constraints.Schema()), attachments=False)
         return df.toDF("id", "body")
 
-    def _finish(self, c: Collection, ops: DataFrame, returning: tuple = (), params: Sequence = (), files: DataFrame | None = None) -> Written:
-        """Checks the outcome, then commits, or keeps the operations for the open transaction."""
-        ops = ops.persist()
-        written = ops.where("op = 'write'")
-        if c.schema.fields:
-            bad = constraints.violations(written, c.schema).limit(1).collect()
-            if bad:
+    def _finish(
+        self, c: Collection, ops: DataFrame, head: str | None, returning: tuple = (), params: Sequence = (), files: DataFrame | None = None, *,
+        distinct: bool = False, paths: set[str] | None = None, exclusive: bool = False,
+    ) -> Written:
+        """Stages the operations with what is to be checked of them, checks that, then commits, or keeps them for the open transaction.
+
+        distinct: no id comes twice. paths: the fields that a change touches (None: any); other declared and unique ones need no check. exclusive: nothing else may
+        have been committed since `head`; unique constraints ask for that too, for another commit may have taken a value meanwhile.
+        """
+        store = c.store
+        near = lambda f: paths is None or c.doc_column in paths or any(p == f or p.startswith(f + ".") or f.startswith(p + ".") for p in paths)
+        fields = tuple(f for f in c.schema.fields if near(f.name))
+        unique = [u for u in c.schema.unique if any(map(near, u))]
+        write = F.col("op") == "write"
+        checked = ops.select("id", "op", "body", *[F.when(write, constraints.claim(F.col("body"), u)).alias(f"claim{i}") for i, u in enumerate(unique)])
+        if fields:
+            checked = checked.withColumn("problem", F.when(write, constraints.problem(F.col("body"), replace(c.schema, fields=fields))))
+        staged = store.stage(checked, files, distinct=True)
+        kinds = "".join(f", claim{i} string" for i in range(len(unique)))
+        rows = store.staged(staged.path, kinds + (", problem struct<field: string, problem: string>" if fields else ""))
+        try:
+            if fields and (bad := rows.where("problem IS NOT NULL").select("problem.*").limit(1).collect()):
                 raise ConstraintError(f"{bad[0]['field']}: {bad[0]['problem']}")
-        for columns in c.schema.unique:
-            after = self._snapshot(c).join(ops.select("id"), "id", "left_anti").unionByName(written.select("id", "body"))
-            if constraints.duplicates(after, columns).limit(1).collect():
-                raise ConstraintError(f"{', '.join(columns)} must be unique")
-        n = ops.count()
-        returned = None
+            if staged.rows and (unique or not distinct):
+                self._check_claims(c, rows, unique, distinct)
+            returned = commit = None
+            exclusive = exclusive or bool(unique)
+            if self.pending is not None:
+                own = self.pending.setdefault(c.name, Pending(head))
+                own.parts.append(staged)
+                own.exclusive |= exclusive
+            elif staged.rows:
+                commit = store.commit(None, "write", staged=staged, expected=head, exclusive=exclusive)
+            else:
+                store.discard(staged)
+        except (ConstraintError, ConflictError):
+            store.discard(staged)
+            raise
+        kept = store.parts_of(commit) if commit else rows if self.pending is not None else self.spark.createDataFrame([], "id string, op string, body string")
+        kept = kept.select("id", "op", "body")
         if returning:
-            df, source = self._as_source(c, written.select("id", "body"))
+            df, source = self._as_source(c, kept.where("op = 'write'").select("id", "body"))
             returned = SelectPlan(S.Select(returning, S.Table(c.name)), Lowering(self.spark, [source], df, params, self.prefix)).frame()
-        commit = None
-        if self.pending is not None:
-            self.pending.setdefault(c.name, []).append((ops, files))
-        elif n:
-            commit = c.store.commit(ops, "write", attachments=files)
-        return Written(ops, n, commit, returned)
+        return Written(kept, staged.rows, commit, returned)
+
+    def _check_claims(self, c: Collection, rows: DataFrame, unique: list[tuple[str, ...]], distinct: bool) -> None:
+        """No two staged rows may claim the same id or unique value, nor a value that a document holds which they do not replace."""
+        claims = [F.struct(F.lit(i).alias("of"), F.col(f"claim{i}").alias("claim")) for i in range(len(unique))]
+        ids = [] if distinct else [F.struct(F.lit(-1).alias("of"), F.col("id").alias("claim"))]
+        own = rows.select("id", F.explode(F.array(*ids, *claims)).alias("x")).select("id", "x.*").where("claim IS NOT NULL")
+        twice = own.groupBy("of", "claim").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("of")
+        if unique and (c.store.head() is not None or self._staged(c)):
+            held = self._snapshot(c).join(rows.select("id"), "id", "left_anti")
+            held = held.select(F.explode(F.array(*[F.struct(F.lit(i).alias("of"), constraints.claim(F.col("body"), u).alias("claim")) for i, u in enumerate(unique)])).alias("x")).select("x.*")
+            twice = twice.unionByName(held.join(own.select("of", "claim"), ["of", "claim"], "left_semi").select("of"))
+        for r in twice.limit(1).collect():
+            raise ConstraintError("a document is written twice" if r["of"] < 0 else f"{', '.join(unique[r['of']])} must be unique")
 
     # ---- versions
 
@@ -504,7 +632,7 @@ class Engine:
         moved = both.where(~F.col("base").eqNullSafe(F.col("local")))
         clean = moved.where(F.col("base").eqNullSafe(F.col("remote"))).select("id", F.when(F.col("local").isNull(), "delete").otherwise("write").alias("op"), F.col("local").alias("body"))
         contested = moved.where(~F.col("base").eqNullSafe(F.col("remote")) & ~F.col("local").eqNullSafe(F.col("remote")))
-        decided = merge.resolve(contested, policy, procedure).persist()
+        decided = self._kept(self.collection(name), merge.resolve(contested, policy, procedure))
         deferred = decided.where("kind = 'defer'")
         if deferred.limit(1).count():
             return None, contested.join(deferred.select("id"), "id", "left_semi")
@@ -520,17 +648,19 @@ class Engine:
     def write_if(self, name: str, operations: DataFrame, expected: DataFrame) -> Written:
         """Commits (id, op, body) only if every (id, hash) of `expected` holds: the SHA-256 of the document's text, or NULL for a document that must not be there."""
         c = self._writable(name)
+        head = self._head(c)
         now = self._snapshot(c).select(F.col("id").alias("i"), content_hash(F.col("body")).alias("h"))
         broken = expected.join(now, F.col("id") == F.col("i"), "left").where(~F.col("hash").eqNullSafe(F.col("h")))
         if broken.limit(1).count():
             raise ConstraintError("a precondition does not hold")
-        return self._finish(c, operations.select("id", "op", "body"))
+        return self._finish(c, operations.select("id", "op", "body"), head, exclusive=True)
 
     def sweep(self, name: str, field_name: str, now: datetime) -> Written:
         """Commits the deletes of documents whose timestamp field is not later than `now`."""
         c = self._writable(name)
+        head = self._head(c)
         at = F.try_to_timestamp(F.get_json_object("body", "$." + field_name))
-        return self._finish(c, feed.sweep_expired(self._snapshot(c).withColumn("until", at), "until", F.lit(now)))
+        return self._finish(c, feed.sweep_expired(self._snapshot(c).withColumn("until", at), "until", F.lit(now)), head, distinct=True, paths=set())
 
     def predicate(self, text: str, body: str = "body") -> Column:
         """A stand-alone filter over JSON text, as a column; anything that is not true is false."""

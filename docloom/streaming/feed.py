@@ -23,7 +23,7 @@ def change_feed(spark: SparkSession, path: str, after: int = 0, files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     if bytes_per_batch:
         reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
-    return reader.parquet(f"{path.rstrip('/')}/ops").where(F.col("seq") > after)
+    return reader.parquet(f"{path.rstrip('/')}/ops").select("seq", "commit", "id", "op", "body").where(F.col("seq") > after)
 
 
 def filtered(feed: DataFrame, keep: Column, op: str = "op", body: str = "body") -> DataFrame:

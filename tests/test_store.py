@@ -1,5 +1,6 @@
 import json
-from datetime import UTC, datetime
+from concurrent.futures import ThreadPoolExecutor
+from datetime import UTC, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,8 @@ from pyspark.sql import functions as F
 from docloom.operators import constraints, merge
 from docloom.plans.syntax import ColumnDef, SqlError
 from docloom.session import ConstraintError, Engine
-from docloom.sources.store import RevisionError, Store
+from docloom.sources.log import Files, Log, decide
+from docloom.sources.store import ConflictError, RevisionError, Store
 from docloom.streaming import feed
 
 
@@ -215,3 +217,176 @@ def test_subscription(spark, engine, tmp_path):
     q = engine.subscribe("t", "name = 'Ann' AND tags.first LIKE 'x%'").writeStream.format("memory").queryName("sub").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     assert q.awaitTermination(60)
     assert sorted(r["op"] for r in spark.table("sub").collect()) == ["delete", "write"]
+
+
+# ---- several writers, crashes, retention
+
+
+def test_dead_commits_stay_dead(spark, store, tmp_path):
+    """A writer that died before its log entry leaves nothing; one that died behind it has committed."""
+    store.stage(ops(spark, ("ghost", "write", "{}")))
+    store.commit(ops(spark, ("d", "write", "{}")))
+    again = Store(spark, str(tmp_path / "t"))
+    assert set(docs(again.snapshot())) == {"a", "c", "d"} and again.operations().where("id = 'ghost'").count() == 0
+    moved = again.files.move
+    again.files.move = lambda *_: (_ for _ in ()).throw(RuntimeError("lost"))
+    with pytest.raises(RuntimeError):
+        again.commit(ops(spark, ("e", "write", "{}")))
+    again.files.move = moved
+    assert set(docs(Store(spark, str(tmp_path / "t")).snapshot())) == {"a", "c", "d", "e"}
+
+
+def test_two_writers(spark, store, tmp_path):
+    other = Store(spark, str(tmp_path / "t"))
+    head = store.head()
+    store.commit(ops(spark, ("x", "write", "{}"), ("a", "write", '{"n":11}')), expected=head)
+    other.commit(ops(spark, ("y", "write", "{}")), expected=head)  # other documents: goes on top
+    with pytest.raises(ConflictError):
+        other.commit(ops(spark, ("a", "write", '{"n":12}')), expected=head)
+    with pytest.raises(ConflictError):
+        other.commit(ops(spark, ("q", "write", "{}")), expected=head, exclusive=True)
+    store.refresh()
+    assert docs(store.snapshot()) == docs(other.snapshot()) == docs(Store(spark, store.path).snapshot()) == {"a": {"n": 11}, "c": {"n": 3}, "x": {}, "y": {}}
+    assert [r["seq"] for r in store.log().collect()] == [5, 4, 3, 2, 1]
+    assert sorted((r["seq"], r["id"]) for r in store.operations().where("seq > 3").collect()) == [(4, "a"), (4, "x"), (5, "y")]
+    with pytest.raises(ValueError):
+        store.commit(ops(spark, ("z", "write", "{}"), ("z", "delete", None)))
+
+
+def test_create_is_exclusive(spark, tmp_path):
+    files = Files(spark)
+    for make in (files.create, lambda at, text: files._renamed(f"{at}.own", at, text)):  # by a link, and as on other file systems
+        at = str(tmp_path / f"f{make.__name__.strip('<>')}")
+        assert make(at, "one ü") and not make(at, "two") and files.read(at) == "one ü"
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda i: files.create(str(tmp_path / "race"), str(i)), range(8)))
+    assert sum(won) == 1 and files.read(str(tmp_path / "race")) == str(won.index(True)) and not [n for n in files.names(str(tmp_path)) if n.startswith(".new")]
+
+
+def test_states_of_a_long_log(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(Log, "STATE_EVERY", 4)
+    s = Store(spark, str(tmp_path / "t"))
+    s.commit(ops(spark, ("a", "write", "{}")), ts=datetime(2024, 1, 1, tzinfo=UTC))
+    for i in range(7):
+        s.tag(f"t{i}")
+    lease = s.lease("job", "me", 3600)
+    s.define(lambda _: {"x": 1})
+    again = Store(spark, str(tmp_path / "t"))
+    assert s.record.newest_state()[0] == 8
+    assert (again.commits, again.refs, again.leases, again.catalog, again.at) == (s.commits, s.refs, {"job": lease}, {"x": 1}, 10)
+
+
+def test_compaction_keeps_attachments(engine):
+    engine.sql("INSERT INTO t (id, k) VALUES ('f', 7) WITH ATTACHMENT 'a.txt' = X'6869' MIME 'text/plain', ATTACHMENT 'gone' = X'00'")
+    engine.sql("UPDATE t DROP ATTACHMENT 'gone' WHERE k = 7")
+    store = engine.collection("t").store
+    before, documents = sorted(map(tuple, store.attachments().collect())), docs(store.snapshot())
+    store.compact("head")
+    for s in (store, Store(engine.spark, store.path)):
+        assert sorted(map(tuple, s.attachments().collect())) == before and len(before) == 1 and docs(s.snapshot()) == documents
+    engine.sql("UPDATE t SET ATTACHMENT 'b' = X'01' WHERE k = 7")
+    engine.sql("UPDATE t SET name = 'new' WHERE k = 1")
+    store.compact("head")
+    assert rows(engine, "SELECT ATTACHMENT_COUNT() AS n, ATTACHMENT('a.txt') AS c FROM t WHERE k = 7") == [(2, b"hi")] and len(store.commits) == 1
+    assert store.files.names(f"{store.path}/ops") == [] and len(store.files.names(f"{store.path}/folded")) == 1
+
+
+def test_retention(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "t"))
+    for hour in range(0, 96, 8):
+        s.commit(ops(spark, (f"d{hour % 3}", "write", json.dumps({"h": hour}))), ts=datetime(2024, 1, 1, tzinfo=UTC) + timedelta(hours=hour))
+    s.tag("mark", "head~10")
+    s.branch("side", "head~6")
+    s.commit(ops(spark, ("side", "write", "{}")), branch="side", ts=datetime(2024, 1, 2, 20, tzinfo=UTC))
+    now = datetime(2024, 1, 5, tzinfo=UTC)
+    kept = [c.id for c in sorted(s.commits.values(), key=lambda c: c.seq)]
+    was = {c: docs(s.snapshot(c)) for c in kept}
+    gone = s.retain([(timedelta(hours=36), "daily"), (timedelta(hours=80), "tagged")], now)
+    assert 0 < len(gone) < len(kept) and all(s.refs[x] not in gone for x in s.refs)
+    again = Store(spark, str(tmp_path / "t"))
+    assert set(again.commits) == set(kept) - set(gone) and all(docs(again.snapshot(c)) == was[c] for c in again.commits)
+    assert s.common_ancestor(s.resolve("side"), s.resolve("head")) == s.resolve("side^")
+    young = [c for c in kept if now - s.commits.get(c, again.commits[kept[0]]).ts < timedelta(hours=36)]
+    assert not set(young) & set(gone)
+    days = [s.commits[c].ts.date() for c in again.commits if c in was and now - again.commits[c].ts >= timedelta(hours=36)]
+    assert len(days) <= 2 + len(set(days))  # of each old day the last, the root and the tag
+    with pytest.raises(RevisionError):
+        again.compact("side^")
+    again.delete_ref("tag", "mark")
+    again.compact("side^")
+    assert docs(again.snapshot()) == was[kept[-2]] and docs(again.snapshot("side")) == was[kept[-1]]
+
+
+def test_leases(spark, store):
+    first = store.lease("job", "ann", 60)
+    with pytest.raises(ConflictError):
+        store.lease("job", "bob", 60)
+    store.commit(ops(spark, ("l", "write", "{}")), lease=first)
+    second = store.lease("job", "bob", 60, now=first.until)  # it is over by then
+    assert second.fence > first.fence
+    with pytest.raises(ConflictError):
+        store.commit(ops(spark, ("m", "write", "{}")), lease=first)
+    store.release(second)
+    assert store.lease("job", "ann", 60).fence > second.fence
+
+
+def test_writers_of_two_sessions(spark, engine):
+    other = Engine(spark, engine.path)
+    assert rows(other, "SELECT name FROM t ORDER BY k") == [("Ann",), ("Bob",)]  # the schema came with the data
+    with pytest.raises(ConstraintError):
+        other.sql("INSERT INTO t (k) VALUES (1)")
+    engine.sql("CREATE VIRTUAL VIEW v AS SELECT name FROM t WHERE k = 1")
+    engine.sql("CREATE INDEX words ON t (name) USING FULLTEXT")
+    again = Engine(spark, engine.path)
+    assert rows(again, "SELECT name FROM v") == [("Ann",)] and again.collection("t").indexes == engine.collection("t").indexes and again.collection("t").schema == engine.collection("t").schema
+    engine.sql("DROP VIEW v")
+    assert not Engine(spark, engine.path).views
+    engine.sql("BEGIN")
+    engine.sql("UPDATE t SET name = 'mine' WHERE k = 1")
+    other.sql("UPDATE t SET name = 'theirs' WHERE k = 1")
+    with pytest.raises(ConflictError):
+        engine.sql("COMMIT")
+    assert rows(engine, "SELECT name FROM t ORDER BY k") == [("theirs",), ("Bob",)]
+
+
+def test_transactions_over_collections(spark, engine, tmp_path):
+    engine.sql("CREATE TABLE u (k BIGINT)")
+    both = lambda e: (rows(e, "SELECT COUNT(*) FROM t")[0][0], rows(e, "SELECT COUNT(*) FROM u")[0][0])
+    engine.sql("BEGIN")
+    engine.sql("INSERT INTO t (k) VALUES (5)")
+    engine.sql("INSERT INTO u (k) VALUES (5)")
+    engine.sql("INSERT INTO u (k) VALUES (6)")
+    assert both(engine) == (3, 2) and both(Engine(spark, engine.path)) == (2, 0)
+    assert len(engine.transaction("COMMIT")) == 2
+    assert both(engine) == both(Engine(spark, engine.path)) == (3, 2)
+    # A transaction that stops half-way is not seen, and the next writer ends it.
+    engine.sql("BEGIN")
+    engine.sql("INSERT INTO t (k) VALUES (7)")
+    engine.sql("INSERT INTO u (k) VALUES (7)")
+    store, p = engine.collection("t").store, engine.pending["t"]
+    store.commit(None, "half", staged=p.parts[0], expected=p.head, txn="../_transactions/half")
+    engine.pending = None
+    assert both(Engine(spark, engine.path)) == (3, 2)
+    other = Engine(spark, engine.path)
+    other.sql("INSERT INTO t (k) VALUES (8)")
+    assert decide(store.files, str(tmp_path / "_transactions" / "half"), "committed") == "aborted"
+    assert both(Engine(spark, engine.path)) == (4, 2)
+    # Both collections or none, if one has moved on.
+    engine.collection("t").store.refresh()
+    engine.sql("BEGIN")
+    engine.sql("DELETE FROM u WHERE k = 5")
+    engine.sql("UPDATE t SET name = 'x' WHERE k = 8")
+    other.sql("UPDATE t SET name = 'y' WHERE k = 8")
+    with pytest.raises(ConflictError):
+        engine.sql("COMMIT")
+    assert both(engine) == both(Engine(spark, engine.path)) == (4, 2) and rows(Engine(spark, engine.path), "SELECT name FROM t WHERE k = 8") == [("y",)]
+
+
+def test_no_data_on_the_driver(spark, engine):
+    """put() stages what it is given; nothing is collected or cached, whatever the rows are made from."""
+    made = spark.range(200).select(F.concat(F.lit('{"k":'), F.col("id") + 100, F.lit("}")).alias("body"))
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    assert engine.put("t", made).rows == 200 and engine.sql("UPDATE t SET name = 'n' WHERE k >= 100").rows == 200
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
+    store = engine.collection("t").store
+    assert store.snapshot().select("id").distinct().count() == 202
