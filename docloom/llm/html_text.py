@@ -1,10 +1,11 @@
 """Main text of web pages by tag-path ratios.
 
 Each text node belongs to the root-to-leaf tag path (names with their classes) of its nearest block element, so links and other inline elements
-are judged with the text around them. Within <article> or <main> every path is content that is no list of links. Elsewhere the text and
-punctuation per block are aggregated for each path, lowered by the share of link text, smoothed over the neighbouring nodes of the page, taken
-by their logarithms, fused, and thresholded; the nodes of the paths above the threshold are the content. A list or table counts with all its text.
-Paths that say themselves that they are no article (nav, footer, class="ad" and so on) count as 0.
+are judged with the text around them. For each path, text per block (less its links) and punctuation per block are aggregated, smoothed over the
+neighbouring blocks of the page, fused, and thresholded; the blocks of the paths above the threshold are the first content nodes. The innermost section
+that holds nearly all their text is the content's. In it short blocks (captions, items, cells) stay with the long ones: paths are judged by the
+logarithms of the same ratios, a list or table by all its text, and only lists of links go. Outside of it a path must reach a higher threshold.
+What elements and classes say of themselves (article, nav, class="ad" and so on) are weights of these ratios.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from math import log1p
 
 import pyarrow as pa
@@ -23,19 +25,24 @@ from docloom.llm.common import small_batches
 # Elements by role in a page.
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-NOT_ARTICLE = frozenset("head script style noscript template nav footer aside form iframe svg math canvas button select textarea option menu dialog object audio video title input datalist".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+SKIPPED = frozenset("head script style noscript template iframe svg canvas button select textarea option audio video title datalist".split())
+BESIDE_ARTICLE = frozenset("nav footer aside menu dialog".split())
+SECTIONS = frozenset("html body div section article main td center table tbody tr form fieldset details dialog".split())
+LISTS = frozenset("table ul ol dl".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead"}, "body": {"head"}, "thead": set(), "tfoot": {"tr", "td", "th", "tbody"}}
 FENCES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 P_FENCES = frozenset("article body button caption div html main section table td th".split())
-# Words of a class, id or role that say a subtree is no article.
+# Words of a class, id or role that say a subtree is no article, and such as make it doubtful.
 NOISE = frozenset(
     """ad ads adv advert adverts advertisement advertisements advertising adsense banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo
-    cookie cookies copyright dialog disqus footer form gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination
-    popup promo promoted promotion reader-comments related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets""".split()
+    cookie cookies copyright disqus footer gdpr header login masthead menu menubar nav navbar navigation newsletter notice notices notification pagination
+    popup promo promoted promotion reader-comments related replies reply sidebar signup skip sponsor sponsored subscribe subscription toolbar""".split()
 )
 NOISE_STARTS = ("advert", "adsby", "adslot", "adunit", "adbox", "cookie", "sidebar", "sponsor", "newsletter", "subscri", "breadcrumb", "commentlist", "commentform", "commentbox")
+DOUBTFUL = frozenset("dialog form modal pager respond search share sharing social widget widgets".split())
 # Words by which a class says what lies beside an element, or is of the article itself where it stands in one.
 BESIDE, OF_ARTICLE = frozenset("has with no without".split()), frozenset(["header", "masthead", "banner"])
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
@@ -44,55 +51,76 @@ PUNCTUATION = re.compile(r"[.,;:!?。，、؟،]")
 NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 NEAR = (1.0, 2.0, 1.0)
-#: Outside <article> and <main>, a path is content if its fused logarithms are at least this share of the page's mean, weighted by text.
-SHARE = 0.15
+#: Weights: of what says it is no article, of what is doubtful, and of the text of an article or main when the content's section is looked for.
+NO_ARTICLE, DOUBT, ARTICLE = 0.02, 0.2, 10.0
+#: A path is content if its fused ratios are at least this share of the page's mean, weighted by text: of the products, to begin with; of the products of paths
+#: outside the content's section; and of the sums of logarithms within it.
+SHARE, SHARE_OUTSIDE, SHARE_INSIDE = 0.15, 0.5, 0.15
+#: The content's section holds this share of the weighted text of the first content nodes.
+MASS = 0.9
 #: A path is a list of links if they hold this share of its text, separators left out.
 LINKS = 0.9
-#: Lists and tables: the innermost that holds a path.
-GROUP = re.compile(r".*/(?:table|ul|ol|dl)(?=[./]|\Z)[^/]*", re.S)
-HEADING = re.compile(r"/h[1-6][^/]*(?:/[^/]+)?\Z")
 
 
-def _noisy(name: str, attributes: str, inside_article: bool) -> tuple[bool, str]:
-    """(whether the element is no article, its label in paths)."""
-    if name in NOT_ARTICLE or name == "header" and not inside_article:
-        return True, name
+@dataclass
+class Page:
+    """Text nodes (path, element, text, whether in a link, block) in page order, and what is known of each path and element. Paths and elements are numbers, so a
+    deep page takes no more memory than a flat one."""
+
+    nodes: list[tuple[int, int, str, bool, int]]
+    doubt: list[float]  # of a path: 1, less for what says it is no article
+    boost: list[float]
+    group: list[int]  # of a path: the innermost list or table, -1 for none
+    heading: list[bool]
+    parent: list[int]  # of an element
+    section: list[bool]
+
+
+def _weight(name: str, attributes: str, inside_article: bool) -> tuple[float, str]:
+    """(weight of the element, its label in paths); a weight of 0 is that of hidden elements."""
+    weight = NO_ARTICLE if name in BESIDE_ARTICLE or name == "header" and not inside_article else DOUBT if name == "form" else 1.0
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
-        return False, name
-    classes, bad = "", False
+        return weight, name
+    classes = ""
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
         if key == "hidden" and not m[2] or key == "aria-hidden" and value.lower() == "true" or key == "style" and HIDDEN.search(value):
-            bad = True
+            weight = 0.0
         elif key in ("class", "id", "role"):
             words = [w.lower() for w in NAME_WORDS.findall(value)]
-            noise = [w for w in words if (w in NOISE or w.startswith(NOISE_STARTS)) and not (inside_article and w in OF_ARTICLE)]
-            if noise and name not in ("html", "body", "article", "main") and BESIDE.isdisjoint(words):
-                bad = True
+            if name not in ("html", "body", "article", "main") and BESIDE.isdisjoint(words):
+                if any((w in NOISE or w.startswith(NOISE_STARTS)) and not (inside_article and w in OF_ARTICLE) for w in words):
+                    weight = min(weight, NO_ARTICLE)
+                elif not DOUBTFUL.isdisjoint(words):
+                    weight = min(weight, DOUBT)
             classes += "." + value.lower()
-    return bad, name + classes
+    return weight, name + classes
 
 
-def text_nodes(page: str) -> list[tuple[str, str, bool, int]]:
-    """(path of the nearest block element, text, in a link, block number) of the text nodes that no noisy element holds, in page order."""
-    out: list[tuple[str, str, bool, int]] = []
-    stack: list[tuple[str, str, bool, str]] = []  # name, path, noisy, path of the nearest block
+def read_page(page: str) -> Page:
+    """The text nodes that are shown, in page order."""
+    out = Page([], [1.0], [1.0], [-1], [False], [-1], [True])
+    paths: dict[tuple[int, str], int] = {}
+    open_: dict[str, int] = {}
+    stack: list[tuple[str, int, int, int]] = []  # name, path, path of the nearest block, element
+    skipped = 0
     block, at, end = 0, 0, len(page)
-    articles = links = 0
 
     def pop_to(depth: int) -> None:
-        nonlocal articles, links
-        for name, *_ in stack[depth:]:
-            articles -= name in ("article", "main")
-            links -= name == "a"
+        nonlocal skipped
+        for name, path, _, _ in stack[depth:]:
+            open_[name] -= 1
+            skipped -= name in SKIPPED or out.doubt[path] == 0
         del stack[depth:]
 
     def take(text: str) -> None:
-        if not stack or not stack[-1][2]:
-            if text and not text.isspace():
-                out.append((stack[-1][3] if stack else "", html.unescape(text) if "&" in text else text, links > 0, block))
-            elif text and out and out[-1][3] == block:
-                out.append((out[-1][0], " ", False, block))
+        if skipped:
+            return
+        path, element = (stack[-1][2], stack[-1][3]) if stack else (0, 0)
+        if text and not text.isspace():
+            out.nodes.append((path, element, html.unescape(text) if "&" in text else text, open_.get("a", 0) > 0, block))
+        elif text and out.nodes and out.nodes[-1][4] == block:
+            out.nodes.append((*out.nodes[-1][:2], " ", False, block))
 
     while at < end:
         m = TOKEN.search(page, at)
@@ -109,14 +137,14 @@ def text_nodes(page: str) -> list[tuple[str, str, bool, int]]:
         if name not in INLINE:
             block += 1
         if closing:
-            depth = len(stack) - 1
-            while depth >= 0 and stack[depth][0] != name:
-                depth -= 1
-            if depth >= 0:
+            if open_.get(name):
+                depth = len(stack) - 1
+                while stack[depth][0] != name:
+                    depth -= 1
                 pop_to(depth)
             continue
-        if name in CLOSES_P or name in CLOSES:
-            ends = CLOSES.get(name, ())
+        ends = CLOSES.get(name, ())
+        if name in CLOSES_P and open_.get("p") or any(open_.get(x) for x in ends):
             fences = FENCES.get(name, ())
             depth, cut = len(stack) - 1, None
             while depth >= 0:
@@ -130,12 +158,20 @@ def text_nodes(page: str) -> list[tuple[str, str, bool, int]]:
                 pop_to(cut)
         if name in VOID or attributes.endswith("/") and name not in RAW:
             continue
-        bad, label = _noisy(name, attributes, articles > 0)
-        above = stack[-1] if stack else ("", "", False, "")
-        path = f"{above[1]}/{label}"
-        stack.append((name, path, above[2] or bad, above[3] if name in INLINE else path))
-        articles += name in ("article", "main")
-        links += name == "a"
+        article = open_.get("article", 0) + open_.get("main", 0) > 0
+        weight, label = _weight(name, attributes, article)
+        _, above, block_path, element = stack[-1] if stack else ("", 0, 0, 0)
+        path = paths.setdefault((above, label), len(out.doubt))
+        if path == len(out.doubt):
+            out.doubt.append(out.doubt[above] * weight)
+            out.boost.append(ARTICLE if name in ("article", "main") or ".main" in label else out.boost[above])
+            out.group.append(path if name in LISTS else out.group[above])
+            out.heading.append(name in HEADINGS or out.heading[above] and name in INLINE)
+        out.parent.append(element)
+        out.section.append(name in SECTIONS)
+        stack.append((name, path, block_path if name in INLINE and weight == 1 else path, len(out.parent) - 1))
+        open_[name] = open_.get(name, 0) + 1
+        skipped += name in SKIPPED or out.doubt[path] == 0
         if name in RAW:
             close = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(page, at)
             at = close.start() if close else end
@@ -150,69 +186,117 @@ def _smooth(values: list[float]) -> list[float]:
     return out
 
 
-def content_paths(nodes: list[tuple[str, str, bool, int]], inside: bool = False) -> set[str]:
-    """The paths of the content; inside: <article> or <main> holds the nodes. A heading path has the value of the text behind it if that is larger."""
-    stats: dict[str, list[float]] = {}
-    group: dict[str, str] = {}
-    held: dict[str, list[float]] = {}
-    full: list[tuple[str, int]] = []  # the texts of a block under one path are one node
-    last = ""
-    for path, text, link, block in nodes:
-        if path not in stats:
-            stats[path] = [0, 0, 0, 0, 0]
-            group[path] = m[0] if (m := GROUP.match(path)) else ""
-        s, n, g = stats[path], len(text.strip()), group[path]
+@dataclass
+class Ratios:
+    """Blocks (path, element, characters) and, of each path, its scores and whether it is a list of links."""
+
+    blocks: list[tuple[int, int, int]]
+    product: dict[int, float]
+    damped: dict[int, float]
+    linked: dict[int, bool]
+
+
+def ratios(p: Page) -> Ratios:
+    """Text and punctuation a block of each path, smoothed over the page's blocks, and fused: multiplied, and as a sum of logarithms."""
+    stats: dict[int, list[int]] = {}  # of a path: characters, marks, blocks, characters in links and of all words
+    held: dict[int, list[int]] = {}  # of a list or table: characters, times that text of it begins
+    blocks: list[list[int]] = []
+    last, group = None, -1
+    for path, element, text, link, block in p.nodes:
+        n = len(text.strip())
         if not n:
             continue
+        s = stats.setdefault(path, [0, 0, 0, 0, 0])
         s[0] += n
         s[1] += len(PUNCTUATION.findall(text))
         if any(map(str.isalnum, text)):
             s[3] += n * link
             s[4] += n
-        if not full or full[-1] != (path, block):
-            full.append((path, block))
+        if last != (path, block):
+            blocks.append([path, element, 0])
             s[2] += 1
-        h = held.setdefault(g, [0, 0])
-        h[0] += n
-        h[1] += g != last
-        last = g
-    if not full:
-        return set()
-    linked = {p: 0 < a and a >= LINKS * t for p, (_, _, _, a, t) in stats.items()}
-    if inside:
-        own = [float(not linked[p]) for p, _ in full]
-    else:
-        size = {p: held[g][0] / held[g][1] if (g := group[p]) else s[0] / max(s[2], 1) for p, s in stats.items()}
-        ratio = {p: size[p] * (1 - s[3] / max(s[4], 1)) for p, s in stats.items()}
-        marks = {p: s[1] / max(s[2], 1) for p, s in stats.items()}
-        length, punctuation = _smooth([ratio[p] for p, _ in full]), _smooth([marks[p] for p, _ in full])
-        own = [(log1p(x) + log1p(y)) * (not linked[n[0]]) for n, x, y in zip(full, length, punctuation)]
-    for i in range(len(full) - 2, -1, -1):
-        if HEADING.search(full[i][0]):
-            own[i] = max(own[i], own[i + 1])
-    fused: dict[str, list[float]] = {}
-    for n, v in zip(full, own):
-        fused.setdefault(n[0], []).append(v)
-    score = {p: sum(v) / len(v) for p, v in fused.items()}
-    if inside:
-        return {p for p, v in score.items() if v > 0}
-    mean = sum(score[p] * stats[p][0] for p in score) / max(sum(stats[p][0] for p in score), 1)
-    return {p for p, v in score.items() if v >= SHARE * mean and v > 0}
+            last = (path, block)
+        blocks[-1][2] += n
+        if (g := p.group[path]) >= 0:
+            h = held.setdefault(g, [0, 0])
+            h[0] += n
+            h[1] += g != group
+        group = g
+    linked = {q: 0 < a and a >= LINKS * t for q, (_, _, _, a, t) in stats.items()}
+    size = {q: held[g][0] / held[g][1] if (g := p.group[q]) >= 0 else s[0] / s[2] for q, s in stats.items()}
+    length = _smooth([size[b[0]] * (1 - stats[b[0]][3] / max(stats[b[0]][4], 1)) for b in blocks])
+    marks = _smooth([stats[b[0]][1] / stats[b[0]][2] for b in blocks])
+    sums: dict[int, list[float]] = {}
+    for (path, _, _), x, y in zip(blocks, length, marks):
+        own = sums.setdefault(path, [0.0, 0.0, 0.0])
+        own[0] += x * (1 + y)
+        own[1] += log1p(x) + log1p(y)
+        own[2] += 1
+    keep = {q: not linked[q] for q in stats}
+    return Ratios([tuple(b) for b in blocks], {q: v[0] / v[2] * keep[q] for q, v in sums.items()}, {q: v[1] / v[2] * keep[q] for q, v in sums.items()}, linked)
+
+
+def _mean(score: dict[int, float], blocks: list[tuple[int, int, int]]) -> float:
+    return sum(score[q] * n for q, _, n in blocks) / max(sum(n for _, _, n in blocks), 1)
+
+
+def section_of(p: Page, r: Ratios) -> list[bool]:
+    """Whether an element lies in the content's section."""
+    mean = _mean(r.product, r.blocks)
+    mass = [0.0] * len(p.parent)
+    for path, element, n in r.blocks:
+        if r.product[path] * p.doubt[path] >= SHARE * mean * min(p.doubt[path], 1) and not r.linked[path]:
+            mass[element] += n * p.doubt[path] * p.boost[path]
+    heaviest = [-1] * len(p.parent)
+    for e in range(len(p.parent) - 1, 0, -1):
+        up = p.parent[e]
+        mass[up] += mass[e]
+        if heaviest[up] < 0 or mass[e] >= mass[heaviest[up]]:
+            heaviest[up] = e
+    at = 0
+    while (e := heaviest[at]) >= 0 and mass[e] > 0 and mass[e] >= MASS * mass[0] and p.section[e]:
+        at = e
+    inside = [False] * len(p.parent)
+    inside[at] = True
+    for e in range(1, len(p.parent)):
+        inside[e] = inside[e] or inside[p.parent[e]]
+    return inside
+
+
+def content(p: Page) -> list[bool]:
+    """Whether each text node is content."""
+    r = ratios(p)
+    if not r.blocks:
+        return [False] * len(p.nodes)
+    inside = section_of(p, r)
+    low, high = SHARE_INSIDE * _mean(r.damped, r.blocks), SHARE_OUTSIDE * _mean(r.product, r.blocks)
+
+    def good(path: int, element: int) -> bool:
+        if r.linked[path]:
+            return False
+        return r.damped[path] * p.doubt[path] >= low if inside[element] else r.product[path] * p.doubt[path] >= high
+
+    own = [path in r.linked and good(path, element) for path, element, _, _, _ in p.nodes]
+    behind = False
+    for i in range(len(own) - 1, -1, -1):  # a heading goes with the text behind it
+        path, _, text, _, _ = p.nodes[i]
+        if text == " ":
+            continue
+        if p.heading[path] and behind and p.doubt[path] == 1:
+            own[i] = True
+        behind = own[i]
+    return own
 
 
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks in page order, white space in them single, joined by one space."""
     if not page:
         return ""
-    nodes = text_nodes(page)
-    inside = [n for n in nodes if re.search(r"/(?:article|main)(?=[./]|\Z)", n[0])]
-    if sum(len(n[1]) for n in inside) * 4 >= sum(len(n[1]) for n in nodes if not n[2]):
-        nodes, keep = inside, content_paths(inside, True)
-    else:
-        keep = content_paths(nodes)
+    p = read_page(page)
+    keep = content(p)
     parts, last = [], None
-    for i, (path, text, _, block) in enumerate(nodes):
-        if path in keep or text == " ":
+    for i, (_, _, text, _, block) in enumerate(p.nodes):
+        if keep[i] or text == " ":
             parts.append(text if last in (None, (block, i - 1)) else " " + text)
             last = (block, i)
     return " ".join("".join(parts).split())

@@ -178,6 +178,59 @@ def test_html_short_blocks_beside_long_paragraphs(outer):
         assert got == " ".join(re.sub("<.*?>", " ", body).split())
 
 
+RENAMED = {
+    "given": lambda x: x,
+    "no article": lambda x: re.sub(r"<(/?)article>", r"<\1div>", x),
+    "no classes": lambda x: re.sub(r"<(/?)article>", r"<\1div>", x).replace(' class="ad"', ""),
+    "no names": lambda x: re.sub(r"<(/?)(?:article|nav|footer)>", r"<\1div>", x).replace(' class="ad"', ""),
+}
+
+
+def test_html_ratios_decide(sf, monkeypatch):
+    """Without names that tell, the ratios still find most articles; without the ratios none is found."""
+    import html
+
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"])["html"].to_pylist()
+    want = [" ".join(html.unescape(re.sub(r"<[^>]*(?:>|\Z)", " ", re.search(r"<article>(.*?)(?:</article>|<footer>|\Z)", x, re.S)[1])).split()) for x in pages]
+    found = lambda name: sum(html_text.main_text(RENAMED[name](x)) == w for x, w in zip(pages, want)) / len(pages)
+    assert [found("given"), found("no article")] == [1.0, 1.0] and found("no classes") > 0.85 and found("no names") > 0.55
+    whole = html_text.ratios
+
+    def alike(p):
+        r = whole(p)
+        one = dict.fromkeys(r.product, 1.0)
+        return html_text.Ratios([(q, e, 1) for q, e, _ in r.blocks], one, one, dict.fromkeys(one, False))
+
+    monkeypatch.setattr(html_text, "ratios", alike)
+    assert found("no classes") < 0.1 and found("no names") < 0.1
+
+
+def test_html_names_are_weights():
+    long = "A long sentence with a mark, of a hundred characters or so, that goes on for as long as it can do. " * 5
+    page = f"<body><div class=text><p>{long}</p><section class='research-form'><p>{long}</p></section><math><mi>x</mi></math><p>Wo<img src=a>rd one, and mo<wbr>re.</p><div class=share><a href=1>Share</a> this</div></div></body>"
+    assert html_text.main_text(page) == " ".join(f"{long} {long} x Word one, and more.".split())
+    assert html_text.main_text(f"<body><form id=aspnetForm><div class=menu>Home, and more.</div><div><p>{long}</p><p>{long}</p></div></form></body>") == " ".join((long + long).split())
+    assert html_text.main_text(f"<body><div class=comments><p>{long}</p></div><div class=post><h1>Head</h1><p>Short one.</p></div></body>") == "Head Short one."
+
+
+def test_html_awkward_pages(spark):
+    import resource
+
+    deep = "<div>" * 100_000 + "deep text, here." + "</div>" * 50_000
+    odd = "<b><p>" * 20_000 + "x" + "</i>" * 20_000
+    long = "<body><article>" + "<p>A sentence, with marks. And one more.</p>" * 230_000 + "</article></body>"
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert html_text.main_text(deep) == "deep text, here." and html_text.main_text(odd) == "x"
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200_000  # kB
+    rows = [(1, long), (2, deep), (3, None), (4, ""), (5, PAGE), (5, PAGE), (5, PAGE)]
+    df = spark.createDataFrame(rows, "page_id long, html string").withColumn("TEXT", F.lit(1)).withColumn("path", F.lit("clash"))
+    got = [(r["page_id"], r["text"]) for r in html_text.extract(df).collect()]
+    assert Counter(got) == Counter((i, html_text.main_text(x)) for i, x in rows) and dict(got)[1].count("marks.") == 230_000
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
 # ---- near duplicates
 
 
