@@ -52,7 +52,7 @@ NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 NEAR = (1.0, 2.0, 1.0)
 #: Weights: of what says it is no article, of what is doubtful, and of the text of an article or main when the content's section is looked for.
-NO_ARTICLE, DOUBT, ARTICLE = 0.02, 0.2, 10.0
+NO_ARTICLE, DOUBT, ARTICLE = 0.02, 0.3, 10.0
 #: A path is content if its fused ratios are at least this share of the page's mean, weighted by text: of the products, to begin with; of the products of paths
 #: outside the content's section; and of the sums of logarithms within it.
 SHARE, SHARE_OUTSIDE, SHARE_INSIDE = 0.15, 0.5, 0.15
@@ -224,10 +224,12 @@ def ratios(p: Page) -> Ratios:
         group = g
     linked = {q: 0 < a and a >= LINKS * t for q, (_, _, _, a, t) in stats.items()}
     size = {q: held[g][0] / held[g][1] if (g := p.group[q]) >= 0 else s[0] / s[2] for q, s in stats.items()}
-    length = _smooth([size[b[0]] * (1 - stats[b[0]][3] / max(stats[b[0]][4], 1)) for b in blocks])
-    marks = _smooth([stats[b[0]][1] / stats[b[0]][2] for b in blocks])
+    length = {q: size[q] * (1 - s[3] / max(s[4], 1)) for q, s in stats.items()}
+    marks = {q: s[1] / s[2] for q, s in stats.items()}
     sums: dict[int, list[float]] = {}
-    for (path, _, _), x, y in zip(blocks, length, marks):
+    for (path, _, _), x, y in zip(blocks, _smooth([length[b[0]] for b in blocks]), _smooth([marks[b[0]] for b in blocks])):
+        if p.doubt[path] < 1:  # what says it is no article gains nothing by its neighbours
+            x, y = length[path], marks[path]
         own = sums.setdefault(path, [0.0, 0.0, 0.0])
         own[0] += x * (1 + y)
         own[1] += log1p(x) + log1p(y)
@@ -236,16 +238,16 @@ def ratios(p: Page) -> Ratios:
     return Ratios([tuple(b) for b in blocks], {q: v[0] / v[2] * keep[q] for q, v in sums.items()}, {q: v[1] / v[2] * keep[q] for q, v in sums.items()}, linked)
 
 
-def _mean(score: dict[int, float], blocks: list[tuple[int, int, int]]) -> float:
-    return sum(score[q] * n for q, _, n in blocks) / max(sum(n for _, _, n in blocks), 1)
+def _mean(score: dict[int, float], blocks: list[tuple[int, int, int]], doubt: list[float]) -> float:
+    return sum(score[q] * n * doubt[q] for q, _, n in blocks) / (sum(n * doubt[q] for q, _, n in blocks) or 1)
 
 
 def section_of(p: Page, r: Ratios) -> list[bool]:
     """Whether an element lies in the content's section."""
-    mean = _mean(r.product, r.blocks)
+    mean = _mean(r.product, r.blocks, p.doubt)
     mass = [0.0] * len(p.parent)
     for path, element, n in r.blocks:
-        if r.product[path] * p.doubt[path] >= SHARE * mean * min(p.doubt[path], 1) and not r.linked[path]:
+        if r.product[path] >= SHARE * mean and not r.linked[path]:
             mass[element] += n * p.doubt[path] * p.boost[path]
     heaviest = [-1] * len(p.parent)
     for e in range(len(p.parent) - 1, 0, -1):
@@ -269,7 +271,7 @@ def content(p: Page) -> list[bool]:
     if not r.blocks:
         return [False] * len(p.nodes)
     inside = section_of(p, r)
-    low, high = SHARE_INSIDE * _mean(r.damped, r.blocks), SHARE_OUTSIDE * _mean(r.product, r.blocks)
+    low, high = SHARE_INSIDE * _mean(r.damped, r.blocks, p.doubt), SHARE_OUTSIDE * _mean(r.product, r.blocks, p.doubt)
 
     def good(path: int, element: int) -> bool:
         if r.linked[path]:
