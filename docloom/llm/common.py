@@ -71,19 +71,6 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
         forget(spark, *_scratch.pop())
 
 
-#: Rows of an Arrow batch at most where whole texts go through Python, so that a worker holds some MB of them at once.
-BATCH_ROWS = 1500
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """df, with the session's Arrow batches bounded by BATCH_ROWS; a lower bound that is set already stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(df.sparkSession.conf.get(name, "10000"))
-    if not 0 < now <= BATCH_ROWS:
-        df.sparkSession.conf.set(name, str(BATCH_ROWS))
-    return df
-
-
 #: Rows of a written table up to which it is sent to all executors; each is a few numbers, so some tens of MB.
 BROADCAST_ROWS = 500_000
 #: Bytes up to which a measured table of wider rows is sent.
@@ -95,6 +82,41 @@ def sent_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+#: A key with more than one in HEAVY of all rows is joined by a broadcast; fewer than HEAVY keys can be so frequent.
+HEAVY = 10_000
+
+
+def matched(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], rows: str, width: Column | int = 64) -> DataFrame:
+    """left with the columns of right (null where none fits), a written table with one row a key. `rows`, which is left out, is how many rows of left have the key.
+
+    A small right side (by width, the bytes of a row) is sent to all executors. Else its frequent keys are, of which there are fewer than HEAVY, and the
+    rest goes by a shuffle in which no key has more than one in HEAVY of the rows. left is read up to twice.
+    """
+    size, total = right.agg(F.coalesce(F.sum(F.lit(width) if isinstance(width, int) else width), F.lit(0)), F.coalesce(F.sum(rows), F.lit(0))).first()
+    fits = [F.col(f"`{a}`") == F.col(f"`{b}`") for a, b in on]
+    if size <= BROADCAST_BYTES:
+        return left.join(F.broadcast(right.drop(rows)), fits, "left")
+    heavy, light = right.where(F.col(rows) > total // HEAVY).drop(rows), right.where(F.col(rows) <= total // HEAVY).drop(rows)
+    far = left.join(F.broadcast(heavy.select(*[b for _, b in on])), fits, "left_anti").join(light, fits, "left")
+    return left.join(F.broadcast(heavy), fits).unionByName(far)
+
+
+#: Rows alike that are unfolded from one row of counts at most.
+COPIES = 10_000
+
+
+def in_pieces(folded: DataFrame, n: str, piece: str) -> DataFrame:
+    """Rows with a count n, those with more than COPIES split: a row for each piece, from 0, with its own count."""
+    last = F.floor((F.col(n) - 1) / COPIES)
+    split = folded.withColumn(piece, F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return split.withColumn(n, F.least(F.col(n) - F.col(piece) * COPIES, F.lit(COPIES).cast("long")))
+
+
+def unfolded(n: str) -> Column:
+    """Explodes a row of in_pieces to its copies, numbered from 0."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+
 def forget(spark: SparkSession, *paths: str) -> None:
     """Deletes folders that written() made, when nothing that is still to run reads them."""
     for path in paths:

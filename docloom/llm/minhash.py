@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.bpe import _chunks
-from docloom.llm.common import forget, fresh, sent_if_small, small_batches, written
+from docloom.llm.common import COPIES, forget, fresh, in_pieces, matched, sent_if_small, unfolded, written
 
 SHINGLE = 5
 SIMILARITY = (4, 5)  # 0.8 as a ratio of whole numbers
@@ -28,6 +28,11 @@ REGISTERS = BANDS * ROWS
 SPAN = 1 << 19
 #: Buckets of up to SMALL texts are compared as pairs, larger ones in tiles of about OUTSIDERS by MEMBERS texts.
 SMALL, OUTSIDERS, MEMBERS = 12, 128, 1024
+#: Texts of a tile are compared in full if at least this many of their registers agree with another one's: at a similarity of 0.8 fewer do once in 10**7
+#: pairs, where the bands miss one in 20,000.
+PLAUSIBLE = 75
+#: Pairs of one text that are verified in one place.
+PAIRS = 4096
 
 # Fixed values of the splitmix64 generator, and an odd base with its inverse for rolling sums.
 GOLDEN, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -152,8 +157,13 @@ def overlap(a: list[bytes], b: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return shared, np.bincount(pair, c, n).astype(np.int64) - shared
 
 
+def sketches(registers: np.ndarray) -> np.ndarray:
+    """16 bits of each register (texts x REGISTERS)."""
+    return (mix(registers.view(np.uint64)) >> np.uint64(48)).astype(np.uint16)
+
+
 def _band_rows(texts: DataFrame) -> DataFrame:
-    """texts (t, body) -> (t, keys array<long>); texts without words give no row."""
+    """texts (t, body) -> (t, keys array<long>, sketch binary); texts without words give no row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,14 +173,17 @@ def _band_rows(texts: DataFrame) -> DataFrame:
                 full = np.isfinite(registers[:, 0])
                 keys = band_keys(registers[full])
                 ends = np.arange(len(keys) + 1, dtype=np.int32) * BANDS
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows[full]]), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))], names=["t", "keys"])
+                sketch = pa.array([x.tobytes() for x in sketches(registers[full])], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows[full]]), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel())), sketch], names=["t", "keys", "sketch"])
 
-    return small_batches(texts).mapInArrow(run, "t long, keys array<long>")
+    return texts.mapInArrow(run, "t long, keys array<long>, sketch binary")
 
 
 def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts overlap by SIMILARITY or more."""
-    left = bodies.select(F.col("t").alias("a"), F.col("body").alias("x"))
+    """The pairs (a, b), a written table, whose texts overlap by SIMILARITY or more. The text of an `a` with many pairs goes to several places, PAIRS of them to each."""
+    places, _ = written(pairs.groupBy(F.col("a").alias("of")).agg(F.count(F.lit(1)).alias("n")).withColumn("places", F.ceil(F.col("n") / PAIRS).cast("int")))
+    pairs = matched(pairs, places, [("a", "of")], "n").select("a", "b", F.pmod(F.xxhash64("b"), F.col("places")).cast("int").alias("place"))
+    left = bodies.join(places, F.col("t") == F.col("of")).select(F.col("t").alias("a"), F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), F.col("body").alias("x"))
     right = bodies.select(F.col("t").alias("b"), F.col("body").alias("y"))
     num, den = SIMILARITY
 
@@ -187,8 +200,8 @@ def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
                 i = j
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["a", "b"])
 
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return small_batches(both).mapInArrow(run, "a long, b long")
+    both = pairs.join(left, ["a", "place"]).join(right, "b").select("a", "b", "x", "y")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def _tile_links(tile: pd.DataFrame) -> pd.DataFrame:
@@ -237,6 +250,20 @@ def _tile_links(tile: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
+def _plausible(tile: pd.DataFrame) -> pd.DataFrame:
+    """The rows (without sketches) of a tile's outsiders and members that agree in PLAUSIBLE registers with a text of the other side and of another component."""
+    out, own = tile[tile["out"]], tile[~tile["out"]]
+    keep = np.zeros(0, np.int64)
+    if len(out) and len(own):
+        x, y = (np.frombuffer(b"".join(part["sketch"]), np.uint16).reshape(len(part), REGISTERS) for part in (out, own))
+        agree = np.zeros((len(out), len(own)), np.uint8)
+        for r in range(REGISTERS):
+            agree += x[:, r, None] == y[None, :, r]
+        hit = (agree >= PLAUSIBLE) & (out["c"].to_numpy()[:, None] != own["c"].to_numpy()[None, :])
+        keep = np.concatenate((out.index[hit.any(axis=1)], own.index[hit.any(axis=0)]))
+    return tile.loc[keep, ["key", "i", "j", "t", "c", "out"]]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of all nodes of edges (a, b): the least node of each connected component, by alternating stars (Kiveris et al., 2014).
 
@@ -272,8 +299,8 @@ def text_classes(texts: DataFrame) -> DataFrame:
     spark = texts.sparkSession
     rows, rows_path = written(_band_rows(texts).dropDuplicates(["t"]))
     bands = rows.select("t", F.explode("keys").alias("key"))
-    buckets = bands.groupBy("key").agg(F.min("t").alias("a"), F.max("t").alias("z")).where("a < z").select("key", "a")
-    members, members_path = written(bands.join(buckets, "key"))
+    buckets, buckets_path = written(bands.groupBy(F.col("key").alias("k")).agg(F.min("t").alias("a"), F.max("t").alias("z"), F.count(F.lit(1)).alias("n")).where("a < z").drop("z"))
+    members, members_path = written(matched(bands, buckets, [("key", "k")], "n").where("a IS NOT NULL").select("key", "t", "a"))
     # Only candidates' texts are kept, one of each; copies fold before they are moved on.
     wanted, wanted_path = written(members.select("t").distinct())
     bodies, bodies_path = written(texts.join(sent_if_small(wanted), "t", "left_semi").groupBy("t").agg(F.any_value("body").alias("body")))
@@ -281,47 +308,70 @@ def text_classes(texts: DataFrame) -> DataFrame:
     edges, edges_path = written(_verified(stars, bodies))
     found = components(edges)
 
-    placed = members.join(found.withColumnRenamed("node", "t"), "t", "left").select("key", "t", "a", F.coalesce("label", "t").alias("c"))
+    placed, placed_path = written(members.join(found.withColumnRenamed("node", "t"), "t", "left").select("key", "t", "a", F.coalesce("label", "t").alias("c")))
     parts = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
-    mixed = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi AND n > 2").select("key", "n", "most")
-    main = parts.withColumnRenamed("n", "own").join(mixed, "key").where("own = most").groupBy("key").agg(F.min("c").alias("main"))
-    own, own_path = written(placed.join(mixed, "key").join(main, "key").select("key", "t", "c", (F.col("c") != F.col("main")).alias("out"), "n", (F.col("n") - F.col("most")).alias("k")))
+    # The largest component of a bucket, the one of the least label among equals, is the one that others are compared with.
+    whole = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", F.bitwise_not("c").alias("inverse"))).alias("main"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi AND n > 2")
+    mixed, mixed_path = written(whole.select(F.col("key").alias("of"), F.col("n").alias("rows"), "n", F.col("main.n").alias("most"), F.bitwise_not("main.inverse").alias("main")))
+    own, own_path = written(matched(placed, mixed, [("key", "of")], "rows").where("of IS NOT NULL").select("key", "t", "c", (F.col("c") != F.col("main")).alias("out"), "n", (F.col("n") - F.col("most")).alias("k")))
 
     x, y = (own.where(F.col("n") <= SMALL).select("key", F.col("t").alias(t), F.col("c").alias(f"c{t}")) for t in ("a", "b"))
     cross = x.join(y, "key").where("ca < cb").select("a", "b", "ca", "cb").distinct()
     cross, cross_path = written(cross.join(stars.union(stars.select("b", "a")), ["a", "b"], "left_anti"))
     linked = _verified(cross.select("a", "b"), bodies).join(cross, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    large = own.where(F.col("n") > SMALL).join(bodies, "t")
+    # Large buckets: sketches are compared tile by tile, and the texts of those rows only that may have a partner there.
+    large = own.where(F.col("n") > SMALL).join(rows.select("t", "sketch"), "t")
     across, down = F.ceil(F.col("k") / OUTSIDERS).cast("int"), F.ceil(F.col("n") / MEMBERS).cast("int")
     upto = lambda n: F.sequence(F.lit(0), n - 1)
-    outsiders = large.where("out").select("key", F.pmod(F.xxhash64("t"), across).cast("int").alias("i"), F.explode(upto(down)).alias("j"), "t", "c", "body", F.lit(True).alias("out"))
-    everyone = large.select("key", F.explode(upto(across)).alias("i"), F.pmod(F.xxhash64("t"), down).cast("int").alias("j"), "t", "c", "body", F.lit(False).alias("out"))
-    tiles = outsiders.unionByName(everyone).groupBy("key", "i", "j").applyInPandas(_tile_links, "a long, b long")
-    late, _ = written(linked.unionByName(tiles))
+    outsiders = large.where("out").select("key", F.pmod(F.xxhash64("t"), across).cast("int").alias("i"), F.explode(upto(down)).alias("j"), "t", "c", "sketch", F.lit(True).alias("out"))
+    everyone = large.select("key", F.explode(upto(across)).alias("i"), F.pmod(F.xxhash64("t"), down).cast("int").alias("j"), "t", "c", "sketch", F.lit(False).alias("out"))
+    near, near_path = written(outsiders.unionByName(everyone).groupBy("key", "i", "j").applyInPandas(_plausible, "key long, i int, j int, t long, c long, out boolean"))
+    tiles = near.join(bodies, "t").groupBy("key", "i", "j").applyInPandas(_tile_links, "a long, b long")
+    late, late_path = written(linked.unionByName(tiles))
     if not late.isEmpty():  # the components that were joined late get one label
         joined = components(late)
         again = found.join(joined.select(F.col("node").alias("label"), F.col("label").alias("l")), "label", "left").select("node", F.coalesce("l", "label").alias("label"))
         found = again.unionByName(joined.join(found.select("node"), "node", "left_anti"))
-    forget(spark, rows_path, members_path, wanted_path, bodies_path, stars_path, edges_path, own_path, cross_path)
+    found, _ = written(found)
+    forget(spark, rows_path, buckets_path, members_path, wanted_path, bodies_path, stars_path, edges_path, placed_path, mixed_path, own_path, cross_path, near_path, late_path)
     return found
 
 
+def _least(slim: DataFrame, found: DataFrame, value: Column) -> DataFrame:
+    """slim (t, .., value, n) and classes (node, label) -> a written table (of, least, n): for each text that has copies or is in a class, the least value of all rows of its class
+    or copies, and how many rows of slim have the text."""
+    texts, texts_path = written(slim.where("t IS NOT NULL").groupBy("t").agg(F.min(value).alias("v"), F.count(F.lit(1)).alias("r"), F.sum("n").alias("n")))
+    classed, classed_path = written(texts.join(found, F.col("t") == F.col("node")).select("t", F.col("label").alias("c"), "v", "r"))
+    classes, classes_path = written(classed.groupBy(F.col("c").alias("of")).agg(F.min("v").alias("least"), F.count(F.lit(1)).alias("texts")))
+    near = matched(classed, classes, [("c", "of")], "texts").select(F.col("t").alias("of"), "least", F.col("r").alias("n"))
+    copies = texts.where("n > 1").join(found, F.col("t") == F.col("node"), "left_anti").select(F.col("t").alias("of"), F.col("v").alias("least"), F.col("r").alias("n"))
+    out, _ = written(near.unionByName(copies))
+    forget(slim.sparkSession, texts_path, classed_path, classes_path)
+    return out
+
+
+def _with_least(folded: DataFrame, least: DataFrame) -> DataFrame:
+    return matched(folded, least.withColumnRenamed("n", "r"), [("t", "of")], "r")
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", class_id: str = "class_id") -> DataFrame:
     """One row per row of df: key, class_id, and copies (rows with the same key and text).
 
     Rows are in one class if a chain of texts with similarity 0.8 or more joins them (see text_classes); class_id is the least key of the class. Equal
     texts are one class whatever their length. A null text, or one without words, is a class of its own with its own key. Null keys: ignored for the
-    least key unless a class has no other. Empty input: no rows. Other columns are not read.
+    least key unless a class has no other. Very long texts are compared whole. Empty input: no rows. Other columns are not read.
     Texts are known by a 64-bit hash; two different texts share it once in about 10**19 pairs.
     """
     c = lambda name: F.col(f"`{name}`")
     has_words = F.coalesce(c(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     base = df.select(c(key).alias("k"), F.when(has_words, F.xxhash64(c(text))).alias("t"), c(text).alias("body"))
-    found = text_classes(base.where(F.col("t").isNotNull()).select("t", "body")).withColumnRenamed("node", "t")
-    slim = base.groupBy("k", "t").agg(F.count(F.lit(1)).alias("n")).join(found, "t", "left").select("k", "n", F.coalesce("label", "t").alias("c"))
-    least = slim.where(F.col("c").isNotNull()).groupBy("c").agg(F.min("k").alias("m"))
-    out = slim.join(least, "c", "left").select("k", F.when(F.col("c").isNull(), F.col("k")).otherwise(F.col("m")).alias("m"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i"), "n")
-    return out.select(F.col("k").alias(key), F.col("m").alias(class_id), F.col("n").alias("copies"))
+    found = text_classes(base.where(F.col("t").isNotNull()).select("t", "body"))
+    folded, _ = written(base.groupBy("k", "t").agg(F.count(F.lit(1)).alias("n")))
+    least = _least(folded, found, F.col("k"))
+    out = _with_least(folded, least).select("k", F.when(F.col("of").isNull(), F.col("k")).otherwise(F.col("least")).alias("m"), F.col("n").alias("copies"), "n")
+    few, many = out.where(f"n <= {COPIES}"), in_pieces(out.where(f"n > {COPIES}"), "n", "piece")
+    many = many.repartition("k", "m", "piece").drop("piece")  # rows that repeat very often are unfolded in many places
+    return few.unionByName(many).select(F.col("k").alias(key), F.col("m").alias(class_id), "copies", unfolded("n").alias("copy")).drop("copy")
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -330,12 +380,11 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     t, k2, t2, n = fresh(df, "text_hash", "key_of", "hash_of", "times")
     has_words = F.coalesce(c(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     base = df.withColumn(t, F.when(has_words, F.xxhash64(c(text))))
-    found = text_classes(base.where(c(t).isNotNull()).select(c(t).alias("t"), c(text).alias("body"))).withColumnRenamed("node", "t")
-    slim = base.where(c(t).isNotNull()).groupBy(c(key).alias("k"), c(t).alias("t")).agg(F.count(F.lit(1)).alias("n"))
-    slim = slim.join(found, "t", "left").select("k", "t", "n", F.coalesce("label", "t").alias("c"))
-    first = slim.groupBy("c").agg(F.min(F.struct("k", "t")).alias("first"))
+    found = text_classes(base.where(c(t).isNotNull()).select(c(t).alias("t"), c(text).alias("body")))
+    folded, _ = written(base.where(c(t).isNotNull()).groupBy(c(key).alias("k"), c(t).alias("t")).agg(F.count(F.lit(1)).alias("n")))
+    placed = _with_least(folded, _least(folded, found, F.struct("k", "t"))).where("of IS NOT NULL")
     # Rows that go, and rows that stay once though they repeat: both few beside those that stay.
-    marked = slim.join(first, "c").select("k", "t", "n", F.struct("k", "t").eqNullSafe(F.col("first")).alias("stays")).where("NOT stays OR n > 1")
+    marked = placed.select("k", "t", "n", F.struct("k", "t").eqNullSafe(F.col("least")).alias("stays")).where("NOT stays OR n > 1")
     marks, _ = written(marked.select(F.col("k").alias(k2), F.col("t").alias(t2), F.col("stays").alias(n)))
     joined = base.join(sent_if_small(marks), (c(t) == c(t2)) & c(key).eqNullSafe(c(k2)), "left").where(c(n).isNull() | c(n))
     plain = joined.where(c(n).isNull())

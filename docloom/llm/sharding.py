@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import let
+from docloom.llm.common import in_pieces, let, unfolded
 
 # Fixed values of the published algorithm.
 MULTIPLIER = 2862933555777941757
@@ -73,21 +73,21 @@ def shard_rows(df: DataFrame, shards: int, key: str = "doc_id", text: str = "tex
     """One row per input row: key, size, text_crc32, law, shard, slot, grown_shard.
 
     The law is `key`: the key and the number of shards alone decide; with one more shard, rows move only into the new one.
-    Slots number the rows of a shard from 0 without gaps, by (bucket, key, crc, size). Equal rows are folded to a count before any shuffle
-    and unfolded at the end, so a row that repeats many times is never gathered in one task; a shard's rows are numbered bucket by bucket, with
-    offsets from a table of at most shards x BUCKETS counts.
-    Null key: the empty key. Null text: size 8, crc of the empty text. Columns other than key and text are not read. Empty input: no rows.
+    Slots number the rows of a shard from 0 without gaps, by (bucket, key, crc, size). Equal rows are folded to a count before any shuffle; a large count
+    is split into pieces, which go to different buckets and are unfolded there. So a row that repeats many times is never gathered in one task. A shard's
+    rows are numbered bucket by bucket, with offsets from a table of at most shards x BUCKETS counts.
+    Null key: the empty key. Null text: size 8, crc of the empty text. A very long text counts with all its bytes. Columns other than key and text are not
+    read. Empty input: no rows.
     """
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = df.select(F.col(f"`{key}`").alias("k"), (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("crc"))
-    bucket = F.pmod(F.xxhash64("k", "crc", "size"), F.lit(BUCKETS)).cast("int")
-    folded = rows.groupBy("k", "size", "crc").agg(F.count(F.lit(1)).alias("n"))
+    bucket = F.pmod(F.xxhash64("k", "crc", "size", "piece"), F.lit(BUCKETS)).cast("int")
+    folded = in_pieces(rows.groupBy("k", "size", "crc").agg(F.count(F.lit(1)).alias("n")), "n", "piece")
     keyed = folded.withColumn("shard", jump_shard(F.col("k"), shards)).withColumn("bucket", bucket)
     starts = _bucket_starts(keyed)
-    within = F.expr("sum(n) OVER (PARTITION BY shard, bucket ORDER BY k, crc, size ROWS UNBOUNDED PRECEDING) - n")
+    within = F.expr("sum(n) OVER (PARTITION BY shard, bucket ORDER BY k, crc, size, piece ROWS UNBOUNDED PRECEDING) - n")
     placed = keyed.withColumn("first", within).join(F.broadcast(starts), ["shard", "bucket"])
-    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))
-    return placed.select("k", "size", "crc", "shard", (F.col("start") + F.col("first")).alias("at"), copies.alias("copy")).select(
+    return placed.select("k", "size", "crc", "shard", (F.col("start") + F.col("first")).alias("at"), unfolded("n").alias("copy")).select(
         F.col("k").alias(key),
         "size",
         F.col("crc").alias("text_crc32"),
