@@ -86,6 +86,21 @@ def test_urls(spark):
     assert none.count() == len(URLS) and {r["verdict"] for r in none.collect()} == {"block"}
 
 
+def test_urls_of_every_kind(spark, monkeypatch):
+    """Very long urls, repeated rows, hot hosts, an empty table, and joins that are not sent to all executors."""
+    from docloom.llm import common
+
+    long = ["http://" + "a." * 3000 + "example.org/es/x", "http://example.org/" + "en/" * 5000, "http://example.org/es/" + "x" * 100_000]
+    urls_ = [*URLS, *long, *["http://example.org/es/1"] * 50, *[f"http://h{i % 7}.com/{'de' if i % 2 else 'fr'}/{i % 5}" for i in range(300)], *["no scheme"] * 20]
+    df = frame(spark, [(i, u, "clash") for i, u in enumerate(urls_)], "page_id long, url string, rule string")
+    for size, heavy in ((common.BROADCAST_BYTES, common.HEAVY), (-1, 5), (-1, 1000)):
+        monkeypatch.setattr(common, "BROADCAST_BYTES", size)
+        monkeypatch.setattr(common, "HEAVY", heavy)
+        got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judge_urls(df, urls.listed_rules(spark, RULES)).collect()}
+        assert got == {i: judged(u) for i, u in enumerate(urls_)}
+    assert urls.judge_urls(df.limit(0), urls.listed_rules(spark, RULES)).count() == 0
+
+
 def test_bloom_loses_nothing(spark):
     keys = spark.range(500).select(F.concat(F.lit("k"), "id").alias("key"))
     others = spark.range(20_000).select(F.concat(F.lit("o"), "id").alias("key"))
