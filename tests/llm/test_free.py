@@ -347,7 +347,7 @@ def test_leaks(spark):
         docs.append((i, t[:30] + " -- " + "".join(x) + "! " + t[30:] if i % 5 else t))
     docs += [(100, None), (101, ""), (102, items[3][1] * 2), (102, items[3][1] * 2)]
     own = decontaminate.Items.of(items)
-    assert None in own.ids and 90 not in own.ids
+    assert None in own.ids and 90 not in own.ids and own.short == {np.frombuffer("short".encode("utf-32-le"), np.uint32).tobytes(): [90]}
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("leaks", F.lit(1))
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = [(r["doc_id"], r["text"], r["leaks"]) for r in decontaminate.find_leaks(df, bench).collect()]
@@ -362,6 +362,32 @@ def test_leaks(spark):
     assert all(not r["leaks"] for r in decontaminate.find_leaks(df, bench.limit(0)).collect())
 
 
+def test_leaks_of_common_grams(monkeypatch):
+    """Ten thousand items that begin alike: hits are counted a bounded number at a time, and give the same."""
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    items = decontaminate.Items.of([(i, f"which of the following {word()} {word()} {word()} {word()} {word()}") for i in range(10_000)])
+    texts = [f"Which of the following is it? {'which of the following ' * 4}{word()}" for _ in range(4)]
+    texts += [f"so -- {bytes(items.text[k].astype(np.uint8)).decode()} -- indeed, which of the following" for k in (3, 777, 9_999)]
+    data = [t.encode() for t in texts]
+    sizes = np.array([len(x) for x in data])
+    most = []
+    count = decontaminate._bands
+    monkeypatch.setattr(decontaminate, "HITS", 1 << 18)
+    monkeypatch.setattr(decontaminate, "_bands", lambda at, doc, lo, hi, *rest: (most.append(int((hi - lo).sum())), count(at, doc, lo, hi, *rest))[1])
+    got = decontaminate.leaks_in(b"".join(data), sizes, items)
+    assert {x[1] for x in got} == {3, 777, 9_999} and len(most) > 1 and max(most) <= decontaminate.HITS
+
+
+def test_leaks_of_any_ids(spark):
+    bench = [("a-1", "The quick brown fox jumps over the lazy dog today."), ("a-2", "Yes, 42!"), (None, "?!"), ("a-1", "The quick brown fox jumps over the lazy dog today.")]
+    docs = [(1, "x The quick brown fox jumps over the lazy dog today y"), (2, "yes 42"), (3, " -- Yes: 42 -- "), (4, "yes 42 of them"), (5, ""), (6, "w " * 400_000 + bench[0][1])]
+    found = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id string, text string"))
+    got = {r["doc_id"]: [(x["item_id"], docs[r["doc_id"] - 1][1][x["start"] : x["end"]], x["edits"]) for x in r["leaks"]] for r in found.collect()}
+    fox = ("a-1", "The quick brown fox jumps over the lazy dog today", 0)
+    assert got == {1: [fox], 2: [("a-2", "yes 42", 0)], 3: [("a-2", "Yes: 42", 0)], 4: [], 5: [], 6: [fox]}
+
+
 def test_blocks_of_the_benchmark(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 60)
     items = [(i, f"item number {i} holds quite some {'words ' * i}of its own") for i in range(6)]
