@@ -32,7 +32,7 @@ def format_chats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
 
     `formatted` is the concatenation of the segments; the segments with loss = true are the mask (each text of `loss_role`, markers left out).
     Turns sort by (turn, role, text): null turns first, ties in that order, repeated rows stay. Null role or text: empty. Rows with a null
-    conversation id form one conversation with a null id. No rows: no conversations. Other columns are not read.
+    conversation id form one conversation with a null id. Very long texts count whole. No rows: no conversations. Other columns are not read.
     Texts are escaped before the shuffle. All turns of a conversation meet in one row because its output is one string.
     """
     turns = df.select(
@@ -42,16 +42,19 @@ def format_chats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
         escape(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("text"),
     )
     own = turns.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    lit = F.lit
-
-    def pieces(x: Column, i: Column) -> Column:
-        head = F.concat(lit(OPEN), x["role"], lit(HEAD_END))
-        same = F.col("turns")[F.greatest(i - 1, lit(0))]["role"] == x["role"]
-        before = F.when(i == 0, head).when(same, lit(NEXT)).otherwise(F.concat(lit(CLOSE), head))
-        return F.array(F.struct(before.alias("text"), lit(False).alias("loss")), F.struct(x["text"].alias("text"), (x["role"] == escape(lit(loss_role))).alias("loss")))
-
-    last = F.array(F.struct(lit(CLOSE).alias("text"), lit(False).alias("loss")))
-    cut = own.select("conv", F.size("turns").cast("long").alias("n_turns"), F.concat(F.flatten(F.transform("turns", pieces)), last).alias("segments"))
+    n = F.size("turns")
+    # Neighbours of one role are merged: the turns from each change of role to the next one.
+    first = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.col("turns")[i - 1]["role"] != F.col("turns")[F.greatest(i - 2, F.lit(0))]["role"]))
+    runs = own.withColumn("first", first).withColumn("runs", F.transform("first", lambda at, k: F.slice("turns", at, F.coalesce(F.get("first", k + 1), n + 1) - at)))
+    piece = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
+    mark = lambda text: piece(text, F.lit(False))
+
+    def pieces(run: Column) -> Column:
+        masked = run[0]["role"] == escape(F.lit(loss_role))
+        texts = F.flatten(F.transform(run, lambda x: F.array(mark(F.lit(NEXT)), piece(x["text"], masked))))
+        return F.concat(F.array(mark(F.concat(F.lit(OPEN), run[0]["role"], F.lit(HEAD_END)))), F.slice(texts, F.lit(2), F.size(texts) - 1), F.array(mark(F.lit(CLOSE))))
+
+    cut = runs.select("conv", n.cast("long").alias("n_turns"), F.flatten(F.transform("runs", pieces)).alias("segments"))
     return cut.select(F.col("conv").alias(conv), "n_turns", "segments", F.array_join(F.col("segments.text"), "").alias("formatted"))
 
 

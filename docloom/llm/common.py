@@ -124,6 +124,12 @@ def forget(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def text_identity(text: Column) -> list[Column]:
+    """120 bits by which a text is known, as two numbers; null as the empty text."""
+    digest = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    return [F.conv(F.substring(digest, at, 15), 16, 10).cast("long") for at in (1, 16)]
+
+
 def values_table(spark: SparkSession, rows: Sequence[tuple[str, ...]], schema: str) -> DataFrame:
     """A list of the program as a table, in the plan itself: no Python worker makes its rows."""
     names = [x.split()[0] for x in schema.split(", ")]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import fresh, sha_hex
+from docloom.llm.common import fresh, matched, sha_hex, text_identity, values_table, written
 
 # Spellings that count as equal (British or older form, then the form it is mapped to).
 SPELLINGS = {
@@ -60,6 +60,56 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
 For more information, please refer to <http://unlicense.org/>""",
 }
 
+# More texts of public licenses that share their parts.
+_BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_SOURCE = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+_BSD_BINARY = "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = TEXTS["BSD-2-Clause"].rpartition("\n\n")[2]
+_MIT_HEAD, _, _MIT_END = TEXTS["MIT"].split("\n\n")
+_GNU = """This {what} is free software{sep} you can redistribute it and/or modify it under the terms of the {license} as published by the Free Software Foundation{version} of the License, or (at your option) any later version.
+
+This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {license} for more details.
+
+You should have received a copy of the {license} along with this {what}{end}"""
+_GPL, _LGPL, _AGPL = "GNU General Public License", "GNU Lesser General Public License", "GNU Affero General Public License"
+_SEE = ". If not, see <https://www.gnu.org/licenses/>."
+TEXTS |= {
+    "BSD-1-Clause": "\n\n".join([_BSD_HEAD, _BSD_SOURCE, _BSD_END]),
+    "BSD-3-Clause": "\n\n".join([_BSD_HEAD, _BSD_SOURCE, _BSD_BINARY, _BSD_NAMES, _BSD_END]),
+    "MIT-0": _MIT_HEAD.replace(", subject to the following conditions:", ".") + "\n\n" + _MIT_END,
+    "WTFPL": """DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE
+Version 2, December 2004
+
+Copyright (C) 2004 Sam Hocevar <sam@hocevar.net>
+
+Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.
+
+DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE
+TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION
+
+0. You just DO WHAT THE FUCK YOU WANT TO.""",
+    "FSFAP": "Copying and distribution of this file, with or without modification, are permitted in any medium without royalty provided the copyright notice and this notice are preserved. This file is offered as-is, without any warranty.",
+    "PostgreSQL": """Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies.
+
+IN NO EVENT SHALL THE UNIVERSITY OF CALIFORNIA BE LIABLE TO ANY PARTY FOR DIRECT, INDIRECT, SPECIAL, INCIDENTAL, OR CONSEQUENTIAL DAMAGES, INCLUDING LOST PROFITS, ARISING OUT OF THE USE OF THIS SOFTWARE AND ITS DOCUMENTATION, EVEN IF THE UNIVERSITY OF CALIFORNIA HAS BEEN ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+
+THE UNIVERSITY OF CALIFORNIA SPECIFICALLY DISCLAIMS ANY WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE. THE SOFTWARE PROVIDED HEREUNDER IS ON AN "AS IS" BASIS, AND THE UNIVERSITY OF CALIFORNIA HAS NO OBLIGATIONS TO PROVIDE MAINTENANCE, SUPPORT, UPDATES, ENHANCEMENTS, OR MODIFICATIONS.""",
+    "Fair": """Usage of the works is permitted provided that this instrument is retained with the works, so that any entity that uses the works is notified of this instrument.
+
+DISCLAIMER: THE WORKS ARE WITHOUT WARRANTY.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "GPL-2.0-or-later": _GNU.format(what="program", sep=";", license=_GPL, version="; either version 2", end="; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."),
+    "GPL-3.0-or-later": _GNU.format(what="program", sep=":", license=_GPL, version=", either version 3", end=_SEE),
+    "LGPL-2.1-or-later": _GNU.format(what="library", sep=";", license=_LGPL, version="; either version 2.1", end="; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA"),
+    "AGPL-3.0-or-later": _GNU.format(what="program", sep=":", license=_AGPL, version=", either version 3", end=_SEE),
+}
+
 # One-line notices that name a license.
 NOTICES = [
     ("MIT", "Released under the MIT License."),
@@ -72,6 +122,11 @@ NOTICES = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
 ]
 
 # Titles that files of these licenses begin with; a text under its title has a digest of its own.
@@ -83,6 +138,8 @@ TITLES = {
     "BSL-1.0": ["Boost Software License", "Boost Software License - Version 1.0", "Boost Software License - Version 1.0 - August 17th, 2003"],
     "BSD-2-Clause": ["BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "The 2-Clause BSD License"],
     "Unlicense": ["Unlicense", "The Unlicense"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", "The 3-Clause BSD License"],
+    "MIT-0": ["MIT No Attribution"],
 }
 
 #: Lines of a license, not of its holder, may begin with "copyright" where a text is wrapped: it is followed by one of these words, and the line has no year, (c) or ©.
@@ -115,45 +172,53 @@ def titled() -> list[tuple[str, str]]:
     return [(name, f"{title}\n\n{TEXTS[name]}") for name, titles in TITLES.items() for title in titles]
 
 
-def first_words(spark: SparkSession, notices: Sequence[tuple[str, str]]) -> list[str]:
-    """The words that a line may begin with, in any spelling, if it is one of the notices."""
-    rows = spark.createDataFrame(list(notices), "license string, text string").select(F.substring_index(canonical(F.col("text")), " ", 1).alias("w"))
+def first_words(notices: DataFrame) -> list[str]:
+    """The words that a line may begin with, in any spelling, if it is one of the notices (license, text)."""
+    rows = notices.select(F.substring_index(canonical(F.col("text")), " ", 1).alias("w")).distinct()
     first = {r["w"] for r in rows.collect()}  # as many as notices in the program
     return sorted(first | {old for old, new in SPELLINGS.items() if new.split(" ")[0] in first})
 
 
-def known_digests(spark: SparkSession, known: Sequence[tuple[str, str]]) -> DataFrame:
-    """(digest, license) of (license, text) pairs; of texts with one digest, the first license by name."""
-    rows = spark.createDataFrame(list(known), "license string, text string")
-    return rows.select(sha_hex(canonical(F.col("text"))).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+def known_digests(known: DataFrame) -> DataFrame:
+    """(digest, license) of (license, text); of texts with one digest, the first license by name."""
+    return known.select(sha_hex(canonical(F.col("text"))).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+
+
+def named_licenses(df: DataFrame, text: str, notices: Sequence[tuple[str, str]]) -> DataFrame:
+    """(t, u, named, n) of each different text that holds lines which are notices: a hash join of the digests of its short lines; a written table."""
+    listed = values_table(df.sparkSession, notices, "license string, text string")
+    longest, words = max(len(x) for _, x in notices), first_words(listed)
+    c = F.col(f"`{text}`")
+    # A line that becomes a notice by spelling alone is at most twice as long. Texts without a line that begins like a notice are passed over.
+    begins = "(?m)^[^\\p{L}\\p{N}\\n]*(?:" + "|".join(words) + ")(?![\\p{L}\\p{N}])"
+    lines = F.transform(F.split(canonical_lines(c), "\n"), lambda x: F.trim(x))
+    short = F.filter(lines, lambda x: (F.length(x) <= 2 * longest) & F.substring_index(x, " ", 1).isin(words))
+    own = df.where(F.lower(c).rlike(begins)).select(*[k.alias(n) for k, n in zip(text_identity(c), "tu")], F.explode(short).alias("line"))
+    found = own.select("t", "u", sha_hex(one_spelling(F.col("line"))).alias("digest")).join(F.broadcast(known_digests(listed)), "digest")
+    return written(found.groupBy("t", "u").agg(F.array_sort(F.collect_set("license")).alias("named"), F.count(F.lit(1)).alias("n")))[0]
 
 
 def scan_licenses(df: DataFrame, text: str = "text", texts: Sequence[tuple[str, str]] | None = None, notices: Sequence[tuple[str, str]] | None = None) -> DataFrame:
     """The rows of df with license, notices and digest.
 
-    license: the known license whose canonical text the whole text is, else null (an exact hash join on the digest; where two known licenses
-    share a digest, the first by name). notices: sorted different licenses named by lines that are a known notice. digest: of the canonical text.
-    Null text: all null but an empty notices. An empty text has the digest of the empty text, which is no license. Columns of these names are replaced.
-    `texts` and `notices` are lists in the program; their digests are what is broadcast or put into the plan.
+    license: the known license whose canonical text the whole text is, however long, else null (an exact hash join on the digest; where two known licenses
+    share a digest, the first by name). notices: sorted different licenses named by lines that are a known notice (a hash join on the digests of lines, once
+    for each different text). digest: of the canonical text. Null text: all null but an empty notices. An empty text has the digest of the empty text, which
+    is no license. Repeated rows stay, with the same result. Empty input: no rows. Columns of these names are replaced.
+    `texts` and `notices` are lists in the program; their digests are what is broadcast.
     """
     spark = df.sparkSession
     texts = list(TEXTS.items()) + NOTICES + titled() if texts is None else list(texts)
     notices = NOTICES if notices is None else list(notices)
     base = df.drop(*[c for c in df.columns if c.lower() in ("license", "notices", "digest")])
-    lines, known_d, known_l = fresh(base, "lines", "known_digest", "known_license")
-    t = F.col(f"`{text}`")
-    step = base.withColumn(lines, canonical_lines(t))
-    by_digest = {r["digest"]: r["license"] for r in known_digests(spark, notices).collect()} if notices else {}  # as many as notices in the program
-    if by_digest:
-        longest = max(len(n) for _, n in notices)
-        table = F.create_map(*[F.lit(x) for kv in sorted(by_digest.items()) for x in kv])
-        # A line that becomes a notice by spelling alone is at most twice as long.
-        short = F.filter(F.transform(F.split(lines, "\n"), lambda x: F.trim(x)), lambda x: (F.length(x) > 0) & (F.length(x) <= 2 * longest) & F.substring_index(x, " ", 1).isin(first_words(spark, notices)))
-        named = F.transform(short, lambda x: F.element_at(table, sha_hex(one_spelling(x))))
-        step = step.withColumn("notices", F.coalesce(F.array_sort(F.array_distinct(F.filter(named, lambda x: x.isNotNull()))), F.array().cast("array<string>")))
+    t, u, digest, known_d, known_l, t2, u2, named = fresh(base, "t", "u", "canonical_digest", "known_digest", "known_license", "t_of", "u_of", "named")
+    c = F.col(f"`{text}`")
+    step = base.select("*", sha_hex(canonical(c)).alias(digest), *[k.alias(n) for k, n in zip(text_identity(c), (t, u))])
+    if notices:
+        lines = named_licenses(base.select(c), text, notices).toDF(t2, u2, named, "n of lines")
+        step = matched(step, lines, [(t, t2), (u, u2)], "n of lines", F.size(named) * 40 + 40)
     else:
-        step = step.withColumn("notices", F.array().cast("array<string>"))
-    step = step.withColumn("digest", sha_hex(one_spelling(squeezed(F.col(lines))))).drop(lines)
-    known = known_digests(spark, texts).select(F.col("digest").alias(known_d), F.col("license").alias(known_l)) if texts else spark.createDataFrame([], f"{known_d} string, {known_l} string")
-    joined = step.join(known, F.col("digest") == F.col(known_d), "left")
-    return joined.select(*[F.col(f"`{c}`") for c in base.columns], F.col(known_l).alias("license"), "notices", "digest")
+        step = step.withColumn(named, F.lit(None).cast("array<string>"))
+    known = known_digests(values_table(spark, texts, "license string, text string")).toDF(known_d, known_l)
+    joined = step.join(F.broadcast(known), F.col(digest) == F.col(known_d), "left")
+    return joined.select(*[F.col(f"`{x}`") for x in base.columns], F.col(known_l).alias("license"), F.coalesce(named, F.array().cast("array<string>")).alias("notices"), F.col(digest).alias("digest"))

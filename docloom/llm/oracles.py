@@ -32,7 +32,7 @@ def _known(pairs) -> str:
 
 
 OP1 = f"""
-WITH texts AS ({_known([*licenses.TEXTS.items(), *licenses.NOTICES])}), notes AS ({_known(licenses.NOTICES)}),
+WITH texts AS ({_known([*licenses.TEXTS.items(), *licenses.NOTICES, *licenses.titled()])}), notes AS ({_known(licenses.NOTICES)}),
 docs AS (SELECT doc_id, {_lines("text")} AS lines FROM documents),
 named AS (SELECT DISTINCT d.doc_id, n.license FROM (SELECT doc_id, unnest(string_split(lines, chr(10))) AS line FROM docs) d JOIN notes n ON n.digest = sha256({_spelled("trim(d.line)")})),
 listed AS (SELECT doc_id, count(*) AS n, string_agg(license, ',' ORDER BY license) AS notices FROM named GROUP BY doc_id),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import BROADCAST_BYTES, BROADCAST_ROWS, WS, forget, fresh, let, written
+from docloom.llm.common import BROADCAST_BYTES, BROADCAST_ROWS, WS, forget, fresh, let, text_identity, written
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -66,8 +66,7 @@ def line_table(text: Column) -> Column:
 
 def _identity(text: Column, host: Column) -> list[Column]:
     """The host by 64 bits (null is a host of its own), the text by 120 bits."""
-    digest = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
-    halves = [F.conv(F.substring(digest, at, 15), 16, 10).cast("long") for at in (1, 16)]
+    halves = text_identity(text)
     return [F.xxhash64(host.isNull(), host).alias("h"), halves[0].alias("t"), halves[1].alias("u")]
 
 

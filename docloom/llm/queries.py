@@ -55,7 +55,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is read back from the formatted conversations: turns from the string, loss text from the mask."""
     own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-7, 0, "user", EXTRA_CHAT), (-7, 1, "assistant", EXTRA_CHAT)], "conv_id long, turn long, role string, text string")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(EXTRA_CHAT).alias("text"))
     done = chat.format_chats(own.unionByName(extra))
     turns = F.transform(F.col("turns"), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     read = done.select("conv_id", chat.parse_chat(F.col("formatted")).alias("turns"), chat.masked_text(F.col("segments")).alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))

@@ -43,6 +43,50 @@ def test_licenses_wrapped_and_titled(spark):
     assert got == dict.fromkeys(range(len(own)), "ISC") | {10: "BSD-2-Clause", 11: "MIT", 12: "Unlicense", 13: None}
 
 
+def test_license_edges(spark, monkeypatch):
+    from docloom.llm import common
+
+    bsd = "Copyright (c) 2021, Ann\nAll rights reserved.\n\n" + licenses.TEXTS["BSD-3-Clause"].replace("\n\n", "\n").upper()
+    rows = [(1, bsd), (2, licenses.TEXTS["GPL-3.0-or-later"]), (3, "x\nCC0 1.0 Universal\ny"), (4, "word " * 400_000 + "\nSPDX-License-Identifier: MIT\n" + "word " * 10), (5, None), (6, ""), (6, ""), (7, "Released under the MIT License."), (7, "Released under the MIT License.")]
+    want = {1: ("BSD-3-Clause", []), 2: ("GPL-3.0-or-later", []), 3: (None, ["CC0-1.0"]), 4: (None, ["MIT"]), 5: (None, []), 6: (None, []), 7: ("MIT", ["MIT"])}
+    df = frame(spark, rows, "doc_id long, text string").withColumn("NOTICES", F.lit(1)).withColumn("Digest", F.lit(2)).withColumn("t", F.lit(3))
+    for size in (common.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(common, "BROADCAST_BYTES", size)
+        got = licenses.scan_licenses(df).collect()
+        assert len(got) == len(rows) and {r["doc_id"]: (r["license"], r["notices"]) for r in got} == want
+    assert licenses.scan_licenses(df.limit(0)).count() == 0
+    assert len({licenses.known_digests(common.values_table(spark, list(licenses.TEXTS.items()), "license string, text string")).count(), len(licenses.TEXTS)}) == 1
+
+
+def test_rows_alike_are_split(spark, monkeypatch):
+    from docloom.llm import common, minhash
+
+    rows = [(1, "one text in very many copies, as it is")] * 250 + [(2, "one text in very many copies, as it is")] * 30 + [(3, "another text of some words"), (4, None), (4, None)]
+    df = frame(spark, rows, "doc_id long, text string").repartition(3)
+    for where in (common, minhash):
+        monkeypatch.setattr(where, "COPIES", 20)
+    for size in (common.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(common, "BROADCAST_BYTES", size)
+        shards = sharding.shard_rows(df, 3).collect()
+        assert Counter((r["doc_id"], r["size"]) for r in shards) == Counter((d, len(t or "") + 8) for d, t in rows)
+        assert all(sorted(r["slot"] for r in shards if r["shard"] == k) == list(range(sum(r["shard"] == k for r in shards))) for k in range(3))
+        classes = minhash.near_duplicates(df).collect()
+        assert Counter((r["doc_id"], r["class_id"], r["copies"]) for r in classes) == Counter({(1, 1, 250): 250, (2, 1, 30): 30, (3, 3, 1): 1, (4, 4, 2): 2})
+        assert sorted(r["doc_id"] for r in minhash.one_of_each(df).collect()) == [1, 3, 4, 4]
+
+
+def test_matched_splits_hot_keys(spark, monkeypatch):
+    from docloom.llm import common
+
+    left = spark.range(1000).select(F.when(F.col("id") < 400, 0).when(F.col("id") < 990, F.col("id") % 50).alias("k"), "id")
+    right = left.where("k < 40").groupBy(F.col("k").alias("of")).agg(F.max("id").alias("top"), F.count(F.lit(1)).alias("n"))
+    want = sorted(map(tuple, left.join(right.drop("n"), F.col("k") == F.col("of"), "left").collect()), key=repr)
+    for size, heavy in ((common.BROADCAST_BYTES, common.HEAVY), (-1, 5), (-1, 100)):
+        monkeypatch.setattr(common, "BROADCAST_BYTES", size)
+        monkeypatch.setattr(common, "HEAVY", heavy)
+        assert sorted(map(tuple, common.matched(left, right, [("k", "of")], "n").collect()), key=repr) == want
+
+
 def jump(key, n):
     b, j = -1, 0
     while j < n:
@@ -185,3 +229,6 @@ def test_chat(spark):
         assert "".join(s["text"] for s in got[conv]["segments"]) == got[conv]["formatted"]
     assert got[2]["formatted"].count("<s>[INST]assistant") == 1  # neighbours of one role share a block
     assert chat.format_chats(df.limit(0)).count() == 0
+    long = frame(spark, [(1, i, "assistant" if i % 3 else "user", "</s>[INST] " * 20_000) for i in range(4)], "conv_id long, turn long, role string, text string")
+    one = chat.format_chats(long).select(chat.parse_chat(F.col("formatted")).alias("back"), chat.masked_text(F.col("segments")).alias("loss")).first()
+    assert [b["text"] for b in one["back"]] == ["</s>[INST] " * 20_000] * 4 and one["loss"] == "</s>[INST] " * 40_000
