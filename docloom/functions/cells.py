@@ -82,6 +82,11 @@ def spread(many: Column, depth: int = DEPTH) -> Column:
     return let(many, lambda vs: step(vs, depth))
 
 
+def opened(many: Column) -> Column:
+    """VARIANT candidates at the end of a path: an array gives its elements, which stay whole if they are arrays themselves."""
+    return F.flatten(F.transform(many, lambda v: F.when(is_array(v), F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array(v))))
+
+
 def walk(root: Column, segments: list[str]) -> Column:
     """All VARIANT values that a dotted path reaches, arrays on the way spread out; missing ones are left out, explicit nulls stay."""
     many = None

@@ -6,6 +6,7 @@ import functools
 import re
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +14,8 @@ from pyspark.sql import types as T
 # The usual English stop words.
 STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
 MAX_TOKEN = 64
+#: A token, in texts and queries alike.
+TOKEN = r"[\p{L}\p{Nd}]+"
 
 # Suffix rules of Porter's stemmer (1980), longest match first; each is (suffix, replacement).
 STEP2 = [("ational", "ate"), ("ization", "ize"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("tional", "tion"), ("biliti", "ble"), ("entli", "ent"), ("ousli", "ous"), ("ation", "ate"), ("alism", "al"), ("aliti", "al"), ("iviti", "ive"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("ator", "ate"), ("eli", "e")]
@@ -83,12 +86,12 @@ def stem_all(tokens: pd.Series) -> pd.Series:
 
 def tokens(text: Column, stemmed: bool = True) -> Column:
     """array<string> of the tokens of a text; NULL gives an empty array."""
-    runs = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{Nd}]+)"), 1)
+    runs = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({TOKEN})"), 1)
     kept = F.filter(runs, lambda t: (F.length(t) <= MAX_TOKEN) & ~t.isin(*STOP_WORDS))
     return stem_all(kept) if stemmed else kept
 
 
 def tokens_of(text: str, stemmed: bool = True) -> list[str]:
     """The same for one text on the driver (a query)."""
-    runs = [t for t in re.findall(r"[^\W_]+", text.lower()) if len(t) <= MAX_TOKEN and t not in STOP_WORDS]
+    runs = [t for t in regex.findall(TOKEN, text.lower()) if len(t) <= MAX_TOKEN and t not in STOP_WORDS]
     return [stem(t) for t in runs] if stemmed else runs

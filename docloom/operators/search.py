@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.functions.text_analysis import tokens, tokens_of
+from docloom.functions.text_analysis import stem_all, tokens, tokens_of
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -29,7 +30,7 @@ def query_terms(query: str, stemmed: bool = True) -> tuple[list[str], list[list[
     return list(dict.fromkeys(tokens_of(query, stemmed))), phrases
 
 
-def analyzed(df: DataFrame, id_column: str, fields: dict[str, float], stemmed: bool = True) -> DataFrame:
+def analyzed(df: DataFrame, id_column: str, fields: dict[str, float], stemmed: bool = False) -> DataFrame:
     """(id, tokens of each field as f0, f1, ...): the inverted index's source. An array field's elements are parted by an empty token, so no phrase spans two."""
     out = [F.col(f"`{id_column}`").alias("id")]
     for i, name in enumerate(fields):
@@ -43,8 +44,19 @@ def analyzed(df: DataFrame, id_column: str, fields: dict[str, float], stemmed: b
     return df.select(*out)
 
 
+def variants(index: DataFrame, names: Sequence[str], terms: Sequence[str]) -> dict[str, list[str]]:
+    """The tokens of plain `analyzed` rows that have these stems. Stems begin as their words do, so few different tokens are stemmed, each once."""
+    starts = sorted({t[:2] for t in terms})
+    words = F.filter(F.array_distinct(F.concat(*[F.col(n) for n in names])), lambda t: F.substring(t, 1, 2).isin(starts))
+    found = index.select(F.explode(words).alias("word")).distinct().withColumn("stem", stem_all(F.array("word"))[0]).where(F.col("stem").isin(*terms))
+    out: dict[str, list[str]] = {t: [] for t in terms}
+    for r in found.collect():  # the inflections of the query's terms
+        out[r["stem"]].append(r["word"])
+    return out
+
+
 def bm25(index: DataFrame, fields: dict[str, float], query: str, stemmed: bool = True) -> DataFrame:
-    """Hits of a query over `analyzed` rows: any of its terms, and every phrase contiguous in one field.
+    """Hits of a query over plain `analyzed` rows: any of its terms, and every phrase contiguous in one field. With stems, the tokens that share the stem of a term count as it.
 
     One aggregation gives document counts, document frequencies and mean lengths (a few numbers a term, sent to the driver); a second pass scores, all in
     column expressions. A query without terms has no hits.
@@ -53,33 +65,88 @@ def bm25(index: DataFrame, fields: dict[str, float], query: str, stemmed: bool =
     names = [f"f{i}" for i in range(len(fields))]
     if not terms:
         return index.where(F.lit(False)).select("id", F.lit(0.0).cast("float").alias("score"))
+    words = variants(index, names, terms) if stemmed else {t: [t] for t in terms}
+    same = lambda x, t: x.isin(*words[t]) if words[t] else F.lit(False)
     length = {n: F.size(F.filter(F.col(n), lambda t: t != "")) for n in names}
-    has = [F.greatest(*[F.array_contains(n, t).cast("int") for n in names], F.lit(0)) for t in terms]
+    tf = {(n, t): F.size(F.filter(F.col(n), lambda x: same(x, t))) for n in names for t in terms}  # noqa: B023
+    has = [(sum((tf[n, t] for n in names), F.lit(0)) > 0).cast("int") for t in terms]
     any_token = sum((length[n] for n in names), F.lit(0)) > 0
     stats = index.agg(
         F.coalesce(F.sum(any_token.cast("int")), F.lit(0)).alias("n"),
         *[F.coalesce(F.sum(length[n]), F.lit(0)).alias(n) for n in names],
         *[F.coalesce(F.sum(h), F.lit(0)).alias(f"t{i}") for i, h in enumerate(has)],
     ).first()
-    total = max(stats["n"], 1)
-    score = F.lit(0.0)
-    for weight, n in zip(fields.values(), names):
-        mean = stats[n] / total or 1.0
-        for i, t in enumerate(terms):
-            df_t = stats[f"t{i}"]
-            idf = F.log1p(F.lit((stats["n"] - df_t + 0.5) / (df_t + 0.5)))
-            tf = F.size(F.filter(F.col(n), lambda x: x == t)).cast("double")
-            score = score + F.lit(weight) * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[n] / F.lit(mean)))
-    wanted = F.arrays_overlap(F.array(*map(F.lit, terms)), F.concat(*[F.col(n) for n in names]))
+    every = [w for t in terms for w in words[t]]
+    wanted = F.arrays_overlap(F.array(*map(F.lit, every)), F.concat(*[F.col(n) for n in names])) if every else F.lit(False)
+
+    def contiguous(n: str, p: list[str]) -> Column:
+        def begins(i: Column) -> Column:
+            return functools.reduce(lambda a, b: a & b, [F.coalesce(same(F.get(F.col(n), i + k), t), F.lit(False)) for k, t in enumerate(p)])
+
+        return F.exists(F.sequence(F.lit(0), F.greatest(F.size(n) - len(p), F.lit(0))), begins)
+
     for p in phrases:
-        held = F.lit(False)
-        for n in names:
-            at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(n) - len(p) + 1, F.lit(1))), lambda i: F.slice(F.col(n), i, len(p)) == F.array(*map(F.lit, p)))
-            held = held | (F.size(at) > 0)
-        wanted = wanted & held
+        wanted = wanted & functools.reduce(lambda a, b: a | b, [contiguous(n, p) for n in names])
+    parts = [(w, tf[n, t].cast("double"), length[n], stats[n] / max(stats["n"], 1) or 1.0, stats[f"t{i}"]) for w, n in zip(fields.values(), names) for i, t in enumerate(terms)]
+    score = sum((term_score(w, stats["n"], df, f, size, mean) for w, f, size, mean, df in parts), F.lit(0.0))
     return index.where(wanted).select("id", score.cast("float").alias("score"))
 
 
+def term_score(weight: float, n: int, df: int, tf: Column, length: Column, mean: float) -> Column:
+    """What a term that df of n documents hold adds to a document's score by one field."""
+    idf = F.log1p(F.lit((n - df + 0.5) / (df + 0.5)))
+    return F.lit(weight) * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(mean)))
+
+
+# ---- a stored inverted index
+
+POSTINGS = "term string, id {kind}, field int, tf int, length int, places array<int>"
+
+
+def postings(index: DataFrame) -> DataFrame:
+    """(term, id, field, tf, length, places) of `analyzed` rows. Places number the tokens of a field; the gaps between an array's elements count."""
+    names = [c for c in index.columns if c != "id"]
+    each = None
+    for i, n in enumerate(names):
+        length = F.size(F.filter(F.col(n), lambda t: t != ""))
+        one = index.select("id", F.lit(i).alias("field"), length.alias("length"), F.posexplode(n).alias("place", "term")).where("term <> ''")
+        each = one if each is None else each.unionByName(one)
+    return each.groupBy("term", "id", "field").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("length").alias("length"), F.sort_array(F.collect_list("place")).alias("places")).select("term", "id", "field", "tf", "length", "places")
+
+
+def totals(rows: DataFrame, fields: int) -> tuple[int, list[int]]:
+    """(documents that have a token, tokens of each field) of postings."""
+    own = rows.groupBy("id", "field").agg(F.first("length").alias("length"))
+    r = own.agg(F.count_distinct("id"), *[F.coalesce(F.sum(F.when(F.col("field") == i, F.col("length"))), F.lit(0)) for i in range(fields)]).first()
+    return r[0], list(r[1:])
+
+
+def bm25_stored(rows: DataFrame, n: int, lengths: Sequence[int], fields: dict[str, float], query: str, stemmed: bool = True) -> DataFrame:
+    """Hits as bm25 gives them, from postings of a collection with n documents of these token counts. Only the rows of the query's terms are read."""
+    terms, phrases = query_terms(query, stemmed)
+    if not terms:
+        return rows.where(F.lit(False)).select("id", F.lit(0.0).cast("float").alias("score"))
+    own = rows.where(F.col("term").isin(*terms))
+    df = {r["term"]: r["n"] for r in own.groupBy("term").agg(F.count_distinct("id").alias("n")).collect()}  # as many as the query's terms
+    score = F.lit(0.0)
+    for i, w in enumerate(fields.values()):
+        for t in terms:
+            part = term_score(w, n, df.get(t, 0), F.col("tf").cast("double"), F.col("length"), lengths[i] / max(n, 1) or 1.0)
+            score = score + F.when((F.col("field") == i) & (F.col("term") == t), part).otherwise(0.0)
+    hits = own.withColumn("part", score).groupBy("id").agg(F.sum("part").alias("s"), *([F.collect_list(F.struct("field", "term", "places")).alias("held")] if phrases else []))
+
+    def contiguous(i: int, p: list[str]) -> Column:
+        def places(t: str) -> Column:
+            return F.flatten(F.transform(F.filter("held", lambda h: (h["field"] == i) & (h["term"] == t)), lambda h: h["places"]))
+
+        rest = [places(t) for t in p]
+        return F.exists(rest[0], lambda x: functools.reduce(lambda a, b: a & b, [F.array_contains(r, x + k) for k, r in enumerate(rest)]))
+
+    for p in phrases:
+        hits = hits.where(functools.reduce(lambda a, b: a | b, [contiguous(i, p) for i in range(len(fields))]))
+    return hits.select("id", F.col("s").cast("float").alias("score"))
+
+
 def similarity(a: Column, b: Column, metric: str = "cosine") -> Column:
     """float score of two vectors of doubles; cosine is 0 for a zero vector, l2 is 1 / (1 + distance)."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

@@ -45,6 +45,7 @@ class Source:
     indexes: dict[str, S.CreateIndex] = field(default_factory=dict)
     frame: DataFrame | None = None
     attachments: DataFrame | None = None
+    stored: dict[str, Callable] = field(default_factory=dict)  # full-text indexes with a stored table: (query, simple) -> hits
 
 
 def kind_of(t: T.DataType) -> str:
@@ -92,7 +93,7 @@ class Lowering:
         if len(docs) == 1:
             many = cells.walk(self.root if self.root is not None else F.col(f"`{docs[0].variant}`"), parts)
             first = F.coalesce(F.get(F.transform(F.slice(many, 1, 1), cells.of_variant), F.lit(0)), cells.make(cells.NULL))
-            return Val("cell", first, many=F.transform(cells.spread(many), cells.of_variant), element="cell", literal=many)
+            return Val("cell", first, many=F.transform(cells.opened(many), cells.of_variant), element="cell", literal=many)
         raise SqlError(f"unknown column {path}")
 
     def typed_path(self, source: Source, parts: list[str]) -> Val:
@@ -107,18 +108,13 @@ class Lowering:
             kind = kind[p].dataType
             col = F.transform(col, lambda x: x[p]) if several else col[p]
         if several:
-            inner = kind
-            many = col
-            while isinstance(inner, T.ArrayType):
-                many, inner = F.flatten(many), inner.elementType
+            many, inner = (F.flatten(col), kind.elementType) if isinstance(kind, T.ArrayType) else (col, kind)  # an array at the end is opened once
             first = F.get(F.filter(col, lambda x: x.isNotNull()), F.lit(0)) if not isinstance(kind, T.ArrayType) else F.get(col, F.lit(0))
             k = kind_of(inner)
             one = F.to_json(first) if kind_of(kind) == "json" else first
             return Val(kind_of(kind), one, many=F.coalesce(many, F.array().cast(T.ArrayType(inner))), element=k)
         if isinstance(kind, T.ArrayType):
             inner, many = kind.elementType, col
-            while isinstance(inner, T.ArrayType):
-                many, inner = F.flatten(many), inner.elementType
             return Val("json", F.to_json(col), many=F.coalesce(many, F.array().cast(T.ArrayType(inner))), element=kind_of(inner), literal=col)
         if kind_of(kind) == "json":
             return Val("json", F.to_json(col), literal=col)
@@ -430,8 +426,11 @@ class Lowering:
                 raise SqlError("MATCH takes a text")
             fields = dict(index.fields) if index else {e.target: 1.0}
             simple = bool(index) and dict(index.options).get("analyzer") == "simple"
+            if e.target in source.stored:
+                out = source.stored[e.target](query, simple)
+                return out if depth is None else search.best(out, depth)
             base = self.document_fields(source, fields)
-            out = search.bm25(search.analyzed(base, source.id_column, {f"f{i}": w for i, w in enumerate(fields.values())}, not simple), {f"f{i}": w for i, w in enumerate(fields.values())}, query, not simple)
+            out = search.bm25(search.analyzed(base, source.id_column, {f"f{i}": w for i, w in enumerate(fields.values())}, False), {f"f{i}": w for i, w in enumerate(fields.values())}, query, not simple)
         elif isinstance(e, S.Similarity):
             vector = self.value(e.vector).literal
             options = next((dict(i.options) for i in source.indexes.values() if i.using == "VECTOR" and i.fields[0][0] == e.field), {})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import uuid
 from collections.abc import Sequence
@@ -16,8 +17,9 @@ from docloom.functions import cells, json_text
 from docloom.functions.identity import content_hash, derived_uuid, document_id
 from docloom.operators import constraints, merge, search
 from docloom.plans import syntax as S
-from docloom.plans.lower import Lowering, SelectPlan, Source, Val
+from docloom.plans.lower import Lowering, SelectPlan, Source, Val, find, is_search
 from docloom.plans.syntax import SqlError
+from docloom.sources import indexes
 from docloom.sources.log import Log, decide
 from docloom.sources.store import GENESIS, Commit, ConflictError, Staged, Store
 from docloom.streaming import feed
@@ -113,8 +115,8 @@ class Engine:
         own = (self.pending or {}).get(c.name)
         return [(c.store.staged(s.path), c.store.staged_attachments(s.path) if s.attachments else None) for s in own.parts] if own else []
 
-    def documents(self, c: Collection, at: S.At | None = None, attachments: bool = True) -> DataFrame:
-        """The rows of a collection at a version: id, declared columns, attachments if there ever was one, document text."""
+    def documents(self, c: Collection, at: S.At | None = None, attachments: bool = True, where=None, params: Sequence = ()) -> DataFrame:
+        """The rows of a collection at a version: id, declared columns, attachments if there ever was one, document text. Of head, rows that can't satisfy `where` may be left out."""
         if c.store is None:
             if at is not None:
                 raise SqlError(f"{c.name} has no versions")
@@ -123,7 +125,8 @@ class Engine:
         if at is None and c.pinned:
             snap = c.store.snapshot(c.pinned)
         elif at is None:
-            snap = c.store.snapshot()
+            snap = None if where is None or self._staged(c) else self._by_index(c, where, params)
+            snap = c.store.snapshot() if snap is None else snap
             for ops, _ in self._staged(c):
                 rest = snap.join(ops.select("id"), "id", "left_anti")
                 snap = rest.unionByName(ops.where("op = 'write'").select("id", "body"))
@@ -159,7 +162,46 @@ class Engine:
             columns.insert(-1, F.col("_attachments"))
         return snap.select(*columns)
 
-    def source(self, t: S.Table, at: S.At | None, params: Sequence, seen: tuple = ()) -> tuple[DataFrame, Source]:
+    def _by_index(self, c: Collection, where, params: Sequence) -> DataFrame | None:
+        """(id, body) of the documents that an index leaves over: by the first condition of WHERE, all of which must hold, that a HASH or BTREE index answers."""
+        tables = {i.fields[0][0]: self._built(c, i.name) for i in c.indexes.values() if i.using in ("HASH", "BTREE")}
+        tables = {path: b for path, b in tables.items() if indexes.usable(c.store, b)}
+        known = lambda e: e.value if isinstance(e, S.Literal) else params[e.index] if isinstance(e, S.Param) and e.index < len(params) else None
+        parts = [where]
+        while tables and parts:
+            p = parts.pop(0)
+            if isinstance(p, S.Binary) and p.op == "AND":
+                parts[:0] = [p.left, p.right]
+                continue
+            name, found = None, None
+            if isinstance(p, S.Binary) and p.op in ("=", "<", "<=", ">", ">=") and isinstance(p.left, S.Name):
+                name, found = p.left.path, indexes.condition(p.op, known(p.right))
+            elif isinstance(p, S.In) and isinstance(p.inner, S.Name):
+                each = [indexes.condition("=", known(v)) for v in p.values]
+                name, found = p.inner.path, None if None in [None if x is None else 0 for x in each] else functools.reduce(lambda a, b: a | b, each)
+            elif isinstance(p, S.Between) and isinstance(p.inner, S.Name):
+                low, high = indexes.condition(">=", known(p.low)), indexes.condition("<=", known(p.high))
+                # One value must satisfy both ends, so the table can be asked for both at once.
+                name, found = p.inner.path, None if low is None or high is None else low & high
+            if found is not None and name in tables:
+                return indexes.key_rows(c.store, tables[name], found)
+        return None
+
+    @staticmethod
+    def _built(c: Collection, name: str) -> indexes.Built | None:
+        kept = c.store.tables.get(name) if c.store is not None else None
+        return indexes.Built(**kept | {"lengths": tuple(kept["lengths"])}) if kept else None
+
+    def reindex(self, name: str, *index_names: str) -> None:
+        """Builds the derived tables of a collection's indexes (all, or those named) at head."""
+        c = self.collection(name)
+        for i in [c.indexes[n] for n in index_names] if index_names else c.indexes.values():
+            if c.store is not None and i.using in ("HASH", "BTREE", "FULLTEXT"):
+                built = indexes.build(c.store, i, dict(i.options).get("analyzer") != "simple")
+                if built is not None:
+                    c.store.keep_table(i.name, built.__dict__)
+
+    def source(self, t: S.Table, at: S.At | None, params: Sequence, seen: tuple = (), where=None) -> tuple[DataFrame, Source]:
         alias = t.alias or t.name.split(".")[-1]
         if t.name in self.views:
             if t.name in seen:
@@ -168,13 +210,18 @@ class Engine:
             df = self.select(replace(view, at=at) if at else view, params, (*seen, t.name))
             return df, Source(alias, {c: c for c in df.columns})
         c = self.collection(t.name)
-        df = self.documents(c, at)
+        df = self.documents(c, at, where=where, params=params)
         columns = {x: x for x in df.columns}
         variant = None
         if c.doc_column:
             variant = "__variant"
             df = df.withColumn(variant, F.try_parse_json(F.col(f"`{c.doc_column}`")))
-        return df, Source(alias, columns, c.id_column, c.doc_column, variant, c.indexes)
+        stored = {}
+        if c.store is not None and at is None and not c.pinned and not self._staged(c):
+            for i in c.indexes.values():
+                if i.using == "FULLTEXT" and indexes.usable(c.store, built := self._built(c, i.name)):
+                    stored[i.name] = lambda query, simple, i=i, built=built: indexes.text_hits(c.store, built, i, query, not simple)
+        return df, Source(alias, columns, c.id_column, c.doc_column, variant, c.indexes, stored=stored)
 
     # ---- SELECT
 
@@ -183,7 +230,8 @@ class Engine:
             if any(isinstance(i.expr, S.Star) for i in q.items) or q.where is not None or q.group or q.order:
                 raise SqlError("a SELECT without FROM takes expressions only")
             return SelectPlan(q, Lowering(self.spark, [], self.spark.range(1).select(), params, self.prefix)).frame()
-        df, source = self.source(q.table, q.at, params, seen)
+        searched = any(find(e, is_search) for e in [q.where, *[o.expr for o in q.order], *[i.expr for i in q.items]] if e is not None)
+        df, source = self.source(q.table, q.at, params, seen, None if q.joins or searched else q.where)
         if not q.joins:
             return SelectPlan(q, Lowering(self.spark, [source], df, params, self.prefix)).frame()
         sources: list[Source] = []
@@ -323,6 +371,7 @@ class Engine:
                 raise SqlError(f"index {s.name} is there already")
             schema = replace(c.schema, unique=(*c.schema.unique, tuple(f for f, _ in s.fields))) if s.unique else c.schema
             self._redefine(c, schema=schema, indexes=c.indexes | {s.name: s})
+            self.reindex(s.table, s.name)
         elif isinstance(s, S.DropIndex):
             c = self.collection(s.table)
             if s.name not in c.indexes:

@@ -1,3 +1,4 @@
+import json
 import math
 
 import pytest
@@ -76,3 +77,56 @@ def test_search_in_sql(spark):
     assert [r["id"] for r in e.search("d", text=("ft", "fast"), limit=2).collect()] == ["3", "1"]
     both = e.search("d", text=("ft", "fast"), vector=("vec", [9.0, 1.0]), mode="weighted", include=True)
     assert both.columns == ["id", "score", "document"] and both.count() == 4
+
+
+def test_one_definition_of_tokens(spark):
+    for text in ("x² a_b İstanbul ½ n°5 étudé Ⅷ", "snake_case, kebab-case; e-mail@host.org"):
+        assert spark.createDataFrame([(text,)], "x string").select(tokens(F.col("x"))).first()[0] == tokens_of(text)
+
+
+def test_stored_full_text(spark, tmp_path):
+    """The stored index gives what a scan gives: fields with weights, phrases, arrays, and documents that changed since it was built."""
+    e, plain = Engine(spark, str(tmp_path)), Engine(spark)
+    for i, title, body, tags in CORPUS:
+        e.put("d", spark.createDataFrame([(json.dumps({"id": i, "title": title, "body": body, "tags": tags}),)], "body string"))
+    e.sql("CREATE INDEX ft ON d (title WEIGHT 3, body, tags WEIGHT 2) USING FULLTEXT")
+    queries = ["database", "bread deploy", '"deploy database"', '"fast database"', '"ops db"', "the of", "fast food", '"bread butter" database', "nothing"]
+
+    def same():
+        plain.register("d", e.documents(e.collection("d")), "_id", "_doc")
+        if not plain.collections["d"].indexes:
+            plain.sql("CREATE INDEX ft ON d (title WEIGHT 3, body, tags WEIGHT 2) USING FULLTEXT")
+        for q in queries:
+            read = f"SELECT _id, MATCH(ft, '{q}') AS s FROM d WHERE MATCH(ft, '{q}') ORDER BY s DESC, _id"
+            got, want = ([(r[0], round(r[1], 4)) for r in x.sql(read).collect()] for x in (e, plain))
+            assert got == want, q
+
+    assert e.collection("d").store.tables["ft"]["documents"] == 3
+    same()
+    e.put("d", spark.createDataFrame([('{"id": "5", "title": "Fast databases", "body": "deploy bread"}',), ('{"id": "1", "title": "Gone", "body": "bread"}',)], "body string"))
+    e.sql("DELETE FROM d WHERE title = 'Cooking'")
+    same()
+    e.reindex("d")
+    assert Engine(spark, str(tmp_path)).collection("d").store.tables == e.collection("d").store.tables
+    same()
+
+
+def test_key_indexes(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    docs = [{"id": f"{i:03}", "n": i if i % 5 else str(i), "tags": [f"t{i % 7}", i % 3], "f": i + 0.5} for i in range(60)]
+    put = lambda rows: e.put("d", spark.createDataFrame([(json.dumps(x),) for x in rows], "body string"))
+    put(docs)
+    wheres = ["n = 7", "n = '10'", "n > 50", "n BETWEEN 10 AND 12", "n IN (1, 2, '5')", "tags = 't3'", "tags = 2 AND n < 9", "f >= 58.5", "n = 7 OR n = 8", "tags <> 't1' AND n <= 3", "n = NULL", "n = TRUE"]
+    read = lambda: [sorted(r[0] for r in e.sql(f"SELECT _id FROM d WHERE {w}").collect()) for w in wheres]
+    want = read()
+    e.sql("CREATE INDEX by_n ON d (n) USING BTREE")
+    e.sql("CREATE INDEX by_tag ON d (tags) USING HASH")
+    e.sql("CREATE INDEX by_f ON d (f) USING BTREE")
+    assert read() == want
+    files = lambda w: e.sql(f"SELECT _id FROM d WHERE {w}").inputFiles()
+    assert all("/indexes/" in f for f in files("n = 7")) and all("/ops/" in f for f in files("n = 7 OR n = 8"))
+    put([{"id": "007", "n": 70}, {"id": "100", "n": 7, "tags": "t3"}])
+    e.sql("DELETE FROM d WHERE n = '10'")
+    behind = read()
+    e.reindex("d")
+    assert read() == behind and len(behind[0]) == 1 and behind[0][0] in behind[5] and behind[1] == []

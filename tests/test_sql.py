@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.plans import syntax as S
 from docloom.plans.syntax import SqlError
@@ -125,8 +126,8 @@ def reach(v, parts):
     return reach(v[parts[0]], parts[1:]) if isinstance(v, dict) and parts[0] in v else []
 
 
-def spread(v):
-    return [x for e in v for x in spread(e)] if isinstance(v, list) else [v]
+def opened(v):
+    return v if isinstance(v, list) else [v]
 
 
 def rank(v):
@@ -147,7 +148,7 @@ def holds(e, doc):
         return not holds(e.inner, doc)
     if e.op in ("AND", "OR"):
         return holds(e.left, doc) and holds(e.right, doc) if e.op == "AND" else holds(e.left, doc) or holds(e.right, doc)
-    return any(compare(e.op, x, e.right.value) for v in reach(doc, e.left.path.split(".")) for x in spread(v))
+    return any(compare(e.op, x, e.right.value) for v in reach(doc, e.left.path.split(".")) for x in opened(v))
 
 
 def test_random_predicates(spark):
@@ -177,6 +178,21 @@ def test_arrays_in_arrays_of_any_depth(spark):
     rows = [(n, json.dumps({"a": deep({"b": n}, n), "c": deep("x", n)})) for n in (0, 1, 3, 4, 7, 60)] + [(99, json.dumps({"a": [[[[[], [[{"b": [[[[5]]]]}]]]]], {"b": 4}]})), (100, '{"a": [[[[[[]]]]]]}')]
     e.register("deep", spark.createDataFrame(rows, "_id long, _doc string"), "_id", "_doc")
     found = lambda where: sorted(r[0] for r in e.sql(f"SELECT _id FROM deep WHERE {where}").collect())
-    assert [found(f"a.b = {n}") for n in (0, 1, 3, 4, 7, 60, 5)] == [[0], [1], [3], [4, 99], [7], [60], [99]]
-    assert found("c = 'x'") == [0, 1, 3, 4, 7, 60] and found("a = 60") == [60] and found("a = 7") == [7, 60]
-    assert {r[0]: json.loads(r[1]) for r in e.sql("SELECT _id, ALL_VALUES(a.b) FROM deep WHERE _id > 50").collect()} == {60: [60], 99: [5, 4], 100: []}
+    assert [found(f"a.b = {n}") for n in (0, 1, 3, 4, 7, 60)] == [[0], [1], [3], [4, 99], [7], [60]]
+    # On the way arrays are opened however deep, at the end of the path once.
+    assert found("c = 'x'") == [0, 1] and found("a = 60") == [60] and found("a = 7") == [7] and found("a.b = 5") == []
+    assert {r[0]: json.loads(r[1]) for r in e.sql("SELECT _id, ALL_VALUES(a.b) FROM deep WHERE _id > 50").collect()} == {60: [60], 99: [[[[5]]], 4], 100: []}
+
+
+def test_arrays_at_the_end_of_a_path(spark):
+    """Declared and undeclared nested arrays alike: the last array is opened once."""
+    rows = [(1, [[1, 2], [3]], [[[{"y": 5}]], [[{"y": 6}]]]), (2, [[4]], None), (3, None, [[[]]])]
+    typed = spark.createDataFrame(rows, "_id long, x array<array<long>>, d array<array<array<struct<y: long>>>>")
+    e = Engine(spark)
+    e.register("t", typed)
+    e.register("u", typed.select("_id", F.to_json(F.struct("x", "d")).alias("_doc")), "_id", "_doc")
+    for t in "tu":
+        found = lambda where: sorted(r[0] for r in e.sql(f"SELECT _id FROM {t} WHERE {where}").collect())  # noqa: B023, E731
+        assert [found("x = 1"), found("x = 4"), found("x > 0"), found("d.y = 6"), found("d.y > 4 AND d.y < 6"), found("x = '[4]'")] == [[], [], [], [1], [1], []], t
+    e.register("v", spark.createDataFrame([(1, '{"x":[[1,2]],"z":[1]}')], "_id long, _doc string"), "_id", "_doc")
+    assert e.sql("SELECT _id FROM v WHERE x = 1").count() == 0 and e.sql("SELECT _id FROM v WHERE z = 1").count() == 1
