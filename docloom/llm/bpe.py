@@ -22,6 +22,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from docloom.llm.common import tidy
 
 # Letters and numbers of Unicode 16 that an older unicodedata does not know, as the common BPE libraries class them.
 LETTERS_16 = [
@@ -332,7 +333,7 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", ids: str = "ids",
                 columns.append(_decoded(vocabulary, flat, ends))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(tidy(run), schema)
 
 
 def decode_ids(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -352,4 +353,4 @@ def decode_ids(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decod
             ends = np.concatenate(([0], np.cumsum(sizes)))
             yield pa.RecordBatch.from_arrays([*batch.columns, _decoded(vocabulary, flat, ends)], names=[*batch.schema.names, decoded])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(tidy(run), schema)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,5 +139,36 @@ def values_table(spark: SparkSession, rows: Sequence[tuple[str, ...]], schema: s
     return spark.range(1).select(F.explode(made).alias("x")).select("x.*")
 
 
+def give_back() -> None:
+    """Returns freed memory of a Python worker to the system; workers are reused, and would keep the most that a batch ever took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+#: Bytes of texts, about, that a Python worker works on at once; Spark's batches hold up to 64 MB, or one longer text.
+PIECE_BYTES = 4 << 20
+
+
+def tidy(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, given its batches in pieces of about PIECE_BYTES, so that results are small too; memory is given back at the end of each partition."""
+
+    def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = max(1, batch.num_rows * PIECE_BYTES // max(batch.nbytes, PIECE_BYTES))
+            for i in range(0, batch.num_rows, rows):
+                yield batch.slice(i, rows)
+
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(pieces(batches))
+        finally:
+            give_back()
+
+    return whole
+
+
 def sha_hex(c: Column) -> Column:
     return F.sha2(c.cast("binary"), 256)

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from docloom.llm.bpe import LETTER, NUMBER, _chunks, code_point_classes
+from docloom.llm.common import tidy
 
 Q = 10
 RATE = 0.08
@@ -266,7 +267,7 @@ def _pass(df: DataFrame, items: Items, text: str, leaks: str, kind: T.DataType)
                     lists[rows[doc]].append({"item_id": item_id, "start": start, "end": end, "edits": edits})
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, made)], names=[*batch.schema.names, leaks])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", leaks: str = "leaks") -> DataFrame:

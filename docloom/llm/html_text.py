@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from docloom.llm.common import tidy
 
 # Elements by role in a page.
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
@@ -319,4 +320,4 @@ def extract(df: DataFrame, page: str = "html", text: str = "text") -> DataFrame:
             texts = pa.array((main_text(x.as_py()) for x in batch.column(at)), pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=schema.names)
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(tidy(run), schema)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm.bpe import LETTER, _chunks, code_point_classes
+from docloom.llm.common import tidy
 
 BITS = 16
 DIM = 16
@@ -239,4 +240,4 @@ def identify(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
                 rejected[rows[full]] = top[full] < own.threshold
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang_pred, pa.string()), pa.array(score), pa.array(rejected)], names=schema.names)
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(tidy(run), schema)

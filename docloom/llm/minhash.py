@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.bpe import _chunks
-from docloom.llm.common import COPIES, forget, fresh, in_pieces, matched, sent_if_small, unfolded, written
+from docloom.llm.common import COPIES, forget, fresh, give_back, in_pieces, matched, sent_if_small, tidy, unfolded, written
 
 SHINGLE = 5
 SIMILARITY = (4, 5)  # 0.8 as a ratio of whole numbers
@@ -176,7 +176,7 @@ def _band_rows(texts: DataFrame) -> DataFrame:
                 sketch = pa.array([x.tobytes() for x in sketches(registers[full])], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(ids[rows[full]]), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel())), sketch], names=["t", "keys", "sketch"])
 
-    return texts.mapInArrow(run, "t long, keys array<long>, sketch binary")
+    return texts.mapInArrow(tidy(run), "t long, keys array<long>, sketch binary")
 
 
 def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -189,19 +189,19 @@ def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (c.cast(pa.large_binary()) for c in batch.columns[2:])
-            lengths = np.cumsum(pc.binary_length(x).to_numpy(zero_copy_only=False) + pc.binary_length(y).to_numpy(zero_copy_only=False))
+            x, y = batch.columns[2:]
+            lengths = np.cumsum(pc.binary_length(x).to_numpy(zero_copy_only=False).astype(np.int64) + pc.binary_length(y).to_numpy(zero_copy_only=False))
             keep = np.zeros(batch.num_rows, bool)
             i = 0
             while i < batch.num_rows:
                 j = max(i + 1, int(np.searchsorted(lengths, (lengths[i - 1] if i else 0) + SPAN, "right")))
-                shared, whole = overlap([v.as_py() for v in x[i:j]], [v.as_py() for v in y[i:j]])
+                shared, whole = overlap([v.as_py().encode() for v in x[i:j]], [v.as_py().encode() for v in y[i:j]])
                 keep[i:j] = (shared * den >= whole * num) & (whole > 0)
                 i = j
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["a", "b"])
 
     both = pairs.join(left, ["a", "place"]).join(right, "b").select("a", "b", "x", "y")
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(tidy(run), "a long, b long")
 
 
 def _tile_links(tile: pd.DataFrame) -> pd.DataFrame:
@@ -247,6 +247,7 @@ def _tile_links(tile: pd.DataFrame) -> pd.DataFrame:
                     above[max(x, y)] = min(x, y)
                     found.append((a_, b_))
             i = j
+    give_back()
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
