@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import heapq
 import sys
 import unicodedata
@@ -18,7 +19,6 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -152,9 +152,12 @@ def slice_starts(points: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 class Vocabulary:
     """Ranks of byte strings, merging and decoding."""
 
-    def __init__(self, path: str):
-        with open(path, "rb") as f:
-            lines = [x.split() for x in f.read().splitlines() if x]
+    def __init__(self, path: str, content: bytes | None = None):
+        """content: that of the file, where it is not at hand."""
+        if content is None:
+            with open(path, "rb") as f:
+                content = f.read()
+        lines = [x.split() for x in content.splitlines() if x]
         self.ranks = {base64.b64decode(a): int(b) for a, b in lines}
         size = max(self.ranks.values()) + 1
         words = [b""] * size
@@ -260,19 +263,23 @@ class Vocabulary:
         return self.bytes[shift + np.arange(stop[-1])].tobytes()
 
 
-@functools.lru_cache(maxsize=2)
-def _vocabulary(path: str, shipped: bool) -> Vocabulary:
-    """One a worker. shipped: the file came with the job and has that name on every executor."""
-    return Vocabulary(SparkFiles.get(path) if shipped else path)
+class Shipped:
+    """A vocabulary file, sent along with the job, so executors need not have it at the driver's path; a worker keeps the last two by their contents."""
+
+    kept: dict[str, Vocabulary] = {}
 
+    def __init__(self, df: DataFrame, path: str):
+        with open(path, "rb") as f:
+            content = f.read()
+        self.digest = hashlib.sha256(content).hexdigest()
+        self.content = df.sparkSession.sparkContext.broadcast(content)  # some MB
 
-def _ship(df: DataFrame, path: str) -> tuple[str, bool]:
-    """Sends the vocabulary file (some MB) along with the job, so executors need not have it at the driver's path."""
-    spark = df.sparkSession
-    name = path.rpartition("/")[2]
-    if not any(f.endswith("/" + name) for f in spark.sparkContext.listFiles):
-        spark.sparkContext.addFile(path)
-    return name, True
+    def vocabulary(self) -> Vocabulary:
+        if self.digest not in Shipped.kept:
+            while len(Shipped.kept) > 1:
+                Shipped.kept.pop(next(iter(Shipped.kept)))
+            Shipped.kept[self.digest] = Vocabulary("", self.content.value)
+        return Shipped.kept[self.digest]
 
 
 def _chunks(column: pa.Array) -> Iterator[tuple[np.ndarray, bytes, np.ndarray]]:
@@ -306,14 +313,14 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", ids: str = "ids",
     path: a file of base64 byte strings with ranks. Every text is encoded whole, as many slices as it has; special tokens have no meaning.
     Null and empty texts: empty arrays. Columns of df with these names are replaced. Rows map one to one; nothing is shuffled.
     """
-    name, shipped = _ship(df, path)
+    shipped = Shipped(df, path)
     keep = [c for c in df.columns if c.lower() not in (ids.lower(), (offsets or ids).lower(), (decoded or ids).lower())]
     base = df.select(*[f"`{c}`" for c in keep])
     schema = T.StructType([*base.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)] + ([T.StructField(offsets, T.ArrayType(T.LongType(), False), False)] if offsets else []) + ([T.StructField(decoded, T.BinaryType(), False)] if decoded else []))
     at = keep.index(next(c for c in keep if c.lower() == text.lower()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _vocabulary(name, shipped)
+        vocabulary = shipped.vocabulary()
         for batch in batches:
             counts = np.zeros(batch.num_rows, np.int64)
             parts = []
@@ -338,14 +345,14 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", ids: str = "ids",
 
 def decode_ids(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """The rows of df with `decoded` binary, the bytes of the ids. Null or empty ids: no bytes. A column of that name is replaced."""
-    name, shipped = _ship(df, path)
+    shipped = Shipped(df, path)
     keep = [c for c in df.columns if c.lower() != decoded.lower()]
     base = df.select(*[f"`{c}`" for c in keep])
     schema = T.StructType([*base.schema.fields, T.StructField(decoded, T.BinaryType(), False)])
     at = keep.index(next(c for c in keep if c.lower() == ids.lower()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _vocabulary(name, shipped)
+        vocabulary = shipped.vocabulary()
         for batch in batches:
             column = batch.column(at)
             sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)

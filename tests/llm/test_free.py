@@ -60,6 +60,50 @@ def test_bpe_frames(spark):
     assert bpe.encode_texts(df.limit(0), PATH).count() == 0
 
 
+def test_vocabularies_of_one_name(spark, tmp_path):
+    """Two files of the same name in different folders are two vocabularies."""
+    paths = []
+    for k, pairs in enumerate(([b"ab"], [b"bc"])):
+        (tmp_path / str(k)).mkdir()
+        paths.append(str(tmp_path / str(k) / "v.tiktoken"))
+        with open(paths[-1], "wb") as f:
+            f.write(b"\n".join(base64.b64encode(w) + b" %d" % i for i, w in enumerate([bytes([i]) for i in range(256)] + pairs)))
+    df = spark.createDataFrame([("abc",)], "text string")
+    assert [list(bpe.encode_texts(df, p).first()["ids"]) for p in (*paths, paths[0])] == [[256, 99], [97, 256], [256, 99]]
+
+
+def test_bpe_query(spark, sf):
+    """op2 against the library, digest by digest."""
+    from hashlib import sha256
+
+    from docloom.llm.queries import op2_byte_bpe
+
+    got = {r["doc_id"]: r for r in op2_byte_bpe(spark, sf).collect()}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        ids = LIBRARY.encode_ordinary(r["text"] or "")
+        own = got.pop(r["doc_id"])
+        assert (own["n_tokens"], own["ids_sha256"], own["decoded_sha256"]) == (len(ids), sha256(" ".join(map(str, ids)).encode()).hexdigest(), sha256((r["text"] or "").encode()).hexdigest())
+    assert not got
+
+
+def test_leaks_query(spark, sf):
+    """op10 against the least edit distance of every item in every document of a tenth that holds some, and of others."""
+    from docloom.llm.queries import op10_decontamination
+
+    found = {}
+    for r in op10_decontamination(spark, sf).collect():
+        key = (r["doc_id"], r["item_id"])
+        found[key] = min(found.get(key, 99), r["edits"])
+    items = decontaminate.Items.of([tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()])
+    docs = [r for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if len(r["text"] or "") < 3000]
+    held = {d for d, _ in found}
+    docs = [r for r in docs if r["doc_id"] in held][:12] + [r for r in docs if r["doc_id"] not in held][:12]
+    for r in docs:
+        n = normal(r["text"] or "")
+        want = {items.ids[k]: e for k, p in enumerate(items.text) if (e := edits_in("".join(map(chr, p)), n)) <= items.edits[k]}
+        assert {i: e for (d, i), e in found.items() if d == r["doc_id"]} == want
+
+
 def test_language_id(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").withColumn("score", F.lit("clash"))
     got = langid.identify(docs).withColumn("held_out", langid.held_out(F.col("doc_id"))).where("held_out AND length(text) > 80").collect()

@@ -111,6 +111,18 @@ def test_shards(spark):
     assert {(r["doc_id"], r["size"]) for r in got if r["doc_id"] in (1, 2)} >= {(2, 8)} and sharding.shard_rows(frame(spark, []), 24).count() == 0
 
 
+def test_sharding_query(spark, sf):
+    from zlib import crc32
+
+    from docloom.llm.queries import op3_sharding
+
+    text = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = op3_sharding(spark, sf).collect()
+    key = lambda d: int(hashlib.md5(str(d).encode()).hexdigest()[:16], 16)
+    assert len(got) == len(text) and all((r["size"], r["text_crc32"], r["law"], r["shard"], r["grown_shard"]) == (len(text[r["doc_id"]]) + 8, crc32(text[r["doc_id"]]), "key", jump(key(r["doc_id"]), 24), jump(key(r["doc_id"]), 25)) for r in got)
+    assert all(sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sum(r["shard"] == k for r in got))) for k in range(24))
+
+
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 URLS = ["http://a.example.org/es/1", "HTTP://Example.ORG/en/1x?q", "http://b.com/de/", "http://b.com/fr", "http://xexample.org/es/", "http://a..org/", "http://org", "no scheme", "", None, "x?y://h.com/de/#f", "http://h.com/de/#f", "http://h.com:80/de/", "://com/de/x", "http://a.example.org/es/1"]
 
