@@ -84,6 +84,23 @@ def rebase(base: pd.Series, local: pd.Series, remote: pd.Series) -> pd.Series:
     return pd.Series(map(one, base, local, remote))
 
 
+#: Rows that a procedure's host may hold of one result.
+HOST_ROWS = 100_000
+
+
+class Host:
+    """What a conflict procedure may read besides its row: rows by key, and whole small results."""
+
+    def __init__(self, held: dict[str, dict]):
+        self.held = held
+
+    def get(self, name: str, key: Any) -> dict | None:
+        return self.held[name].get(key)
+
+    def query(self, name: str) -> list[dict]:
+        return list(self.held[name].values())
+
+
 def resolve(conflicts: DataFrame, policy: str, procedure: Callable[[dict], dict] | None = None) -> DataFrame:
     """(id, base, local, remote) JSON documents -> (id, kind, doc).
 

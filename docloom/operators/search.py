@@ -7,6 +7,7 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -169,6 +170,45 @@ def vector_search(df: DataFrame, id_column: str, vector_column: str, query: Sequ
     return hits if k is None else best(hits, k)
 
 
+# ---- a bucketed vector index
+
+SAMPLE = 20_000
+
+
+@dataclass
+class Cells:
+    """Vectors (id, v, cell) by their nearest centre, and the centres. An opt-in: it looks at some cells only."""
+
+    rows: DataFrame
+    centres: list[list[float]]
+
+
+def build_cells(df: DataFrame, id_column: str, vector_column: str, cells: int, rounds: int = 8, seed: int = 3) -> Cells:
+    """Centres are fitted on a sample of SAMPLE vectors at most, by their directions; every vector is put into the cell of its nearest centre."""
+    v = F.col(f"`{vector_column}`")
+    own = df.where(v.isNotNull()).select(F.col(f"`{id_column}`").alias("id"), v.cast("array<double>").alias("v"))
+    share = min(1.0, 1.2 * SAMPLE / max(own.count(), 1))
+    picked = own.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20)).limit(SAMPLE).toPandas()
+    x = np.array(picked["v"].tolist(), np.float64)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    rng = np.random.default_rng(seed)
+    centres = x[rng.permutation(len(x))[:cells]]
+    for _ in range(rounds):
+        near = (x @ centres.T).argmax(axis=1)
+        sums = np.stack([x[near == k].sum(axis=0) if (near == k).any() else centres[k] for k in range(len(centres))])
+        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+    points = [[float(y) for y in c] for c in centres]
+    scores = F.array(*[F.struct(similarity(F.col("v"), F.array(*map(F.lit, c)), "ip").alias("s"), F.lit(-k).alias("k")) for k, c in enumerate(points)])
+    return Cells(own.withColumn("cell", -F.array_max(scores)["k"]), points)
+
+
+def cell_search(index: Cells, query: Sequence[float], metric: str = "cosine", k: int = 10, probes: int = 8) -> DataFrame:
+    """The nearest vectors of the `probes` cells whose centres are nearest by direction; with all cells the result is exact. A stored table partitioned by cell is read in part."""
+    q = np.asarray(query, np.float64)
+    near = np.argsort(-(np.array(index.centres) @ (q / max(np.linalg.norm(q), 1e-12))), kind="stable")[:probes].tolist()
+    return vector_search(index.rows.where(F.col("cell").isin(*near)), "id", "v", query, metric, k)
+
+
 def best(hits: DataFrame, k: int) -> DataFrame:
     return hits.orderBy(F.desc("score"), "id").limit(k)
 

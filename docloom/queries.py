@@ -197,7 +197,6 @@ def _bm25(spark: SparkSession, sf_dir: str, stemmed: bool) -> DataFrame:
 
 
 query("bm25_simple_topk", BM25_SQL)(lambda s, d: _bm25(s, d, False))
-query("bm25_porter_topk")(lambda s, d: _bm25(s, d, True))
 
 
 def _arms(spark: SparkSession, sf_dir: str) -> list[search.Arm]:
@@ -295,3 +294,6 @@ def time_travel_at_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("derived_uuid", f"WITH h AS (SELECT c_custkey, sha256(unhex('{SPACE.replace('-', '')}') || encode(c_name)) AS h FROM customer) SELECT c_custkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-8' || substr(h, 14, 3) || '-' || substr('89ab89ab89ab89ab', 1 + ('0x' || substr(h, 17, 1))::INT, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id FROM h")
 def derived_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", derived_uuid(SPACE, F.col("c_name")).alias("id"))
+
+
+from docloom import store_queries  # noqa: E402, F401  more queries, which use what is above

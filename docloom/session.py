@@ -694,6 +694,20 @@ class Engine:
         """Registers a Python callable by name; merge takes it as a conflict procedure."""
         self.procedures[name] = source
 
+    def resolve(self, conflicts: DataFrame, procedure: str, reads: dict[str, str]) -> DataFrame:
+        """(id, kind, doc) of conflicts (id, base, local, remote) by a registered procedure of (row, host). host.get(name, key) gives the row of a result of `reads` (name to a SELECT,
+        whose first column is the key) as a dict or None, host.query(name) all rows; these results are sent to the executors, so they must be small."""
+        held: dict[str, dict] = {}
+        for name, text in reads.items():
+            df = self.sql(text)
+            rows = df.limit(merge.HOST_ROWS + 1).collect()
+            if len(rows) > merge.HOST_ROWS:
+                raise BoundError(f"{name} has more than {merge.HOST_ROWS} rows")
+            held[name] = {r[0]: r.asDict() for r in rows}
+        shared = self.spark.sparkContext.broadcast(held)
+        call = self.procedures[procedure]
+        return merge.resolve(conflicts, "custom", lambda row: call(row, merge.Host(shared.value)))
+
     def write_if(self, name: str, operations: DataFrame, expected: DataFrame) -> Written:
         """Commits (id, op, body) only if every (id, hash) of `expected` holds: the SHA-256 of the document's text, or NULL for a document that must not be there."""
         c = self._writable(name)
