@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from docloom.functions import cells, json_text
 from docloom.functions.identity import content_hash, derived_uuid, document_id
 from docloom.operators import constraints, merge, search
+from docloom.operators.access import Access, AccessError
 from docloom.plans import syntax as S
 from docloom.plans.lower import Lowering, SelectPlan, Source, Val, find, is_search
 from docloom.plans.syntax import SqlError
@@ -24,6 +25,7 @@ from docloom.sources.log import Log, decide
 from docloom.sources.store import GENESIS, Commit, ConflictError, Staged, Store
 from docloom.streaming import feed
 
+CONSISTENCY = ("snapshot", "read_committed", "read_your_writes")
 SPACE = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
 
 
@@ -83,13 +85,23 @@ class Written:
 class Engine:
     """id_column and doc_column are the reserved columns of document collections; `prefix` is what JSON function names may begin with."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, *, id_column: str = "_id", doc_column: str = "_doc", prefix: str = "", max_rows: int | None = None, namespace: str = SPACE):
+    def __init__(self, spark: SparkSession, path: str | None = None, *, id_column: str = "_id", doc_column: str = "_doc", prefix: str = "", max_rows: int | None = None, namespace: str = SPACE, database: str = "main", user: str | None = None, password: str = "", consistency: str = "read_your_writes"):
+        """database: the name of the path in grants. user: what follows is checked against the user's grants; without one nothing is. consistency: snapshot keeps each collection at the head
+        that was first read, read_committed looks for newer commits before each read, read_your_writes before each write."""
+        if consistency not in CONSISTENCY:
+            raise ValueError(f"consistency must be one of {CONSISTENCY}")
+        self.database, self.user, self.consistency = database, user, consistency
         self.spark, self.path, self.id_column, self.doc_column, self.prefix, self.max_rows, self.namespace = spark, path, id_column, doc_column, prefix, max_rows, namespace
         spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
         self.collections: dict[str, Collection] = {}
         self.views: dict[str, S.Select] = {}
         self.procedures: dict = {}
         self.pending: dict[str, Pending] | None = None
+        self.access = Access(Log(spark, f"{path}/_access")) if path is not None else None
+        if user is not None:
+            if self.access is None:
+                raise ValueError("users are kept beside collections, so they need a path")
+            self.access.login(user, password)
         if path is not None:
             for _, entry in Log(spark, f"{path}/_views").entries(0):
                 self._view(entry["name"], entry["text"])
@@ -110,6 +122,15 @@ class Engine:
             self.collections[name] = c
         return self.collections[name]
 
+    def _granted(self, kind: str, name: str) -> list[str] | None:
+        """The ids that the user may read or write; None for all. Without any grant on the collection it is an error."""
+        if self.user is None or self.access.allowed(self.user, kind, self.database, name):
+            return None
+        ids = self.access.documents(self.user, kind, self.database, name)
+        if not ids:
+            raise AccessError(f"{self.user} may not {kind} {name}")
+        return ids
+
     def _staged(self, c: Collection) -> list[tuple[DataFrame, DataFrame | None]]:
         """(operations, changes of attachments) that the open transaction has staged for a collection."""
         own = (self.pending or {}).get(c.name)
@@ -117,10 +138,15 @@ class Engine:
 
     def documents(self, c: Collection, at: S.At | None = None, attachments: bool = True, where=None, params: Sequence = ()) -> DataFrame:
         """The rows of a collection at a version: id, declared columns, attachments if there ever was one, document text. Of head, rows that can't satisfy `where` may be left out."""
+        granted = self._granted("read", c.name)
         if c.store is None:
             if at is not None:
                 raise SqlError(f"{c.name} has no versions")
-            return c.frame
+            return c.frame if granted is None else c.frame.where(F.col(f"`{c.id_column}`").cast("string").isin(*granted))
+        if self.consistency == "read_committed":
+            c.store.refresh()
+        elif self.consistency == "snapshot" and c.pinned is None and c.store.head() is not None:
+            c.pinned = c.store.head()
         commit = c.pinned if at is None else None
         if at is None and c.pinned:
             snap = c.store.snapshot(c.pinned)
@@ -143,6 +169,7 @@ class Engine:
                 raise SqlError(f"malformed time {at.value!r}") from x
             commit = c.store.at_time(when if when.tzinfo else when.replace(tzinfo=UTC))
             snap = c.store.snapshot(commit)
+        snap = snap if granted is None else snap.where(F.col("id").isin(*granted))
         v = F.try_parse_json("body")
         typed = []
         for f in c.schema.fields:
@@ -356,7 +383,15 @@ class Engine:
     # ---- definitions
 
     def define(self, s, text: str = "") -> None:
-        """Definitions of a collection are kept in its log, views in one of the engine; both are there for the next session."""
+        """Definitions of a collection are kept in its log, views and grants in those of the engine; they are there for the next session."""
+        if isinstance(s, S.CreateRole | S.CreateUser | S.DropRole | S.Grant):
+            if self.access is None:
+                raise SqlError("roles and users are kept beside collections, so they need a path")
+            if self.user is not None and not self.access.allowed(self.user, "admin", self.database, ""):
+                raise AccessError(f"{self.user} may not change roles and users")
+            return self.access.change(s)
+        if self.user is not None and not isinstance(s, S.Transaction):
+            self._granted("admin", getattr(s, "table", getattr(s, "name", "")))
         if isinstance(s, S.CreateTable):
             unique = tuple((c.name,) for c in s.columns if c.unique) + s.unique
             self._redefine(self.collection(s.name), schema=constraints.Schema(s.columns, unique))
@@ -599,6 +634,7 @@ class Engine:
         c = self.collection(name)
         if c.store is None or c.pinned:
             raise SqlError(f"{name} can't be written")
+        self._granted("write", name)
         return c
 
     def _snapshot(self, c: Collection) -> DataFrame:
@@ -615,6 +651,8 @@ class Engine:
         have been committed since `head`; unique constraints ask for that too, for another commit may have taken a value meanwhile.
         """
         store = c.store
+        if (own := self._granted("write", c.name)) is not None and not ops.where(~F.col("id").isin(*own)).isEmpty():
+            raise AccessError(f"{self.user} may not write other documents of {c.name}")
         near = lambda f: paths is None or c.doc_column in paths or any(p == f or p.startswith(f + ".") or f.startswith(p + ".") for p in paths)
         fields = tuple(f for f in c.schema.fields if near(f.name))
         unique = [u for u in c.schema.unique if any(map(near, u))]
@@ -718,6 +756,17 @@ class Engine:
             raise ConstraintError("a precondition does not hold")
         return self._finish(c, operations.select("id", "op", "body"), head, exclusive=True)
 
+    def submit(self, name: str, operations: DataFrame, head: str | None) -> tuple[str, str]:
+        """What a subscriber's write came to: (applied, commit), (conflict, reason) if its documents have changed since the head that it has seen, or (rejected, reason)."""
+        c = self._writable(name)
+        try:
+            done = self._finish(c, operations.select("id", "op", "body"), head)
+        except ConflictError as x:
+            return "conflict", str(x)
+        except (ConstraintError, AccessError) as x:
+            return "rejected", str(x)
+        return "applied", done.commit.id if done.commit else ""
+
     def sweep(self, name: str, field_name: str, now: datetime) -> Written:
         """Commits the deletes of documents whose timestamp field is not later than `now`."""
         c = self._writable(name)

@@ -41,18 +41,39 @@ def bootstrap(old: DataFrame, new: DataFrame) -> DataFrame:
     return revert_operations(old, new)
 
 
-def fan_out(feed: DataFrame, sinks: dict[str, tuple[Column, Callable[[DataFrame, int], None]]], checkpoint: str) -> StreamingQuery:
-    """One read of the feed for many subscribers: each micro-batch is cached, and each sink gets its filtered view of it."""
+class FeedOverflow(RuntimeError):
+    """A reader is too far behind: it starts again from a snapshot (bootstrap)."""
+
+
+def frames(ops: DataFrame, max_bytes: int, order: str = "seq", key: str = "id", body: str = "body") -> DataFrame:
+    """A batch of operations with `frame`: those of one commit, in order of their ids, cut so that no frame of several operations holds more than about max_bytes of bodies."""
+    before = F.sum(F.coalesce(F.octet_length(body), F.lit(0)).cast("long")).over(Window.partitionBy(order).orderBy(key).rowsBetween(Window.unboundedPreceding, -1))
+    return ops.withColumn("frame", F.floor(F.coalesce(before, F.lit(0)) / max_bytes).cast("int"))
+
+
+def fan_out(feed: DataFrame, sinks: dict[str, tuple[Column, Callable[[DataFrame, int], None]]], checkpoint: str, trigger: dict | None = None, most: int | None = None) -> StreamingQuery:
+    """One read of the feed for many subscribers: each micro-batch is cached, and each sink gets its filtered view of it, made once for sinks with the same filter.
+
+    trigger: that of the stream, such as {"processingTime": "5 seconds"} to run until it is stopped; by default it ends when it has caught up. most: operations of a micro-batch; with
+    more the query ends with FeedOverflow, and the sinks have seen nothing of the batch.
+    """
 
     def batch(df: DataFrame, n: int) -> None:
         df.persist()
+        views: dict[str, DataFrame] = {}
         try:
+            if most is not None and df.limit(most + 1).count() > most:
+                raise FeedOverflow(f"batch {n} has more than {most} operations")
             for keep, sink in sinks.values():
-                sink(filtered(df, keep), n)
+                if str(keep) not in views:
+                    views[str(keep)] = filtered(df, keep).persist()
+                sink(views[str(keep)], n)
         finally:
+            for view in views.values():
+                view.unpersist()
             df.unpersist()
 
-    return feed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return feed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def desync(commits: DataFrame, namespace: str = "namespace") -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators import constraints, merge
+from docloom.operators.access import AccessError
 from docloom.plans.syntax import ColumnDef, SqlError
 from docloom.session import ConstraintError, Engine
 from docloom.sources.log import Files, Log, decide
@@ -390,3 +391,73 @@ def test_no_data_on_the_driver(spark, engine):
     assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
     store = engine.collection("t").store
     assert store.snapshot().select("id").distinct().count() == 202
+
+
+def test_grants(spark, engine):
+    for text in ("CREATE ROLE reader", "CREATE ROLE writer", "CREATE USER ann WITH PASSWORD 'pw' ROLES (reader)", "CREATE USER bob WITH PASSWORD 'x' ROLES (writer)", "CREATE USER eve WITH PASSWORD 'e'", "GRANT read ON COLLECTION main.t TO reader", "GRANT write ON DATABASE main TO writer"):
+        engine.sql(text)
+    as_user = lambda name, password: Engine(spark, engine.path, user=name, password=password)
+    for bad in (("ann", "no"), ("nobody", "")):
+        with pytest.raises(AccessError):
+            as_user(*bad)
+    ann, bob, eve = as_user("ann", "pw"), as_user("bob", "x"), as_user("eve", "e")
+    assert rows(ann, "SELECT COUNT(*) FROM t") == rows(bob, "SELECT COUNT(*) FROM t") == [(2,)]
+    for e, text in ((ann, "DELETE FROM t"), (eve, "SELECT k FROM t"), (bob, "CREATE TABLE t (k INT)"), (bob, "GRANT admin ON DATABASE main TO writer")):
+        with pytest.raises(AccessError):
+            e.sql(text)
+    bob.sql("UPDATE t SET name = 'b' WHERE k = 1")
+    one = engine.sql("SELECT _id FROM t WHERE k = 2").first()[0]
+    engine.sql("REVOKE read ON COLLECTION main.t FROM reader")
+    with pytest.raises(AccessError):
+        ann.sql("SELECT k FROM t")
+    engine.sql(f'GRANT write ON DOCUMENT "main.t.{one}" TO reader')
+    assert rows(ann, "SELECT k FROM t") == [(2,)] and ann.sql("UPDATE t SET name = 'mine' WHERE k > 0").rows == 1
+    with pytest.raises(AccessError):
+        ann.sql("INSERT INTO t (k) VALUES (9)")
+    engine.sql("DROP USER eve")
+    for bad in ("CREATE ROLE reader", "GRANT read ON COLLECTION main TO reader", "GRANT fly ON DATABASE main TO reader", "DROP ROLE nope", "CREATE USER x WITH PASSWORD 'a' ROLES (nope)"):
+        with pytest.raises(SqlError):
+            engine.sql(bad)
+    with pytest.raises(AccessError):
+        as_user("eve", "e")
+
+
+def test_consistency(spark, engine):
+    kinds = {c: Engine(spark, engine.path, consistency=c) for c in ("snapshot", "read_committed", "read_your_writes")}
+    count = lambda: {c: rows(e, "SELECT COUNT(*) FROM t")[0][0] for c, e in kinds.items()}
+    assert set(count().values()) == {2}
+    engine.sql("INSERT INTO t (k) VALUES (3)")
+    assert count() == {"snapshot": 2, "read_committed": 3, "read_your_writes": 2}
+    kinds["read_your_writes"].sql("INSERT INTO t (k) VALUES (4)")
+    assert count() == {"snapshot": 2, "read_committed": 4, "read_your_writes": 4}
+
+
+def test_write_back(spark, engine):
+    store = engine.collection("t").store
+    head, one = store.head(), store.snapshot().where("body LIKE '%Ann%'").first()["id"]
+    new = ops(spark, (one, "write", '{"k":1,"name":"back"}'))
+    assert engine.submit("t", new, head) == ("applied", store.head())
+    assert engine.submit("t", new, head)[0] == "conflict" and engine.submit("t", ops(spark, (one, "write", '{"name":"x"}')), store.head())[0] == "rejected"
+
+
+def test_pages_at_a_revision(spark, engine):
+    at = engine.collection("t").store.head()
+    engine.sql("DELETE FROM t WHERE k = 1")
+    page, more = engine.page(f"SELECT k FROM t AT COMMIT '{at}'", 1)
+    page2, end = engine.page(f"SELECT k FROM t AT COMMIT '{at}'", 1, more.first()["after"])
+    assert sorted(r[0] for r in page.collect() + page2.collect()) == [1, 2] and end.count() == 0
+
+
+def test_frames_and_overflow(spark, store, tmp_path):
+    cut = feed.frames(store.operations().withColumn("body", F.coalesce("body", F.lit(""))), 8).collect()
+    assert {(r["seq"], r["id"], r["frame"]) for r in cut} == {(1, "a", 0), (1, "b", 0), (2, "a", 0), (2, "c", 1), (3, "b", 0)}
+    seen = []
+    sinks = {n: (F.get_json_object("body", "$.n").cast("int") > 5, lambda df, n: seen.append(sorted((r["seq"], r["op"]) for r in df.collect()))) for n in ("one", "two")}
+    q = feed.fan_out(feed.change_feed(spark, store.path), sinks, str(tmp_path / "cp"), {"processingTime": "200 milliseconds"})
+    q.processAllAvailable()
+    store.commit(ops(spark, ("z", "write", '{"n":6}')))
+    q.processAllAvailable()
+    assert q.isActive and seen[0] == seen[1] and seen[-1] == [(4, "write")] and len(seen) == 4
+    q.stop()
+    with pytest.raises(Exception, match="more than 2 operations"):
+        feed.fan_out(feed.change_feed(spark, store.path), sinks, str(tmp_path / "cp2"), most=2).awaitTermination()
