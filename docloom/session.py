@@ -662,10 +662,10 @@ class Engine:
             checked = checked.withColumn("problem", F.when(write, constraints.problem(F.col("body"), replace(c.schema, fields=fields))))
         staged = store.stage(checked, files, distinct=True)
         kinds = "".join(f", claim{i} string" for i in range(len(unique)))
-        rows = store.staged(staged.path, kinds + (", problem struct<field: string, problem: string>" if fields else ""))
+        rows = store.staged(staged.path, kinds)
         try:
-            if fields and (bad := rows.where("problem IS NOT NULL").select("problem.*").limit(1).collect()):
-                raise ConstraintError(f"{bad[0]['field']}: {bad[0]['problem']}")
+            if staged.problem:
+                raise ConstraintError(": ".join(staged.problem))
             if staged.rows and (unique or not distinct):
                 self._check_claims(c, rows, unique, distinct)
             returned = commit = None

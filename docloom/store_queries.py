@@ -12,6 +12,7 @@ from docloom.functions import json_text
 from docloom.functions.identity import content_hash
 from docloom.functions.text_analysis import STOP_WORDS
 from docloom.operators import constraints, history, merge, search
+from docloom.operators.access import AccessError
 from docloom.plans.syntax import ColumnDef, SqlError
 from docloom.queries import TERMS, customer_store, engine, event_log, mixed_documents, order_documents, query, table, vector
 from docloom.session import ConstraintError, ConflictError, Engine
@@ -546,3 +547,60 @@ def write_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("history_of_one", "SELECT event_id AS seq, row_number() OVER (ORDER BY event_id) AS version FROM events WHERE user_id = 17")(lambda s, d: history.document_history(event_log(s, d).where("id = 17")).select("seq", "version"))
+
+
+# ---- access and consistency
+
+
+@query("roles_and_grants", "SELECT * FROM (VALUES ('reader reads', true), ('reader writes', false), ('reader of one document', true), ('after revoke', false), ('wrong password', false)) AS v(case_, allowed)")
+def roles_and_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, store = loaded(spark, sf_dir)
+    for text in ("CREATE ROLE reader", "CREATE USER ann WITH PASSWORD 'pw' ROLES (reader)", "GRANT read ON COLLECTION main.customers TO reader"):
+        e.sql(text)
+    out = []
+
+    def tried(name: str, do) -> None:
+        try:
+            do()
+            out.append((name, True))
+        except AccessError:
+            out.append((name, False))
+
+    ann = Engine(spark, e.path, user="ann", password="pw")
+    tried("reader reads", lambda: ann.sql("SELECT COUNT(*) AS n FROM customers"))
+    tried("reader writes", lambda: ann.sql("DELETE FROM customers WHERE key = 1"))
+    e.sql("REVOKE read ON COLLECTION main.customers FROM reader")
+    tried("after revoke", lambda: ann.sql("SELECT COUNT(*) AS n FROM customers"))
+    one = store.snapshot().select(F.min("id")).first()[0]
+    e.sql(f'GRANT read ON DOCUMENT "main.customers.{one}" TO reader')
+    out.append(("reader of one document", ann.sql("SELECT key FROM customers").count() == 1))
+    tried("wrong password", lambda: Engine(spark, e.path, user="ann", password="no"))
+    return spark.createDataFrame(out, "case_ string, allowed boolean")
+
+
+@query("read_consistency", "SELECT * FROM (VALUES ('snapshot', (SELECT count(*) FROM customer)), ('read_committed', (SELECT count(*) FROM customer) - 1), ('read_your_writes', (SELECT count(*) FROM customer))) AS v(consistency, n)")
+def read_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What readers of each kind see of a delete that another engine commits between two of their reads."""
+    e, _ = loaded(spark, sf_dir)
+    readers = {c: Engine(spark, e.path, consistency=c) for c in ("snapshot", "read_committed", "read_your_writes")}
+    count = lambda r: r.sql("SELECT COUNT(*) AS n FROM customers").first()["n"]
+    for r in readers.values():
+        count(r)
+    e.sql("DELETE FROM customers WHERE key = 7")
+    return spark.createDataFrame([(c, count(r)) for c, r in readers.items()], "consistency string, n long")
+
+
+@query("write_back_outcomes", "SELECT * FROM (VALUES ('applied'), ('conflict'), ('rejected')) AS v(outcome)")
+def write_back_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, store = loaded(spark, sf_dir)
+    head = store.head()
+    one = store.snapshot().where(F.get_json_object("body", "$.key") == "7")
+    change = lambda body: one.select("id", F.lit("write").alias("op"), F.lit(body).alias("body"))
+    first = e.submit("customers", change('{"key":7,"note":"a"}'), head)[0]
+    return spark.createDataFrame([(x,) for x in (first, e.submit("customers", change('{"key":7,"note":"b"}'), head)[0], e.submit("customers", change('{"note":"c"}'), store.head())[0])], "outcome string")
+
+
+@query("feed_frames", "SELECT seq, count(*) AS n, max(frame) > 0 AS cut FROM (SELECT event_id // 1000 AS seq, floor(coalesce(sum(strlen(props)) OVER (PARTITION BY event_id // 1000 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 4096)::INT AS frame FROM events) GROUP BY 1")
+def feed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ops = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 1000).alias("seq"), F.col("event_id").alias("id"), F.lit("write").alias("op"), F.col("props").alias("body"))
+    return feed.frames(ops, 4096).groupBy("seq").agg(F.count(F.lit(1)).alias("n"), (F.max("frame") > 0).alias("cut"))
