@@ -192,7 +192,8 @@ class Engine:
     def _by_index(self, c: Collection, where, params: Sequence) -> DataFrame | None:
         """(id, body) of the documents that an index leaves over: by the first condition of WHERE, all of which must hold, that a HASH or BTREE index answers."""
         tables = {i.fields[0][0]: self._built(c, i.name) for i in c.indexes.values() if i.using in ("HASH", "BTREE")}
-        tables = {path: b for path, b in tables.items() if indexes.usable(c.store, b)}
+        instants = {f.name for f in c.schema.fields if f.type == "timestamp"}  # they compare by what their texts mean
+        tables = {path: b for path, b in tables.items() if path not in instants and indexes.usable(c.store, b)}
         known = lambda e: e.value if isinstance(e, S.Literal) else params[e.index] if isinstance(e, S.Param) and e.index < len(params) else None
         parts = [where]
         while tables and parts:
@@ -205,7 +206,7 @@ class Engine:
                 name, found = p.left.path, indexes.condition(p.op, known(p.right))
             elif isinstance(p, S.In) and isinstance(p.inner, S.Name):
                 each = [indexes.condition("=", known(v)) for v in p.values]
-                name, found = p.inner.path, None if None in [None if x is None else 0 for x in each] else functools.reduce(lambda a, b: a | b, each)
+                name, found = p.inner.path, None if any(x is None for x in each) else functools.reduce(lambda a, b: a | b, each)
             elif isinstance(p, S.Between) and isinstance(p.inner, S.Name):
                 low, high = indexes.condition(">=", known(p.low)), indexes.condition("<=", known(p.high))
                 # One value must satisfy both ends, so the table can be asked for both at once.

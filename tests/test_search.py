@@ -130,3 +130,13 @@ def test_key_indexes(spark, tmp_path):
     behind = read()
     e.reindex("d")
     assert read() == behind and len(behind[0]) == 1 and behind[0][0] in behind[5] and behind[1] == []
+
+
+def test_no_index_for_instants(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    e.sql("CREATE TABLE d (n BIGINT, at TIMESTAMP)")
+    e.put("d", spark.createDataFrame([('{"n": 1, "at": "2024-01-01T00:00:00Z"}',), ('{"n": 2, "at": "2024-01-01 09:00:00"}',)], "body string"))
+    read = lambda: sorted(r[0] for r in e.sql("SELECT n FROM d WHERE at < '2024-01-01 08:00:00'").collect())
+    assert read() == [1]
+    e.sql("CREATE INDEX by_at ON d (at) USING BTREE")
+    assert read() == [1]
