@@ -148,6 +148,18 @@ def give_back() -> None:
         pass
 
 
+#: Rows of an Arrow batch, set by the queries and the pipeline for executors of a few GB. Spark bounds a batch by 64 MB besides, which a JVM of that size keeps
+#: several times over.
+BATCH_ROWS = 1500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows of an Arrow batch to BATCH_ROWS, for a program that has the session to itself; operators leave it alone."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 #: Bytes of texts, about, that a Python worker works on at once; Spark's batches hold up to 64 MB, or one longer text.
 PIECE_BYTES = 4 << 20
 

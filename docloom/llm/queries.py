@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import bpe, chat, decontaminate, html_text, langid, licenses, minhash, quality, sharding, urls
-from docloom.llm.common import sha_hex, table
+from docloom.llm.common import sha_hex, small_batches, table
 from docloom.llm.oracles import ORACLE_SQL  # noqa: F401
 
 SHARDS = 24
@@ -28,6 +28,7 @@ def vocabulary_path() -> str:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its tokens, and the bytes that they decode to."""
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = bpe.encode_texts(docs, vocabulary_path(), offsets=None, decoded="decoded")
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha_hex(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), sha_hex(F.col("decoded")).alias("decoded_sha256"))
@@ -43,6 +44,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return langid.identify(docs).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
@@ -70,16 +72,19 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     pages = html_text.extract(table(spark, sf_dir, "pages"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each place where a document holds a benchmark item."""
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", "leak.start", "leak.end", "leak.edits")
