@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import bpe, decontaminate, langid, minhash, quality
-from docloom.llm.common import forget, scratch, table, written
+from docloom.llm.common import forget, scratch, small_batches, table, written
 from docloom.llm.queries import vocabulary_path
 
 #: DuckDB has no equivalent of the first, third, fourth and fifth stage; test_pipeline in tests/llm/test_llm_queries.py holds run() against a brute-force version.
@@ -30,6 +30,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Repeated rows and ties share a verdict. Very long texts are read whole. Extra columns stay, whatever their names. An empty table gives an empty one.
     """
+    small_batches(spark)
     own, c = _plain(docs)
     return _named(langid.identify(own, c("doc_id"), c("text"), c("lang")).where("NOT rejected"), docs)
 
@@ -51,6 +52,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without words (null and empty ones) all stay. Very long texts are compared whole. Extra columns stay, whatever their names. An empty table
     gives an empty one.
     """
+    small_batches(spark)
     own, c = _plain(docs)
     return _named(minhash.one_of_each(own, c("doc_id"), c("text")), docs)
 
@@ -61,6 +63,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null and empty texts hold none; an empty benchmark leaves all documents. Repeated rows share a verdict. Extra columns stay, whatever their names. An empty
     table gives an empty one.
     """
+    small_batches(spark)
     own, c = _plain(docs)
     return _named(decontaminate.find_leaks(own, table(spark, sf_dir, "benchmark"), c("text")).where("size(leaks) = 0"), docs)
 
@@ -68,6 +71,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokenization(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, and whether the ids decode to the text again; a row for each row, of the whole text. A null text has no tokens.
     Extra columns are left out, whatever their names. An empty table gives an empty one."""
+    small_batches(spark)
     own = docs.select("doc_id", "lang", "source", "text")
     done = bpe.encode_texts(own, vocabulary_path(), offsets=None, decoded="decoded")
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
