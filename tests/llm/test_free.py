@@ -341,6 +341,15 @@ def test_near_duplicates_edges(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0 and minhash.one_of_each(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_very_long_texts(spark):
+    words = [f"w{i * i % 99_991}" for i in range(150_000)]
+    near = [w if i % 200 else "x" for i, w in enumerate(words)]
+    far = [w if i % 15 else "x" for i, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (4, " ".join(words)), (5, "x " * 300_000), (6, "x " * 299_000)]
+    got = {r["doc_id"]: (r["class_id"], r["copies"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").withColumn("class_id", F.lit(7)).withColumn("K", F.lit(8))).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 1), 4: (1, 1), 5: (5, 1), 6: (5, 1)}
+
+
 def test_signatures_are_unbiased():
     rng = random.Random(5)
     a, b = [], []
