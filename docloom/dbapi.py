@@ -88,7 +88,7 @@ class Connection:
     def tables(self) -> list[tuple[str, str]]:
         """(name, kind) of what can be queried: TABLE (registered rows), COLLECTION or VIEW."""
         e = self.engine
-        kept = [n for n in (e.access.log.files.names(e.path) if e.path else []) if not n.startswith("_")]
+        kept = [n for n in (e.rights.log.files.names(e.path) if e.path else []) if not n.startswith("_")]
         return sorted({(n, "COLLECTION") for n in kept} | {(n, "COLLECTION" if c.store else "TABLE") for n, c in e.collections.items()} | {(n, "VIEW") for n in e.views})
 
     def columns(self, table: str) -> list[tuple[str, str, bool]]:

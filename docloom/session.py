@@ -97,11 +97,11 @@ class Engine:
         self.views: dict[str, S.Select] = {}
         self.procedures: dict = {}
         self.pending: dict[str, Pending] | None = None
-        self.access = Access(Log(spark, f"{path}/_access")) if path is not None else None
+        self.rights = Access(Log(spark, f"{path}/_access")) if path is not None else None
         if user is not None:
-            if self.access is None:
+            if self.rights is None:
                 raise ValueError("users are kept beside collections, so they need a path")
-            self.access.login(user, password)
+            self.rights.login(user, password)
         if path is not None:
             for _, entry in Log(spark, f"{path}/_views").entries(0):
                 self._view(entry["name"], entry["text"])
@@ -124,9 +124,9 @@ class Engine:
 
     def _granted(self, kind: str, name: str) -> list[str] | None:
         """The ids that the user may read or write; None for all. Without any grant on the collection it is an error."""
-        if self.user is None or self.access.allowed(self.user, kind, self.database, name):
+        if self.user is None or self.rights.allowed(self.user, kind, self.database, name):
             return None
-        ids = self.access.documents(self.user, kind, self.database, name)
+        ids = self.rights.documents(self.user, kind, self.database, name)
         if not ids:
             raise AccessError(f"{self.user} may not {kind} {name}")
         return ids
@@ -386,11 +386,11 @@ class Engine:
     def define(self, s, text: str = "") -> None:
         """Definitions of a collection are kept in its log, views and grants in those of the engine; they are there for the next session."""
         if isinstance(s, S.CreateRole | S.CreateUser | S.DropRole | S.Grant):
-            if self.access is None:
+            if self.rights is None:
                 raise SqlError("roles and users are kept beside collections, so they need a path")
-            if self.user is not None and not self.access.allowed(self.user, "admin", self.database, ""):
+            if self.user is not None and not self.rights.allowed(self.user, "admin", self.database, ""):
                 raise AccessError(f"{self.user} may not change roles and users")
-            return self.access.change(s)
+            return self.rights.change(s)
         if self.user is not None and not isinstance(s, S.Transaction):
             self._granted("admin", getattr(s, "table", getattr(s, "name", "")))
         if isinstance(s, S.CreateTable):
