@@ -56,6 +56,25 @@ def test_vectors(spark):
         search.vector_search(df, "id", "v", [1.0]).collect()
 
 
+@pytest.mark.parametrize("metric", search.METRICS)
+def test_many_searches_at_once(spark, sf, metric, monkeypatch):
+    """The same hits and scores as one search after another, ties by id too, in blocks of queries and with a vector of which there are many copies."""
+    df = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.when(F.col("vec_id") % 7 == 0, F.array_repeat(F.lit(0.5).cast("float"), 64)).when(F.col("vec_id") == 3, F.array_repeat(F.lit(0.0).cast("float"), 64)).otherwise(F.col("embedding")).alias("embedding"))
+    at = df.where("vec_id IN (0, 3, 50, 100)").orderBy("vec_id").collect()
+    asked = spark.createDataFrame([(r["vec_id"], r["embedding"]) for r in at], "query long, v array<float>")
+    monkeypatch.setattr(search, "QUERIES", 3)
+    monkeypatch.setattr(search, "TILE", 40)
+    index = search.build_cells(df, "vec_id", "embedding", cells=4)
+    for many, one in ((search.search_many(df, "vec_id", "embedding", asked, metric, 5), lambda v: search.vector_search(df, "vec_id", "embedding", v, metric, 5)), (search.cell_search_many(index, asked, metric, 5, probes=2), lambda v: search.cell_search(index, v, metric, 5, probes=2))):
+        found = {(r["query"], r["id"], r["score"]) for r in many.collect()}
+        assert found == {(r["vec_id"], h["id"], h["score"]) for r in at for h in one(list(r["embedding"])).collect()} and len(found) == 20
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("many", "many")
+    search.search_many(df, "vec_id", "embedding", df.select(F.col("vec_id").alias("query"), F.col("embedding").alias("v")), metric, 5).count()
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert len(jobs.getJobIdsForGroup("many")) < 20
+
+
 def test_fusion(spark):
     a = spark.createDataFrame([("x", 3.0), ("y", 2.0), ("z", 2.0)], "id string, score float")
     b = spark.createDataFrame([("y", 5.0), ("w", 5.0)], "id string, score float")
