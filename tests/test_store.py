@@ -47,6 +47,21 @@ def test_revisions(spark, store, tmp_path):
     assert [r["message"] for r in store.log(limit=2).collect()] == ["day 3", "day 2"]
 
 
+def test_writes_are_dealt(spark, tmp_path):
+    """A source in one piece is checked and kept in many, each document in one of them."""
+    e = Engine(spark, str(tmp_path / "e"))
+    e.sql("CREATE TABLE t (k BIGINT NOT NULL UNIQUE)")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        e.put("t", spark.range(400).coalesce(1).select(F.format_string('{"id":"d%d","k":%d}', "id", "id").alias("body")))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    kept = e.collection("t").store.snapshot().withColumn("file", F.input_file_name())
+    assert kept.select("file").distinct().count() == 4 and kept.select("id").distinct().count() == 400
+    with pytest.raises(ConstraintError):
+        e.put("t", spark.range(3).coalesce(1).select(F.lit('{"k":"x"}').alias("body")))
+
+
 def test_diff_history_revert(store):
     assert {tuple(r) for r in store.diff("head~2", "head").collect()} == {("a", "modified"), ("b", "removed"), ("c", "added")}
     assert [(r["version"], r["op"]) for r in store.history("b").collect()] == [(1, "write"), (2, "delete")]
