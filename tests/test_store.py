@@ -62,6 +62,20 @@ def test_writes_are_dealt(spark, tmp_path):
         e.put("t", spark.range(3).coalesce(1).select(F.lit('{"k":"x"}').alias("body")))
 
 
+def test_conflicts_are_looked_for_once(engine, monkeypatch):
+    """Also where documents claim nothing, which never meet."""
+    seen = []
+    kept = Engine._kept
+    monkeypatch.setattr(Engine, "_kept", staticmethod(lambda c, df: seen.append(df.columns) or kept(c, df)))
+    n = engine.sql("SELECT COUNT(*) FROM t").first()[0]
+    engine.sql("CREATE TABLE t (k BIGINT, name VARCHAR)")
+    engine.sql("INSERT INTO t (name) VALUES ('none') ON CONFLICT (k) DO NOTHING")
+    engine.sql("INSERT INTO t (name) VALUES ('none') ON CONFLICT (k) DO UPDATE SET name = 'hit'")
+    engine.sql("INSERT INTO t (k, name) VALUES (1, 'x'), (77, 'new') ON CONFLICT (k) DO UPDATE SET name = 'hit'")
+    found = [r[0] for r in engine.sql("SELECT name FROM t").collect()]
+    assert len(seen) == 3 and len(found) == n + 3 and found.count("none") == 2 and found.count("hit") == found.count("new") == 1
+
+
 def test_diff_history_revert(store):
     assert {tuple(r) for r in store.diff("head~2", "head").collect()} == {("a", "modified"), ("b", "removed"), ("c", "added")}
     assert [(r["version"], r["op"]) for r in store.history("b").collect()] == [(1, "write"), (2, "delete")]
