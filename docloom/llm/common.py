@@ -52,12 +52,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _scratch: list[list[str]] = []
+#: Hadoop's local file system keeps checksum files and starts a `chmod` for each file and each checksum file; a JVM that starts a process is in memory twice for
+#: a moment. The plain one starts none. Folders on other file systems (HDFS, object stores) are written as ever.
+PLAIN_LOCAL = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """df cut off from its lineage: written as Parquet to the shared folder and read again; and the folder."""
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.options(**PLAIN_LOCAL).parquet(path)
     if _scratch:
         _scratch[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path

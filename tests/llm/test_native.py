@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.llm import chat, licenses, quality, sharding, urls
+from docloom.llm.common import forget, written
 
 KINDS = "doc_id long, text string, lang string, source string, n_chars long"
 WEIRD = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "null key", "en", None, 8), (3, "x " * 5000, "en", "s", 10000), (4, "same", "en", "s", 4), (5, "same", "en", "s", 4), (5, "same", "en", "s", 4)]
@@ -244,3 +245,12 @@ def test_chat(spark):
     long = frame(spark, [(1, i, "assistant" if i % 3 else "user", "</s>[INST] " * 20_000) for i in range(4)], "conv_id long, turn long, role string, text string")
     one = chat.format_chats(long).select(chat.parse_chat(F.col("formatted")).alias("back"), chat.masked_text(F.col("segments")).alias("loss")).first()
     assert [b["text"] for b in one["back"]] == ["</s>[INST] " * 20_000] * 4 and one["loss"] == "</s>[INST] " * 40_000
+
+
+def test_written_keeps_no_checksum_files(spark):
+    """Each checksum file costs the start of a process, for which the executor's memory counts twice."""
+    own, path = written(spark.range(20).repartition(4))
+    files = [str(f.getPath().getName()) for f in spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getRawFileSystem().listStatus(spark._jvm.org.apache.hadoop.fs.Path(path))]
+    assert sum(f.endswith(".parquet") for f in files) == 4 and not [f for f in files if f.endswith(".crc")]
+    assert sorted(r["id"] for r in own.collect()) == list(range(20))
+    forget(spark, path)
