@@ -9,6 +9,7 @@ from docloom.operators import constraints, merge
 from docloom.operators.access import AccessError
 from docloom.plans.syntax import ColumnDef, SqlError
 from docloom.session import ConstraintError, Engine
+from docloom.sources import indexes
 from docloom.sources.log import Files, Log, decide
 from docloom.sources.store import ConflictError, RevisionError, Store
 from docloom.streaming import feed
@@ -62,6 +63,17 @@ def test_writes_are_dealt(spark, tmp_path):
         e.put("t", spark.range(3).coalesce(1).select(F.lit('{"k":"x"}').alias("body")))
 
 
+def test_cells_of_keys_are_made_once(spark):
+    """A key asks its cell many times; a claim makes it once, and an index does so after one look for an array."""
+    claim, keys = constraints.claim(F.col("body"), ("k",)), indexes.keys(F.try_parse_json("body"), "k")
+    assert str(claim).count("schema_of_variant") == 1 and str(keys).count("schema_of_variant") == 2
+    docs = spark.createDataFrame([(b,) for b in ('{"k":1}', '{"k":1.0}', '{"k":true}', '{"k":"1"}', '{"k":[1]}', '{"k":{"a":1}}', '{"k":1.5}', '{"k":null}', "{}")], "body string")
+    one, *rest = [r[0] for r in docs.select(claim).collect()]
+    assert rest[:2] == [one, one] and len({one, *rest[2:6]}) == 5 and rest[6:] == [None, None]
+    found = [r[0] for r in docs.select(F.transform(keys, lambda x: F.struct(x["r"], x["d"], x["s"]))).collect()]
+    assert [[tuple(x) for x in r] for r in found] == [[(1, 1.0, None)], [(1, 1.0, None)], [(1, 1.0, None)], [(2, None, "1")], [(1, 1.0, None)], [(3, None, '{"a":1}')], [(1, 1.5, None)], [(0, None, None)], []]
+
+
 def test_conflicts_are_looked_for_once(engine, monkeypatch):
     """Also where documents claim nothing, which never meet."""
     seen = []
