@@ -5,6 +5,7 @@ from datetime import UTC, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from docloom.functions import cells
 from docloom.operators import constraints, merge
 from docloom.operators.access import AccessError
 from docloom.plans.syntax import ColumnDef, SqlError
@@ -63,6 +64,36 @@ def test_writes_are_dealt(spark, tmp_path):
         e.put("t", spark.range(3).coalesce(1).select(F.lit('{"k":"x"}').alias("body")))
 
 
+def test_types_are_checked_without_cells(spark):
+    """What a declared type takes, for every kind of value; the text of an object is not made for it, and one name is looked up without a list."""
+    values = ["1", "1.0", "1.5", "2147483648", "-2147483648", "9223372036854775807", "9223372036854775808", "1e300", "true", '"x"', '"2024-01-02T03:04:05Z"', '"00000000-0000-4000-8000-00000000000A"', '{"a":[1]}', "[]", "null"]
+    takes = {
+        "string": {9, 10, 11}, "int": {0, 1, 4}, "bigint": {0, 1, 3, 4}, "double": {*range(8)}, "boolean": {8}, "timestamp": {10}, "uuid": {11}, "object": {12}, "array": {13}, "enum": {9},
+    }
+    docs = spark.createDataFrame([(i, f'{{"k":{v}}}') for i, v in enumerate(values)] + [(15, "{}")], "i int, body string")
+    fit = {kind: constraints.fits(cells.first(F.try_parse_json("body"), ["k"]), kind, ("x",)) for kind in takes}
+    assert not any("to_json" in str(c) or "filter" in str(c) for c in fit.values())
+    rows = docs.select("i", *[c.alias(kind) for kind, c in fit.items()]).collect()
+    assert {kind: {r["i"] for r in rows if r[kind]} for kind in takes} == {kind: own | {14, 15} for kind, own in takes.items()}
+
+
+def test_first_is_the_first_of_walk(spark):
+    docs = spark.createDataFrame([(b,) for b in ('{"a":1}', '{"a":null}', '{"a":[1,2]}', '{"a":{"b":1}}', '{"a":[{"b":[2]},{"b":3}]}', '{"it is":{"b":4}}', "{}", "7", None)], "body string")
+    v = F.try_parse_json("body")
+    for path in (["a"], ["a", "b"], ["it is"], ["it is", "b"]):
+        got = docs.select(F.to_json(cells.first(v, path)).alias("x"), F.to_json(F.get(F.slice(cells.walk(v, path), 1, 1), F.lit(0))).alias("y")).collect()
+        assert all(r["x"] == r["y"] for r in got) and any(r["x"] is not None for r in got)
+
+
+def test_declared_fields_are_read_from_one_parse(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "e"))
+    e.sql("CREATE TABLE t (a BIGINT, b DOUBLE, c VARCHAR)")
+    e.put("t", spark.createDataFrame([('{"id":"x","a":1,"b":1.5,"c":"y"}',), ('{"id":"z","a":2,"b":3}',)], "body string"))
+    read = e.sql("SELECT a, b, c FROM t")
+    assert read._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson(") == 1
+    assert {tuple(r) for r in read.collect()} == {(1, 1.5, "y"), (2, 3.0, None)}
+
+
 def test_cells_of_keys_are_made_once(spark):
     """A key asks its cell many times; a claim makes it once, and an index does so after one look for an array."""
     claim, keys = constraints.claim(F.col("body"), ("k",)), indexes.keys(F.try_parse_json("body"), "k")
